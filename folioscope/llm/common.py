@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         found = tempfile.mkdtemp(prefix="folioscope-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir(found)
     return found
 
 
@@ -56,7 +56,7 @@ def bloom_filter(keys: DataFrame, column: str, n_words: int):
     Bits are merged on the map side, so a key that fills a third of the rows costs a row for each task.
     """
     block, places = _bloom_places(F.col(column), n_words)
-    masks = [F.struct((block * BLOOM_BLOCK + w).alias("w"), F.shiftleft(F.lit(1).cast("long"), b).alias("m")) for w, b in places]
+    masks = [F.struct((block * BLOOM_BLOCK + w).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), b).alias("m")) for w, b in places]
     filled = keys.where(F.col(column).isNotNull()).select(F.explode(F.array(*masks)).alias("x")).groupBy("x.w").agg(F.bit_or("x.m").alias("m"))
     dense = keys.sparkSession.range(n_words).select(F.col("id").cast("int").alias("w")).join(filled, "w", "left")
     packed = dense.agg(F.array_sort(F.collect_list(F.struct("w", F.coalesce("m", F.lit(0).cast("long")).alias("m")))).alias("a"))
@@ -68,7 +68,7 @@ def bloom_test(bits, key, n_words: int):
     block, places = _bloom_places(key, n_words)
     found = F.lit(True)
     for w, b in places:
-        found = found & (F.shiftrightunsigned(F.get(bits, block * BLOOM_BLOCK + w), b).bitwiseAND(F.lit(1).cast("long")) == 1)
+        found = found & (F.call_function("shiftrightunsigned", F.get(bits, block * BLOOM_BLOCK + w), b).bitwiseAND(F.lit(1).cast("long")) == 1)
     return found
 
 
