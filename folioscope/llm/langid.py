@@ -19,17 +19,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WORD_START = "▁"
-#: Longer runs without white space are cut into words of this length, so that no probability underflows.
+#: Longer runs of letters are cut into words of this length, so that no probability underflows.
 WORD_CHARS = 24
 #: About so many labelled rows of each language, chosen by a hash of the row's key, train it.
-TRAIN_ROWS = 1000
-ROUNDS = 3
+TRAIN_ROWS = 600
+ROUNDS = 2
 SMOOTHING = 0.01
 #: More languages than this (or more rows of counts than that many vocabularies) are refused rather than collected.
 MAX_LANGUAGES = 500
 WORDS_REMEMBERED = 400_000
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER, WORD = re.compile(r"[^\W\d_]"), re.compile(r"[^\W\d_]+")
 
 
 @lru_cache(maxsize=2)
@@ -46,7 +46,8 @@ def pieces(vocabulary: str) -> tuple[dict[str, int], int]:
 
 
 def words_of(text: str) -> list[str]:
-    words = text.lower().split()
+    """Lower-case runs of letters, long ones cut."""
+    words = WORD.findall(text.lower())
     if len(text) > WORD_CHARS and max(map(len, words), default=0) > WORD_CHARS:
         return [w[i : i + WORD_CHARS] for w in words for i in range(0, len(w), WORD_CHARS)]
     return words

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, media, pii, urlfilter
+from . import bpe, decontaminate, langid, media, pii, secrets, urlfilter
 from .common import table
 
 BPE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -47,6 +47,14 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find_secrets(docs).drop("text")
+    orders = F.transform("base_secrets", lambda s: s["ord"])
+    counts = [(F.size(orders) - F.size(F.array_remove(orders, i))).cast("long").alias(f"n_{k}") for i, k in enumerate(secrets.KINDS[:3])]
+    return found.select("doc_id", *counts, F.sha2(secrets.joined(F.col("base_secrets")), 256).alias("base_sha256"), secrets.joined(F.col("secrets")).alias("spans"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find_pii(docs, pii.fit(pii.labelled_table(spark))).select("doc_id", "pii")
@@ -67,7 +75,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op3_wav_fingerprint, op4_bpe, op6_language_id, op9_pii, op10_url_filter)
+    f.__name__: f for f in (op1_decontaminate, op3_wav_fingerprint, op4_bpe, op6_language_id, op7_secrets, op9_pii, op10_url_filter)
 }
 
 _OP10 = r"""
