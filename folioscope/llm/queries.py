@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, media, pii, secrets, urlfilter
+from . import bpe, decontaminate, langid, line_dedup, media, near_dup, pii, secrets, urlfilter
 from .common import table
 
 BPE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,6 +39,15 @@ def bpe_digest(coded: DataFrame) -> DataFrame:
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: its lines, and the numbers of those that go."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    gone = line_dedup.superfluous_lines(docs)
+    sizes = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
+    places = F.coalesce(F.array_join(F.col("lines").cast("array<string>"), ","), F.lit(""))
+    return sizes.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.greatest(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"), places.alias("removed"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
@@ -55,6 +64,12 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.joined(F.col("base_secrets")), 256).alias("base_sha256"), secrets.joined(F.col("secrets")).alias("spans"))
 
 
+def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: its class (the least id of it)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dup.with_classes(docs).select("doc_id", "class_id")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find_pii(docs, pii.fit(pii.labelled_table(spark))).select("doc_id", "pii")
@@ -75,7 +90,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op3_wav_fingerprint, op4_bpe, op6_language_id, op7_secrets, op9_pii, op10_url_filter)
+    f.__name__: f for f in (op1_decontaminate, op3_wav_fingerprint, op4_bpe, op5_line_dedup, op6_language_id, op7_secrets, op8_near_dup, op9_pii, op10_url_filter)
 }
 
 _OP10 = r"""
@@ -98,4 +113,24 @@ SELECT canon.page_id, host, path, b.rule AS rule, coalesce(b.v, CASE WHEN listed
 FROM canon LEFT JOIN best USING (page_id) LEFT JOIN listed ON canon.c = listed.c
 """
 
-ORACLE_SQL: dict[str, str] = {"op10_url_filter": _OP10}
+_OP5 = r"""
+WITH line AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS p FROM documents
+), filled AS (SELECT doc_id, p, line, list_filter(string_split(line, ' '), lambda w: w <> '') AS w FROM line WHERE trim(line) <> ''),
+first AS (SELECT line, min(struct_pack(d := doc_id, p := p)) AS loc, any_value(w) AS w FROM filled GROUP BY line),
+sets AS (
+  SELECT row_number() OVER (ORDER BY loc) AS k, line, loc,
+    CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM first
+), tokens AS (SELECT k, len(s) AS n, unnest(s) AS t FROM sets),
+counted AS (SELECT t, count(*) AS c FROM tokens GROUP BY t),
+ranked AS (SELECT k, n, t, row_number() OVER (PARTITION BY k ORDER BY c, t) AS i FROM tokens JOIN counted USING (t)),
+heads AS (SELECT * FROM ranked WHERE i <= n - (4 * n + 4) // 5 + 1),
+pairs AS (SELECT DISTINCT a.k AS a, b.k AS b FROM heads a JOIN heads b USING (t) WHERE a.k < b.k AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+near AS (SELECT DISTINCT b AS k FROM pairs JOIN sets x ON x.k = a JOIN sets y ON y.k = b WHERE 9 * len(list_intersect(x.s, y.s)) >= 4 * (len(x.s) + len(y.s))),
+gone AS (
+  SELECT f.doc_id, f.p FROM filled f JOIN sets USING (line) LEFT JOIN near USING (k) WHERE near.k IS NOT NULL OR struct_pack(d := f.doc_id, p := f.p) <> loc
+), cut AS (SELECT doc_id, count(*) AS n, string_agg(p::VARCHAR, ',' ORDER BY p) AS r FROM gone GROUP BY doc_id)
+SELECT doc_id, coalesce(len(string_split(coalesce(text, ''), chr(10))), 1) AS n_lines, coalesce(n, 0) AS n_removed, coalesce(r, '') AS removed FROM documents LEFT JOIN cut USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": _OP5, "op10_url_filter": _OP10}
