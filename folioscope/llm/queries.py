@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, line_dedup, media, near_dup, pii, secrets, urlfilter
+from . import bpe, decontaminate, langid, line_dedup, media, near_dup, passages, pii, secrets, urlfilter
 from .common import table
 
 BPE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +22,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item_id", "m.distance")
 
 
+def op2_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each shared passage: of a document and the first or last that has it, or of a copy and its first."""
+    return passages.shared_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_wav_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = media.media_features(media.text_to_media(docs).drop("text"))
@@ -90,7 +95,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op3_wav_fingerprint, op4_bpe, op5_line_dedup, op6_language_id, op7_secrets, op8_near_dup, op9_pii, op10_url_filter)
+    f.__name__: f for f in (op1_decontaminate, op2_shared_passages, op3_wav_fingerprint, op4_bpe, op5_line_dedup, op6_language_id, op7_secrets, op8_near_dup, op9_pii, op10_url_filter)
 }
 
 _OP10 = r"""
