@@ -21,18 +21,32 @@ from .common import possible, settle
 WORDS = 5
 #: Rarity is counted in so many hash buckets, whatever the size of the corpus; the order decides cost only, not results.
 BUCKETS = 1 << 13
-_HASH = (1 << 56) - 1
 
 
 def _words(line):
     return F.array_remove(F.split(line, " "), "")
 
 
-def _hashes(words):
-    """56-bit hashes of the runs of five words; one hash of a shorter line."""
-    runs = F.transform(F.sequence(F.lit(0), F.size(words) - WORDS), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WORDS)]).bitwiseAND(F.lit(_HASH)))
-    whole = F.array(F.xxhash64(F.array_join(words, " ")).bitwiseAND(F.lit(_HASH)))
-    return F.when(F.size(words) >= WORDS, F.array_distinct(runs)).otherwise(whole)
+def _grade(rarity, word):
+    return F.get(rarity, F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")).cast("long")
+
+
+def _tokens(rarity, words):
+    """Sorted long tokens of a line: rarity class in the top bits, then 56 bits of hash, so that the natural order is by rarity.
+
+    Runs of five words; one token for a shorter line. A run counts as rare as its first word.
+    """
+
+    def token(grade, code):
+        return F.shiftleft(grade, 56).bitwiseOR(code.bitwiseAND(F.lit((1 << 56) - 1)))
+
+    # Bound to a variable, the words are read in place for each run.
+    runs = F.transform(
+        F.array(words),
+        lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - WORDS), lambda i: token(_grade(rarity, F.get(w, i)), F.xxhash64(*[F.get(w, i + k) for k in range(WORDS)]))),
+    )
+    whole = F.array(token(_grade(rarity, F.get(words, F.lit(0))), F.xxhash64(F.array_join(words, " "))))
+    return F.when(F.size(words) >= WORDS, F.sort_array(F.array_distinct(F.get(runs, F.lit(0))))).otherwise(whole)
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -42,20 +56,15 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _rarity(lines: DataFrame):
-    """Count class of each hash bucket, over all lines, as an array literal of BUCKETS small numbers."""
-    tokens = lines.select(_words(F.col("line")).alias("w")).select(F.explode(_hashes(F.col("w"))).alias("t"))
-    counts = tokens.groupBy((F.col("t") % BUCKETS).cast("int").alias("b")).count()
+    """Count class of each hash bucket of words, over all lines, as an array literal of BUCKETS small numbers."""
+    words = lines.select(F.explode(_words(F.col("line"))).alias("w"))
+    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).count()
     grades = np.zeros(BUCKETS, np.int8)
     for b, g in counts.select("b", F.least(F.lit(127), F.floor(F.log2(F.col("count") + 1) * 4))).collect():
         grades[b] = g
     return F.lit(grades)
 
 
-def _tokens(rarity, words):
-    """Sorted long tokens: rarity class in the top bits, then the hash, so that the natural order is by rarity."""
-    return F.sort_array(F.transform(_hashes(words), lambda t: F.shiftleft(F.get(rarity, (t % BUCKETS).cast("int")).cast("long"), 56).bitwiseOR(t)))
-
-
 def _prefix_size(n):
     return n - F.floor((4 * n + 4) / 5).cast("int") + 1
 
