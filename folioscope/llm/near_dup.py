@@ -3,18 +3,20 @@
 A signature entry takes the LEAST occurrence-labelled word shingles with the least hashes and keeps them in text order, so
 that documents collide in proportion to their edit similarity, not only to their common content.
 
-Equal texts are one node from the start. In a bucket of equal entries every text is aligned with the bucket's first; only
-texts that differ from it meet the others of the bucket, and only where their groups are still apart.
+Equal texts are one node from the start. In a bucket of equal entries every text is aligned with the bucket's first, then with
+the next ones in rounds that grow, but only while the bucket holds texts that are not yet linked; none is left out.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import components, mix, possible, settle, shingle_hashes
 
@@ -61,7 +63,7 @@ def _entries(labelled: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 def distance_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """Edit distance of two arrays of word numbers if it is at most `most`, else None.
 
-    Common ends are cut; what is left is aligned in a band around the diagonal, doubled until the distance fits in it.
+    Common ends are cut; what is left is aligned in a band of at most `most` diagonals on each side.
     """
     n = min(len(a), len(b))
     same = a[:n] == b[:n]
@@ -76,35 +78,62 @@ def distance_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
         return None
     if not len(a) or not len(b):
         return max(len(a), len(b))
-    band = min(most, max(8, abs(len(a) - len(b))))
-    while True:
-        d = _banded(a, b, band)
-        if d <= band:
+    return _narrow(a, b, most) if most <= NARROW else _narrow(a, b, NARROW) or _columns(a.tolist(), b.tolist(), most)
+
+
+#: Edits up to which the band is followed diagonal by diagonal; wider bands go column by column as bits.
+NARROW = 48
+
+
+def _narrow(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
+    """The band widens by a diagonal on each side for each edit; on each, the furthest place in `a` reached so far is kept.
+
+    What a diagonal holds unchanged is skipped by a search among its mismatches, listed when it is first entered.
+    """
+    n, m, goal = len(a), len(b), len(b) - len(a)
+    stops: dict[int, list[int]] = {}
+
+    def slide(i: int, k: int) -> int:
+        if k not in stops:
+            lo, hi = max(0, -k), min(n, m - k)
+            stops[k] = [*(np.flatnonzero(a[lo:hi] != b[lo + k : hi + k]) + lo).tolist(), max(lo, hi)]
+        at = stops[k]
+        return at[bisect_left(at, i)] if i < at[-1] else i
+
+    reached = {0: slide(0, 0)}
+    for d in range(most + 1):
+        if reached.get(goal, -1) >= n:
             return d
-        if band >= most:
+        new = {}
+        # Diagonals from which the goal is out of reach are left out.
+        for k in range(max(-d - 1, goal - (most - d - 1)), min(d + 1, goal + (most - d - 1)) + 1):
+            i = max(reached.get(k, -2) + 1, reached.get(k + 1, -2) + 1, reached.get(k - 1, -1))
+            if i >= max(0, -k):
+                new[k] = slide(min(i, n, m - k), k)
+        reached = new
+    return None
+
+
+def _columns(a: list[int], b: list[int], most: int) -> int | None:
+    """Edit distance by bit-parallel columns, each a few operations on one integer; stops once `most` is out of reach."""
+    masks: dict[int, int] = {}
+    for i, x in enumerate(a):
+        masks[x] = masks.get(x, 0) | 1 << i
+    n, full, top = len(a), (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score = full, 0, n
+    for j, y in enumerate(b, 1):
+        eq = masks.get(y, 0)
+        carry = (((eq & up) + up) ^ up) | eq | down
+        plus, minus = down | (full & ~(carry | up)), up & carry
+        if plus & top:
+            score += 1
+        elif minus & top:
+            score -= 1
+        if score - (len(b) - j) > most:
             return None
-        band = min(most, 2 * band)
-
-
-def _banded(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """Edit distance over alignments that stay within `band` of the diagonal (an upper bound; exact if at most `band`)."""
-    width, far = 2 * band + 1, len(a) + len(b) + 1
-    padded = np.full(len(a) + len(b) + width + 2, -1, np.int64)
-    padded[band : band + len(b)] = b  # padded[i + k] is b at column i - band + k
-    steps = np.arange(width)
-    row = np.where(steps >= band, steps - band, far)
-    row[row > len(b)] = far
-    for i in range(1, len(a) + 1):
-        columns = steps + (i - band)
-        new = row + (padded[i - 1 : i - 1 + width] != a[i - 1])
-        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
-        if i <= band:
-            new[columns < 0] = far
-            new[band - i] = i
-        new[columns > len(b)] = far
-        row = np.minimum.accumulate(new - steps) + steps
-    at = len(b) - len(a) + band
-    return int(row[at]) if 0 <= at < width else far
+        plus, minus = (plus << 1 | 1) & full, minus << 1 & full
+        up, down = minus | (full & ~(eq | down | plus)), plus & (eq | down)
+    return score if score <= most else None
 
 
 def similar(x: list[str], y: list[str]) -> bool:
@@ -147,6 +176,18 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _rounds(largest: int) -> Iterator[tuple[int, int, int]]:
+    """(entries of the signature, first and last rank of the texts that meet all later ones of their bucket), till every pair has met.
+
+    A bucket whose texts are all of one class takes no further part, so that few texts meet in late rounds.
+    """
+    yield 2, 1, 1
+    low, high = 1, 1
+    while low < max(largest, 2):
+        yield ENTRIES, low, high
+        low, high = high + 1, 3 * high
+
+
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, class_id) for the documents that have a copy or near copy: class_id is the least id of the class.
 
@@ -161,24 +202,35 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     copies = signed.join(heads.where("n > 1"), ["h1", "h2"]).where("d <> a").select("a", F.col("d").alias("b"))
     nodes = signed.join(heads.select(F.col("a").alias("d"), "h1", "h2"), ["d", "h1", "h2"], "left_semi")
     entries = nodes.select("d", F.posexplode("sig").alias("e", "v"))
-    # Buckets of at least two texts, with their first.
-    buckets = entries.groupBy("e", "v").agg(F.min("d").alias("a"), F.max("d").alias("z")).where("a < z").select("e", "v", "a")
-    shared = settle(entries.join(buckets, ["e", "v"]))
-    tried = settle(shared.where("a < d").select("a", F.col("d").alias("b")).distinct())
-    texts = known
-    links = settle(_verified(texts, tried))
-    classes = settle(components(links))
-    # Texts unlike a bucket's first meet the bucket's other texts, unless one class has both already.
-    failed = tried.join(links, ["a", "b"], "left_anti")
-    odd = shared.join(failed.withColumnRenamed("b", "d"), ["a", "d"], "left_semi").select("e", "v", "a", F.col("d").alias("x"))
-    rest = odd.join(shared.select("e", "v", F.col("d").alias("y")), ["e", "v"]).where("x <> y and y <> a")
-    known_class = classes.select("node", "root")
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = rest.join(known_class.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(known_class.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    rest = settle(rest.where("ra is null or rb is null or ra <> rb").select("a", "b").join(tried, ["a", "b"], "left_anti"))
-    more = settle(_verified(texts, rest))
-    if not more.isEmpty():
-        classes = settle(components(links.union(more)))
+    # Buckets of at least two texts, with each text's rank in its bucket.
+    buckets = entries.groupBy("e", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("e", "v")
+    ranked = entries.join(buckets, ["e", "v"]).withColumn("r", F.row_number().over(W.partitionBy("e", "v").orderBy("d")))
+    shared = settle(ranked)
+    largest = shared.agg(F.max("r")).first()[0] or 0
+    links, tried, classes = None, None, None
+    for entry_count, low, high in _rounds(largest):
+        # In each bucket the texts of ranks low to high meet those of later rank that are not yet of their class.
+        these = shared.where(F.col("e") < entry_count)
+        if classes is not None:
+            these = these.join(classes.select(F.col("node").alias("d"), "root"), "d", "left").withColumn("root", F.coalesce("root", "d"))
+            mixed = these.groupBy("e", "v").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("e", "v")
+            these = settle(these.join(mixed, ["e", "v"], "left_semi"))
+        else:
+            these = these.withColumn("root", F.col("d"))
+        leaders = these.where(F.col("r").between(low, high)).select("e", "v", F.col("d").alias("a"), F.col("r").alias("ra"), F.col("root").alias("roota"))
+        pairs = these.join(leaders, ["e", "v"]).where("r > ra and root <> roota").select("a", F.col("d").alias("b")).distinct()
+        pairs = settle(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs)
+        tried = pairs if tried is None else tried.union(pairs)
+        if pairs.isEmpty():
+            if entry_count == ENTRIES and these.isEmpty():
+                break
+            continue
+        found = settle(_verified(known, pairs))
+        links = found if links is None else links.union(found)
+        if not found.isEmpty():
+            classes = settle(components(links))
+    if classes is None:
+        classes = copies.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
     # A class of texts takes the least id over the copies too: that is the least of its nodes, each the least of its text.
     roots = classes.select(F.col("node").alias("a"), "root")
     linked = copies.join(roots, "a", "left").select(F.col("b").alias("node"), F.coalesce("root", "a").alias("root"))
