@@ -106,7 +106,7 @@ def _narrow(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
             return d
         new = {}
         # Diagonals from which the goal is out of reach are left out.
-        for k in range(max(-d - 1, goal - (most - d - 1)), min(d + 1, goal + (most - d - 1)) + 1):
+        for k in range(max(-n, -d - 1, goal - (most - d - 1)), min(m, d + 1, goal + (most - d - 1)) + 1):
             i = max(reached.get(k, -2) + 1, reached.get(k + 1, -2) + 1, reached.get(k - 1, -1))
             if i >= max(0, -k):
                 new[k] = slide(min(i, n, m - k), k)
