@@ -3,7 +3,8 @@
 A line's tokens are its distinct runs of five words (one token for the whole of a shorter line). A line goes if an earlier
 line, by document and place, has the same text or a token set of Jaccard similarity 0.8 or more. Tokens are ordered by
 rarity; two such sets must share a token among their first few (prefix filter), at places that leave room for the overlap
-(positional filter), and have like sizes (length filter). Every pair that passes is verified.
+(positional filter), and have like sizes (length filter); parities of the sets rule out most pairs that only share a
+common passage. Every pair that passes is verified.
 
 Within a group of lines that share a prefix token, all are first compared with the earliest. Only lines that this does not
 remove meet the other earlier lines, so large groups of near copies cost a number of pairs in proportion to their size.
@@ -65,6 +66,12 @@ def _rarity(lines: DataFrame):
     return F.lit(grades)
 
 
+def _parity(tokens):
+    """64 parities of the tokens by hash: two sets differ in at least as many tokens as their parities in bits."""
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t)))
+
+
 def _prefix_size(n):
     return n - F.floor((4 * n + 4) / 5).cast("int") + 1
 
@@ -76,19 +83,19 @@ def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     rarity = _rarity(lines)
     words = lines.select("d", "p", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), _words(F.col("line")).alias("w"))
     tokens = words.select("d", "p", "h1", "h2", _tokens(rarity, F.col("w")).alias("t"))
-    heads = tokens.select(F.struct("d", "p").alias("at"), "h1", "h2", F.size("t").alias("n"), F.slice("t", 1, _prefix_size(F.size("t"))).alias("head"))
-    first = settle(heads.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("head").alias("head")))
-    entries = first.select("at", "n", F.posexplode("head").alias("i", "t"))
+    heads = tokens.select(F.struct("d", "p").alias("at"), "h1", "h2", F.size("t").alias("n"), _parity("t").alias("m"), F.slice("t", 1, _prefix_size(F.size("t"))).alias("head"))
+    first = settle(heads.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("head").alias("head")))
+    entries = first.select("at", "n", "m", F.posexplode("head").alias("i", "t"))
     group = W.partitionBy("t").orderBy("at")
     whole = group.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    shared = entries.withColumn("c", F.count(F.lit(1)).over(whole)).withColumn("head", F.first(F.struct("at", "n", "i")).over(group)).where("c > 1")
-    shared = settle(shared.select("t", "at", "n", "i", F.col("head.at").alias("at0"), F.col("head.n").alias("n0"), F.col("head.i").alias("i0")))
-    fits = "at0 < at and 5 * least(n, n0) >= 4 * greatest(n, n0) and 9 * least(n - i, n0 - i0) >= 4 * (n + n0)"
+    shared = entries.withColumn("c", F.count(F.lit(1)).over(whole)).withColumn("head", F.first(F.struct("at", "n", "i", "m")).over(group)).where("c > 1")
+    shared = settle(shared.select("t", "at", "n", "i", "m", F.col("head.at").alias("at0"), F.col("head.n").alias("n0"), F.col("head.i").alias("i0"), F.col("head.m").alias("m0")))
+    fits = "at0 < at and 5 * least(n, n0) >= 4 * greatest(n, n0) and 9 * least(n - i, n0 - i0) >= 4 * (n + n0) and 9 * bit_count(m ^ m0) <= n + n0"
     pairs = settle(shared.where(fits).select("at0", "at").distinct())
     removed = settle(_verified(docs, doc_id, text, pairs, rarity))
     # What is left meets every other earlier line of its groups.
-    left = shared.where("at0 < at").join(removed, "at", "left_anti").select("t", "at", "n", "i", F.col("at0").alias("leader"))
-    others = shared.select("t", F.col("at").alias("at0"), F.col("n").alias("n0"), F.col("i").alias("i0"))
+    left = shared.where("at0 < at").join(removed, "at", "left_anti").select("t", "at", "n", "i", "m", F.col("at0").alias("leader"))
+    others = shared.select("t", F.col("at").alias("at0"), F.col("n").alias("n0"), F.col("i").alias("i0"), F.col("m").alias("m0"))
     more = settle(left.join(others, "t").where("at0 <> leader").where(fits).select("at0", "at").distinct().join(pairs, ["at0", "at"], "left_anti"))
     return first.select("h1", "h2", "at"), removed.union(_verified(docs, doc_id, text, more, rarity)).distinct()
 
@@ -114,8 +121,9 @@ def superfluous_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     near = near.withColumn("near", F.lit(True))
     fate = first.join(near, "at", "left")
     every = _lines(docs, doc_id, text).select(F.struct("d", "p").alias("here"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    gone = every.join(fate, ["h1", "h2"]).where("near or here <> at")
-    return gone.groupBy(F.col("here.d").alias(doc_id)).agg(F.array_sort(F.collect_set("here.p")).alias("lines"))
+    gone = every.join(fate, ["h1", "h2"]).where("near or here <> at").select(F.col("here.d").alias(doc_id), F.col("here.p").alias("p"))
+    # Dealt out as two numbers a row before they are gathered: partial sets would be many times as large.
+    return gone.repartition(doc_id).groupBy(doc_id).agg(F.array_sort(F.collect_set("p")).alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
