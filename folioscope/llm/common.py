@@ -86,6 +86,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     shared folder. Ends when a round changes nothing; raises if that takes more than `rounds`, rather than return part.
     """
     now = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    was = digest(now)
     for _ in range(rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -95,9 +96,9 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         after = settle(small.where("a <> b").distinct())
-        if digest(after) == digest(now):
+        if (new := digest(after)) == was:
             return after.select(F.col("a").alias("node"), F.col("b").alias("root")).union(after.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        now = after
+        now, was = after, new
     raise RuntimeError(f"components did not settle within {rounds} rounds")
 
 

@@ -185,7 +185,7 @@ def _rounds(largest: int) -> Iterator[tuple[int, int, int]]:
     low, high = 1, 1
     while low < max(largest, 2):
         yield ENTRIES, low, high
-        low, high = high + 1, 3 * high
+        low, high = high + 1, 5 * high
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -213,8 +213,10 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         these = shared.where(F.col("e") < entry_count)
         if classes is not None:
             these = these.join(classes.select(F.col("node").alias("d"), "root"), "d", "left").withColumn("root", F.coalesce("root", "d"))
-            mixed = these.groupBy("e", "v").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("e", "v")
+            mixed = these.groupBy("e", "v").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("r").alias("r")).where((F.col("x") < F.col("y")) & (F.col("r") > low)).select("e", "v")
             these = settle(these.join(mixed, ["e", "v"], "left_semi"))
+            if entry_count == ENTRIES and these.isEmpty():
+                break  # no bucket has both more than one class and texts left to meet
         else:
             these = these.withColumn("root", F.col("d"))
         leaders = these.where(F.col("r").between(low, high)).select("e", "v", F.col("d").alias("a"), F.col("r").alias("ra"), F.col("root").alias("roota"))
@@ -222,8 +224,6 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         pairs = settle(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs)
         tried = pairs if tried is None else tried.union(pairs)
         if pairs.isEmpty():
-            if entry_count == ENTRIES and these.isEmpty():
-                break
             continue
         found = settle(_verified(known, pairs))
         links = found if links is None else links.union(found)
