@@ -176,16 +176,15 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _rounds(largest: int) -> Iterator[tuple[int, int, int]]:
-    """(entries of the signature, first and last rank of the texts that meet all later ones of their bucket), till every pair has met.
+def _rounds(largest: int) -> Iterator[tuple[int, int]]:
+    """(first, last) rank of the texts that meet all later ones of their bucket, till every pair has met.
 
     A bucket whose texts are all of one class takes no further part, so that few texts meet in late rounds.
     """
-    yield 2, 1, 1
     low, high = 1, 1
     while low < max(largest, 2):
-        yield ENTRIES, low, high
-        low, high = high + 1, 5 * high
+        yield low, high
+        low, high = high + 1, 10 * high
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -208,14 +207,14 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     shared = settle(ranked)
     largest = shared.agg(F.max("r")).first()[0] or 0
     links, tried, classes = None, None, None
-    for entry_count, low, high in _rounds(largest):
+    for low, high in _rounds(largest):
         # In each bucket the texts of ranks low to high meet those of later rank that are not yet of their class.
-        these = shared.where(F.col("e") < entry_count)
+        these = shared
         if classes is not None:
             these = these.join(classes.select(F.col("node").alias("d"), "root"), "d", "left").withColumn("root", F.coalesce("root", "d"))
             mixed = these.groupBy("e", "v").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("r").alias("r")).where((F.col("x") < F.col("y")) & (F.col("r") > low)).select("e", "v")
             these = settle(these.join(mixed, ["e", "v"], "left_semi"))
-            if entry_count == ENTRIES and these.isEmpty():
+            if these.isEmpty():
                 break  # no bucket has both more than one class and texts left to meet
         else:
             these = these.withColumn("root", F.col("d"))
