@@ -41,6 +41,10 @@ Herr <name Otto Lang> kam
 Frau <name Inge Vogel> blieb
 Mme <name Anne Petit> est la
 Sr. <name Luis Garcia> no vino
+it ended on Monday. Dr. <name Martin Hill> spoke first
+they left early. Dr. <name Susan Ward> stayed on
+we asked Prof. <name Karl Fuchs> and Dr. <name Olga Ivanova> too
+so it was. Mr. <name Frank Cole> came back
 contact Mr. <name Henry Adams> at once
 SSN <id 123-45-6789> is on file
 ssn: <id 987-65-4321> was used
