@@ -38,15 +38,18 @@ def _tokens(rarity, words):
     Runs of five words; one token for a shorter line. A run counts as rare as its first word.
     """
 
-    def token(grade, code):
-        return F.shiftleft(grade, 56).bitwiseOR(code.bitwiseAND(F.lit((1 << 56) - 1)))
+    low = F.lit((1 << 56) - 1)
 
-    # Bound to a variable, the words are read in place for each run.
+    def token(top, code):
+        return top.bitwiseAND(F.lit(-1 << 56)).bitwiseOR(code.bitwiseAND(low))
+
+    # Each word is hashed and graded once; a run is hashed from its five codes.
+    codes = F.transform(words, lambda w: F.shiftleft(_grade(rarity, w), 56).bitwiseOR(F.xxhash64(w).bitwiseAND(low)))
     runs = F.transform(
-        F.array(words),
-        lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - WORDS), lambda i: token(_grade(rarity, F.get(w, i)), F.xxhash64(*[F.get(w, i + k) for k in range(WORDS)]))),
+        F.array(codes),
+        lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - WORDS), lambda i: token(F.get(c, i), F.xxhash64(*[F.get(c, i + k) for k in range(WORDS)]))),
     )
-    whole = F.array(token(_grade(rarity, F.get(words, F.lit(0))), F.xxhash64(F.array_join(words, " "))))
+    whole = F.array(F.shiftleft(_grade(rarity, F.get(words, F.lit(0))), 56).bitwiseOR(F.xxhash64(F.array_join(words, " ")).bitwiseAND(low)))
     return F.when(F.size(words) >= WORDS, F.sort_array(F.array_distinct(F.get(runs, F.lit(0))))).otherwise(whole)
 
 
