@@ -128,10 +128,12 @@ def superfluous_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     the same; if not, the lines of each count at their places.
     """
     first, near = similar_lines(docs, doc_id, text)
-    near = near.withColumn("near", F.lit(True))
-    fate = first.join(near, "at", "left")
+    near = settle(near)
+    # Only lines that occur again are looked up by their text; a line of its own goes by its place.
+    fate = settle(first.where("c > 1").join(near.withColumn("near", F.lit(True)), "at", "left"))
     every = _lines(docs, doc_id, text).select(F.struct("d", "p").alias("here"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    gone = every.join(fate, ["h1", "h2"]).where("near or here <> at").select(F.col("here.d").alias(doc_id), F.col("here.p").alias("p"))
+    copies = possible(every, "h1", fate, fate.count()).join(fate, ["h1", "h2"]).where("near or here <> at").select("here")
+    gone = near.select(F.col("at").alias("here")).union(copies).select(F.col("here.d").alias(doc_id), F.col("here.p").alias("p"))
     # Dealt out as two numbers a row before they are gathered: partial sets would be many times as large.
     return gone.repartition(doc_id).groupBy(doc_id).agg(F.array_sort(F.collect_set("p")).alias("lines"))
 
