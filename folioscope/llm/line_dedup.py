@@ -6,9 +6,8 @@ rarity; two such sets must share a token among their first few (prefix filter),
 (positional filter), and have like sizes (length filter); parities of the sets rule out most pairs that only share a
 common passage. Every pair that passes is verified.
 
-Within a group of lines that share a prefix token, all are first compared with the earliest. Lines that this does not remove
-meet the next ones in rounds that grow, until they are removed or have met every earlier line of their groups. So large
-groups of near copies cost a number of pairs in proportion to their size.
+Within a group of lines that share a prefix token, all are first compared with the earliest. Only lines that this does not
+remove meet the other earlier lines, so large groups of near copies cost a number of pairs in proportion to their size.
 """
 
 from __future__ import annotations
@@ -92,22 +91,16 @@ def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     entries = first.select("at", "n", "m", F.posexplode("head").alias("i", "t"))
     group = W.partitionBy("t").orderBy("at")
     whole = group.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    shared = entries.withColumn("c", F.count(F.lit(1)).over(whole)).withColumn("head", F.first(F.struct("at", "n", "i", "m")).over(group)).withColumn("r", F.row_number().over(group)).where("c > 1")
-    shared = settle(shared.select("t", "at", "n", "i", "m", "r", F.col("head.at").alias("at0"), F.col("head.n").alias("n0"), F.col("head.i").alias("i0"), F.col("head.m").alias("m0")))
+    shared = entries.withColumn("c", F.count(F.lit(1)).over(whole)).withColumn("head", F.first(F.struct("at", "n", "i", "m")).over(group)).where("c > 1")
+    shared = settle(shared.select("t", "at", "n", "i", "m", F.col("head.at").alias("at0"), F.col("head.n").alias("n0"), F.col("head.i").alias("i0"), F.col("head.m").alias("m0")))
     fits = "at0 < at and 5 * least(n, n0) >= 4 * greatest(n, n0) and 9 * least(n - i, n0 - i0) >= 4 * (n + n0) and 9 * bit_count(m ^ m0) <= n + n0"
     pairs = settle(shared.where(fits).select("at0", "at").distinct())
     removed = settle(_verified(docs, doc_id, text, pairs, rarity))
-    # What is left meets the next lines of its groups, until it is removed or has met all earlier ones.
-    largest = shared.agg(F.max("r")).first()[0] or 0
-    low = 2
-    while low < largest:
-        left = shared.where(F.col("r") > low).join(removed, "at", "left_anti").select("t", "at", "n", "i", "m", "r")
-        others = shared.where(F.col("r").between(low, 4 * low - 1)).select("t", F.col("at").alias("at0"), F.col("n").alias("n0"), F.col("i").alias("i0"), F.col("m").alias("m0"), F.col("r").alias("r0"))
-        more = settle(left.join(others, "t").where("r0 < r").where(fits).select("at0", "at").distinct())
-        if not more.isEmpty():
-            removed = removed.union(settle(_verified(docs, doc_id, text, more, rarity)))
-        low *= 4
-    return first.select("h1", "h2", "at", "c"), removed.distinct()
+    # What is left meets every other earlier line of its groups.
+    left = shared.where("at0 < at").join(removed, "at", "left_anti").select("t", "at", "n", "i", "m", F.col("at0").alias("leader"))
+    others = shared.select("t", F.col("at").alias("at0"), F.col("n").alias("n0"), F.col("i").alias("i0"), F.col("m").alias("m0"))
+    more = settle(left.join(others, "t").where("at0 <> leader").where(fits).select("at0", "at").distinct().join(pairs, ["at0", "at"], "left_anti"))
+    return first.select("h1", "h2", "at", "c"), removed.union(_verified(docs, doc_id, text, more, rarity)).distinct()
 
 
 def _verified(docs: DataFrame, doc_id: str, text: str, pairs: DataFrame, rarity) -> DataFrame:
