@@ -22,6 +22,8 @@ from .common import possible, settle
 WORDS = 5
 #: Rarity is counted in so many hash buckets, whatever the size of the corpus; the order decides cost only, not results.
 BUCKETS = 1 << 13
+#: So many common tokens of a line before each are looked at, lest a pair be made again (cost only, not results).
+BEFORE = 3
 
 
 def _words(line):
@@ -96,10 +98,14 @@ def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     fits = "at0 < at and 5 * least(n, n0) >= 4 * greatest(n, n0) and 9 * least(n - i, n0 - i0) >= 4 * (n + n0) and 9 * bit_count(m ^ m0) <= n + n0"
     pairs = settle(shared.where(fits).select("at0", "at").distinct())
     removed = settle(_verified(docs, doc_id, text, pairs, rarity))
-    # What is left meets every other earlier line of its groups.
-    left = shared.where("at0 < at").join(removed, "at", "left_anti").select("t", "at", "n", "i", "m", F.col("at0").alias("leader"))
-    others = shared.select("t", F.col("at").alias("at0"), F.col("n").alias("n0"), F.col("i").alias("i0"), F.col("m").alias("m0"))
-    more = settle(left.join(others, "t").where("at0 <> leader").where(fits).select("at0", "at").distinct().join(pairs, ["at0", "at"], "left_anti"))
+    # What is left meets every other earlier line of its groups. Two lines that have a common token among the few just before
+    # have met there, with no less room for the overlap, so most pairs are made once and not for each common token.
+    before = F.collect_list("t").over(W.partitionBy("at").orderBy("i").rowsBetween(-BEFORE, -1))
+    marked = settle(shared.join(removed.withColumn("gone", F.lit(True)), "at", "left").withColumn("b", before))
+    late = marked.where("gone is null and at0 < at").select("t", "at", "n", "i", "m", "b", F.col("at0").alias("leader"))
+    others = marked.select("t", F.col("at").alias("at0"), F.col("n").alias("n0"), F.col("i").alias("i0"), F.col("m").alias("m0"), F.col("b").alias("b0"))
+    met = late.join(others, "t").where("at0 <> leader").where(fits).where("not arrays_overlap(b, b0)")
+    more = settle(met.select("at0", "at").distinct().join(pairs, ["at0", "at"], "left_anti"))
     return first.select("h1", "h2", "at", "c"), removed.union(_verified(docs, doc_id, text, more, rarity)).distinct()
 
 
