@@ -91,6 +91,9 @@ def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     heads = tokens.select(F.struct("d", "p").alias("at"), "h1", "h2", F.size("t").alias("n"), _parity("t").alias("m"), F.slice("t", 1, _prefix_size(F.size("t"))).alias("head"))
     first = settle(heads.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("head").alias("head")))
     entries = first.select("at", "n", "m", F.posexplode("head").alias("i", "t"))
+    # Tokens of one line only stay where they are: a Bloom filter of the others lets few of them through.
+    again = settle(entries.groupBy("t").count().where("count > 1").select("t"))
+    entries = possible(entries, "t", again, again.count())
     group = W.partitionBy("t").orderBy("at")
     whole = group.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     shared = entries.withColumn("c", F.count(F.lit(1)).over(whole)).withColumn("head", F.first(F.struct("at", "n", "i", "m")).over(group)).where("c > 1")
