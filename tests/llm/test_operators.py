@@ -201,6 +201,28 @@ def test_shared_passages(spark):
         assert plain_distance(a, b) == x.edits and len(a) >= passages.MIN_WORDS
 
 
+def linked(got, d, lo, hi):
+    """Whether words lo to hi of document d lie in a found passage, on either side."""
+    return any((x.doc_id == d and x.start <= lo and hi <= x.end) or (x.other_id == d and x.other_start <= lo and hi <= x.other_end) for x in got)
+
+
+def test_passages_that_a_document_repeats(spark):
+    p, q, stray = words(21, 70, 3000), words(22, 60, 3000), words(22, 60, 3000)[20:30]
+    texts = {
+        0: words(400, 40, 3000) + p + words(401, 40, 3000),
+        1: words(402, 40, 3000) + p + words(403, 30, 3000) + p + words(404, 30, 3000) + p,
+        2: words(405, 30, 3000) + q + words(406, 30, 3000) + q,
+        3: stray + words(407, 40, 3000) + words(23, 60, 3000),
+        4: words(408, 40, 3000) + words(23, 60, 3000) + words(409, 40, 3000),
+    }
+    got = passages.shared_passages(docs(spark, [(d, " ".join(t), "x", 1) for d, t in texts.items()])).collect()
+    places = [(0, 40, 110), (1, 40, 110), (1, 140, 210), (1, 240, 310), (2, 30, 90), (2, 120, 180), (3, 50, 110), (4, 40, 100)]
+    assert [x for x in places if not linked(got, *x)] == []
+    for x in got:
+        assert plain_distance(texts[x.doc_id][x.start : x.end], texts[x.other_id][x.other_start : x.other_end]) == x.edits
+        assert (x.other_id, x.other_start) < (x.doc_id, x.start)
+
+
 # ---------------------------------------------------------------- 3 media
 
 
