@@ -223,6 +223,25 @@ def test_passages_that_a_document_repeats(spark):
         assert (x.other_id, x.other_start) < (x.doc_id, x.start)
 
 
+def test_exact_passages_against_all_pairs_in_mixed_boilerplate(spark):
+    x, y = words(31, 30, 3000), words(32, 30, 3000)
+    texts = {d: words(500 + d, 60, 3000) + p + words(600 + d, 60, 3000) for d, p in {0: x, 10: x, 1: y, 9: y, 5: x + y, 6: x + y}.items()}
+    r = random.Random(33)
+    pool = [words(700 + i, r.choice([8, 15, 25, 30, 40]), 3000) for i in range(12)]
+    for d in range(20, 60):
+        texts[d] = [w for _ in range(r.randint(2, 8)) for w in (r.choice(pool) if r.random() < 0.8 else words(r.random(), 20, 3000))]
+    n, at = passages.MIN_WORDS, {}
+    for d, t in texts.items():
+        for i in range(len(t) - n + 1):
+            at.setdefault(tuple(t[i : i + n]), []).append((d, i))
+    want = {q for places in at.values() for q in places if any(e != q[0] or abs(i - q[1]) >= n for e, i in places)}
+    got = passages.shared_passages(docs(spark, [(d, " ".join(t), "x", 1) for d, t in texts.items()])).collect()
+    assert len(want) > 300 and (5, 60) in want
+    assert [q for q in sorted(want) if not linked(got, *q, q[1] + n)] == []
+    for z in got:
+        assert plain_distance(texts[z.doc_id][z.start : z.end], texts[z.other_id][z.other_start : z.other_end]) == z.edits
+
+
 # ---------------------------------------------------------------- 3 media
 
 
