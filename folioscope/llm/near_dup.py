@@ -1,7 +1,8 @@
 """Near-duplicate documents: order min-hash signatures, verified by banded alignment, grouped by connected components.
 
 A signature entry takes the LEAST occurrence-labelled word shingles with the least hashes and keeps them in text order, so
-that documents collide in proportion to their edit similarity, not only to their common content.
+that documents collide in proportion to their edit similarity, not only to their common content. Short texts also collide
+by blocks of words: of one block more than edits are allowed, one is unchanged.
 
 Equal texts are one node from the start. In a bucket of equal entries every text is aligned with the bucket's first, then with
 the next ones in rounds that grow, but only while the bucket holds texts that are not yet linked; none is left out.
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,11 @@ from .common import components, mix, possible, settle, shingle_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Entries of a signature and shingles in each. At similarity 0.8 an entry is shared with a chance of about a half.
-ENTRIES, LEAST = 16, 2
+#: Entries of a signature and shingles in each. At similarity 0.8 with spread edits an entry is shared with a chance of
+#: about 0.04, and one of all with 0.99 (300 words).
+ENTRIES, LEAST = 113, 2
+#: Texts of so many words at most are also compared by blocks, which misses no pair.
+SHORT = 60
 
 
 def occurrences(h: np.ndarray) -> np.ndarray:
@@ -53,13 +58,51 @@ def signature(words: list[str]) -> np.ndarray:
 def _entries(labelled: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     least = min(LEAST, len(labelled))
     m = mix(labelled[None] ^ seeds[:, None])
-    chosen = np.sort(np.argpartition(m, least - 1, axis=1)[:, :least], axis=1)
+    chosen = np.empty((len(seeds), least), np.int64)
+    for i in range(least):
+        chosen[:, i] = m.argmin(axis=1)
+        m[np.arange(len(seeds)), chosen[:, i]] = np.iinfo(np.uint64).max
+    chosen.sort(axis=1)
     code = seeds
     for i in range(least):
         code = mix(code * np.uint64(31) + labelled[chosen[:, i]])
     return code
 
 
+def budget(n: int) -> int:
+    """Edits allowed where the longer text has n words."""
+    return int(n * (1 - SIMILARITY) + 1e-9)
+
+
+def cuts(n: int) -> list[int]:
+    """Bounds of budget(n) + 1 blocks of n words, as equal as can be."""
+    k = min(n, budget(n) + 1)
+    return [n * i // k for i in range(k + 1)]
+
+
+@cache
+def lengths(n: int) -> list[int]:
+    """Lengths of the blocks of all texts to which one of n words can be the shorter."""
+    found = set()
+    longer = n
+    while longer - budget(longer) <= n:
+        c = cuts(longer)
+        found |= {hi - lo for lo, hi in zip(c, c[1:], strict=False)}
+        longer += 1
+    return sorted(x for x in found if x <= n)
+
+
+def blocks(words: list[str]) -> np.ndarray:
+    """Hashes (int64) such that similar texts of SHORT words at most share one; empty for longer texts.
+
+    All runs of words as long as the blocks of longer texts that may be similar; the text's own blocks are among them.
+    """
+    if not 0 < len(words) <= SHORT:
+        return np.empty(0, np.int64)
+    made = [mix(shingle_hashes(words, k) ^ np.uint64(k << 56)) for k in lengths(len(words))]
+    return np.unique(np.concatenate(made)).view(np.int64)
+
+
 def distance_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """Edit distance of two arrays of word numbers if it is at most `most`, else None.
 
@@ -156,7 +199,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [signature(t.as_py().split()) for t in batch.column(3)]
+            made = [np.concatenate((signature(w := t.as_py().split()), blocks(w))) for t in batch.column(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(made, pa.list_(pa.int64()))], names=["d", "h1", "h2", "sig"])
 
     return docs.select("d", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text").mapInArrow(run, "d long, h1 long, h2 long, sig array<long>")
@@ -190,8 +233,8 @@ def _rounds(largest: int) -> Iterator[tuple[int, int]]:
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, class_id) for the documents that have a copy or near copy: class_id is the least id of the class.
 
-    Classes are the connected components of: equal text; or, among texts that share a signature entry, word edit
-    similarity of 0.8 or more. Rows with null id or text, or without any word, are alone. Ids should be unique; rows that
+    Classes are the connected components of: equal text; or, among texts that share a signature entry or block, word edit
+    similarity of 0.8 or more. Of pairs of SHORT words at most, none is left out. Rows with null id or text, or without any word, are alone. Ids should be unique; rows that
     repeat an id are one node, which holds the links of all their texts.
     """
     known = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("text")).where("d is not null and text is not null")
@@ -200,7 +243,8 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     heads = settle(signed.groupBy("h1", "h2").agg(F.min("d").alias("a"), F.count(F.lit(1)).alias("n")))
     copies = signed.join(heads.where("n > 1"), ["h1", "h2"]).where("d <> a").select("a", F.col("d").alias("b"))
     nodes = signed.join(heads.select(F.col("a").alias("d"), "h1", "h2"), ["d", "h1", "h2"], "left_semi")
-    entries = nodes.select("d", F.posexplode("sig").alias("e", "v"))
+    # Entries of different seeds differ, so the value alone names the bucket.
+    entries = nodes.select("d", F.lit(0).alias("e"), F.explode("sig").alias("v"))
     # Buckets of at least two texts, with each text's rank in its bucket.
     buckets = entries.groupBy("e", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("e", "v")
     ranked = entries.join(buckets, ["e", "v"]).withColumn("r", F.row_number().over(W.partitionBy("e", "v").orderBy("d")))

@@ -161,6 +161,44 @@ def test_near_classes(spark):
     assert near_dup.with_classes(df.limit(0)).count() == 0
 
 
+def swapped(r, a, n):
+    """a with n words changed at n different places."""
+    b = list(a)
+    for i in r.sample(range(len(b)), n):
+        b[i] = f"s{r.randrange(10**6)}"
+    return b
+
+
+def test_similar_texts_become_candidates():
+    r = random.Random(41)
+    shared = lambda f, x, y: bool(set(f(x).tolist()) & set(f(y).tolist()))
+    for n, similarity, least in ((300, 0.8, 0.95), (100, 0.8, 0.9), (300, 0.9, 0.99), (100, 0.9, 0.99)):
+        pairs = [(x := words(r.random(), n, 10**6), swapped(r, x, round(n * (1 - similarity)))) for _ in range(100)]
+        assert sum(shared(near_dup.signature, x, y) for x, y in pairs) >= 100 * least
+    for n in range(1, near_dup.SHORT + 1):
+        for _ in range(40):
+            x = words(r.random(), n, 50)
+            y = changed(r, x, r.randint(0, n // 4))
+            if 0 < len(y) <= near_dup.SHORT and near_dup.similar(x, y):
+                assert shared(near_dup.blocks, x, y)
+
+
+def test_short_near_copies_against_all_pairs(spark):
+    r = random.Random(42)
+    rows = []
+    for i in range(40):
+        x = words(1000 + i, r.randint(5, 50), 3000)
+        rows += [x, swapped(r, x, len(x) // 5)]
+    root = {i: i for i in range(len(rows))}
+    for i in range(len(rows)):
+        for j in range(i):
+            if near_dup.similar(rows[i], rows[j]):
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    got = {x.doc_id: x.class_id for x in near_dup.with_classes(docs(spark, [(i, " ".join(t), "x", 1) for i, t in enumerate(rows)])).collect()}
+    assert got == root
+
+
 def test_a_chain_of_near_copies_is_one_class(spark):
     r = random.Random(9)
     text, rows = words(3, 300, 3000), []
