@@ -4,8 +4,9 @@ A signature entry takes the LEAST occurrence-labelled word shingles with the lea
 that documents collide in proportion to their edit similarity, not only to their common content. Short texts also collide
 by blocks of words: of one block more than edits are allowed, one is unchanged.
 
-Equal texts are one node from the start. In a bucket of equal entries every text is aligned with the bucket's first, then with
-the next ones in rounds that grow, but only while the bucket holds texts that are not yet linked; none is left out.
+Equal texts are one node from the start. Every text is first aligned with the first of its largest bucket of equal entries, then
+one text of each class in a bucket with the bucket's first. Texts of different classes that still share a bucket all
+meet, if they share one of their rarest words, as all similar texts do; so no link between candidates is left out.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -181,17 +183,22 @@ def _columns(a: list[int], b: list[int], most: int) -> int | None:
 
 def similar(x: list[str], y: list[str]) -> bool:
     """Whether 1 - edits / longer length, over words, is SIMILARITY or more."""
-    longer = max(len(x), len(y))
-    most = int(longer * (1 - SIMILARITY) + 1e-9)
-    if abs(len(x) - len(y)) > most:
-        return False
     numbers: dict[str, int] = {}
-    a, b = (np.fromiter((numbers.setdefault(w, len(numbers)) for w in t), np.int64, len(t)) for t in (x, y))
+    return similar_numbers(*(numbered(t, numbers) for t in (x, y)))
+
+
+def numbered(words: list[str], numbers: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of the words, sorted numbers with occurrence); `numbers` learns new words."""
+    n = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+    return n, np.sort(n << 32 | occurrences(n)) if len(n) else n
+
+
+def similar_numbers(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> bool:
+    most = budget(longer := max(len(x[0]), len(y[0])))
     # Words that one text has more of than the other each need an edit: a quick bound before any alignment.
-    ca, cb = np.bincount(a, minlength=len(numbers)), np.bincount(b, minlength=len(numbers))
-    if max(np.maximum(ca - cb, 0).sum(), np.maximum(cb - ca, 0).sum()) > most:
+    if min(len(x[0]), len(y[0])) < longer - most or len(np.intersect1d(x[1], y[1], assume_unique=True)) < longer - most:
         return False
-    return distance_within(a, b, most) is not None
+    return distance_within(x[0], y[0], most) is not None
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
@@ -205,29 +212,125 @@ def _signatures(docs: DataFrame) -> DataFrame:
     return docs.select("d", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text").mapInArrow(run, "d long, h1 long, h2 long, sig array<long>")
 
 
+#: About so many pairs are verified at a time in a task; and the least number of parts into which each side is dealt.
+PAIRS_AT_ONCE, SIDES = 2000, 8
+
+
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are similar. Only the texts concerned are shuffled."""
-    concerned = settle(pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct())
-    texts = possible(docs, "d", concerned, concerned.count()).join(concerned, "d", "left_semi").dropDuplicates(["d"])
-    both = pairs.join(texts.select(F.col("d").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("d").alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y")
+    """The pairs (a, b) whose texts are similar.
+
+    Pairs are dealt into blocks by both ids; a text goes once to each block where it has a pair, so a text with many
+    partners is not copied for each. Blocks grow in number with the pairs, not in size.
+    """
+    side = max(SIDES, isqrt(pairs.count() // PAIRS_AT_ONCE))
+    part = lambda c: F.pmod(F.xxhash64(F.lit("part"), c), F.lit(side))
+    blocks_ = settle(pairs.select((part("a") * side + part("b")).alias("k"), "a", "b"))
+    places = settle(blocks_.select("k", F.explode(F.array("a", "b")).alias("d")).distinct())
+    texts = possible(docs, "d", places.select("d"), places.count()).join(places, "d").select("k", "d", "text")
+
+    def run(these: pa.Table, texts: pa.Table) -> pa.Table:
+        numbers: dict[str, int] = {}
+        least: dict[int, str] = {}
+        for d, t in zip(texts["d"].to_pylist(), texts["text"].to_pylist(), strict=True):
+            if d not in least or t < least[d]:
+                least[d] = t
+        held = {d: numbered(t.split(), numbers) for d, t in least.items()}
+        keep = [similar_numbers(held[a], held[b]) for a, b in zip(these["a"].to_pylist(), these["b"].to_pylist(), strict=True)]
+        return these.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return blocks_.groupBy("k").cogroup(texts.groupBy("k")).applyInArrow(run, "a long, b long")
+
+
+#: Word counts that order words by rarity are kept in so many hash buckets; the order decides cost only, not results.
+RARITY_BUCKETS = 1 << 16
+#: Bits of parity by which pairs are ruled out before any text is read (cost only).
+PARITY_WORDS = 16
+#: So many shared rare words of a text before each are looked at, lest a pair be made again (cost only).
+BEFORE = 8
+
+
+def _labelled_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, hash of each word with the number of its earlier occurrences)."""
+    h = shingle_hashes(words, 1)
+    return h, mix(h + occurrences(h).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _word_counts(texts: DataFrame) -> np.ndarray:
+    """Count of words by hash bucket over all rows of (d, text): RARITY_BUCKETS numbers, whatever the size of the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(RARITY_BUCKETS, np.int64)
         for batch in batches:
-            keep = [similar(x.as_py().split(), y.as_py().split()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for t in batch.column(0):
+                if words := t.as_py().split():
+                    total += np.bincount((shingle_hashes(words, 1) % np.uint64(RARITY_BUCKETS)).astype(np.int64), minlength=RARITY_BUCKETS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["b", "n"])
 
-    return both.mapInArrow(run, "a long, b long")
+    counts = np.zeros(RARITY_BUCKETS, np.int64)
+    for b, n in texts.select("text").mapInArrow(run, "b long, n long").groupBy("b").agg(F.sum("n")).toLocalIterator():
+        counts[b] = n
+    return counts
 
 
-def _rounds(largest: int) -> Iterator[tuple[int, int]]:
-    """(first, last) rank of the texts that meet all later ones of their bucket, till every pair has met.
+def rare_words(words: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the text's rarest labelled words, parities of all): two similar texts share one of the hashes.
 
-    A bucket whose texts are all of one class takes no further part, so that few texts meet in late rounds.
+    The longer text, of n words, keeps all but budget(n) of its words in the shorter, so the budget(n) + 1 rarest of each
+    have a word in common; the shorter's number is no smaller than it needs. The parities differ in no more bits than
+    the texts in words.
     """
-    low, high = 1, 1
-    while low < max(largest, 2):
-        yield low, high
-        low, high = high + 1, 10 * high
+    h, marked = _labelled_words(words)
+    order = np.lexsort((marked, counts[(h % np.uint64(RARITY_BUCKETS)).astype(np.int64)]))
+    bits = np.bincount((marked % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return marked[order[: budget(len(words)) + 1]].view(np.int64), np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def _rare_rows(texts: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(i, w, d, root, n, m0, ...) for each rare word of (d, root, text), the rarest first."""
+    held = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [(rare_words(w := t.as_py().split(), held.value), len(w)) for t in batch.column(2)]
+            cols = [pa.array([x[0][0] for x in made], pa.list_(pa.int64())), batch.column(0), batch.column(1), pa.array([x[1] for x in made], pa.int32()), pa.array([x[0][1] for x in made], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["w", "d", "root", "n", "m"])
+
+    rows = texts.select("d", "root", "text").mapInArrow(run, "w array<long>, d long, root long, n int, m array<long>")
+    return rows.select(F.posexplode("w").alias("i", "w"), "d", "root", "n", *[F.get("m", F.lit(i)).alias(f"m{i}") for i in range(PARITY_WORDS)])
+
+
+def _rooted(shared: DataFrame, classes: DataFrame | None) -> DataFrame:
+    """Rows of buckets that hold more than one class, with each text's class as `root`."""
+    if classes is None:
+        rooted = shared.withColumn("root", F.col("d"))
+    else:
+        rooted = shared.join(classes.select(F.col("node").alias("d"), "root"), "d", "left").withColumn("root", F.coalesce("root", "d"))
+    rooted = settle(rooted)
+    mixed = rooted.groupBy("v").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("v")
+    return rooted.join(mixed, "v", "left_semi")
+
+
+def _remaining(known: DataFrame, rooted: DataFrame) -> DataFrame:
+    """All pairs (a, b) of texts in `rooted`, of different classes, that may be similar.
+
+    Texts that share only a common passage fill buckets without being similar; comparing all of these would grow with
+    the square of their number. Similar texts also share one of their rarest words, so only texts that share such a word meet,
+    if lengths and parities allow.
+    """
+    concerned = settle(rooted.select("d", "root").distinct())
+    texts = possible(known, "d", concerned, concerned.count()).join(concerned, "d").dropDuplicates(["d"])
+    texts = settle(texts.select("d", "root", "text"))
+    rows = settle(_rare_rows(texts, _word_counts(texts)))
+    mixed = rows.groupBy("w").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("w")
+    # A pair that shares one of the words just before meets there already.
+    rows = settle(rows.join(mixed, "w", "left_semi").withColumn("before", F.collect_list("w").over(W.partitionBy("d").orderBy("i").rowsBetween(-BEFORE, -1))))
+    other = rows.select("w", F.col("d").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("before").alias("ba"), *[F.col(f"m{i}").alias(f"k{i}") for i in range(PARITY_WORDS)])
+    longer = F.greatest("n", "na")
+    allowed = F.floor(longer * (1 - SIMILARITY) + 1e-9)
+    differ = sum((F.bit_count(F.col(f"m{i}").bitwiseXOR(F.col(f"k{i}"))) for i in range(PARITY_WORDS)), F.lit(0))
+    fits = (F.col("a") < F.col("d")) & (F.col("ra") != F.col("root")) & (longer - F.least("n", "na") <= allowed) & (differ <= F.least("n", "na") - longer + 2 * allowed) & ~F.arrays_overlap("before", "ba")
+    return rows.alias("x").join(other.alias("y"), (F.col("x.w") == F.col("y.w")) & fits).select("a", F.col("d").alias("b")).distinct()
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -243,37 +346,25 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     heads = settle(signed.groupBy("h1", "h2").agg(F.min("d").alias("a"), F.count(F.lit(1)).alias("n")))
     copies = signed.join(heads.where("n > 1"), ["h1", "h2"]).where("d <> a").select("a", F.col("d").alias("b"))
     nodes = signed.join(heads.select(F.col("a").alias("d"), "h1", "h2"), ["d", "h1", "h2"], "left_semi")
-    # Entries of different seeds differ, so the value alone names the bucket.
-    entries = nodes.select("d", F.lit(0).alias("e"), F.explode("sig").alias("v"))
-    # Buckets of at least two texts, with each text's rank in its bucket.
-    buckets = entries.groupBy("e", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("e", "v")
-    ranked = entries.join(buckets, ["e", "v"]).withColumn("r", F.row_number().over(W.partitionBy("e", "v").orderBy("d")))
-    shared = settle(ranked)
-    largest = shared.agg(F.max("r")).first()[0] or 0
-    links, tried, classes = None, None, None
-    for low, high in _rounds(largest):
-        # In each bucket the texts of ranks low to high meet those of later rank that are not yet of their class.
-        these = shared
-        if classes is not None:
-            these = these.join(classes.select(F.col("node").alias("d"), "root"), "d", "left").withColumn("root", F.coalesce("root", "d"))
-            mixed = these.groupBy("e", "v").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("r").alias("r")).where((F.col("x") < F.col("y")) & (F.col("r") > low)).select("e", "v")
-            these = settle(these.join(mixed, ["e", "v"], "left_semi"))
-            if these.isEmpty():
-                break  # no bucket has both more than one class and texts left to meet
-        else:
-            these = these.withColumn("root", F.col("d"))
-        leaders = these.where(F.col("r").between(low, high)).select("e", "v", F.col("d").alias("a"), F.col("r").alias("ra"), F.col("root").alias("roota"))
-        pairs = these.join(leaders, ["e", "v"]).where("r > ra and root <> roota").select("a", F.col("d").alias("b")).distinct()
-        pairs = settle(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs)
-        tried = pairs if tried is None else tried.union(pairs)
-        if pairs.isEmpty():
-            continue
-        found = settle(_verified(known, pairs))
-        links = found if links is None else links.union(found)
-        if not found.isEmpty():
-            classes = settle(components(links))
-    if classes is None:
-        classes = copies.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
+    # Entries of different seeds differ, so the value alone names the bucket. Only buckets of two texts or more are kept.
+    entries = nodes.select("d", F.explode("sig").alias("v"))
+    buckets = settle(entries.groupBy("v").agg(F.min("d").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    shared = settle(possible(entries, "v", buckets, buckets.count()).join(buckets, "v"))
+    # Every text meets the first of its largest bucket; most copies of one text are then one class.
+    first = settle(shared.where("d > lead").groupBy("d").agg(F.max(F.struct("n", "lead")).alias("x")).select(F.col("x.lead").alias("a"), F.col("d").alias("b")))
+    links = settle(_verified(known, first))
+    classes = settle(components(links))
+    # Then one text of each class in a bucket meets the bucket's first.
+    rooted = settle(_rooted(shared, classes))
+    members = rooted.groupBy("v", "root").agg(F.min("d").alias("b"), F.first("lead").alias("a")).where("a <> b")
+    second = settle(members.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
+    links = links.union(settle(_verified(known, second)))
+    classes = settle(components(links))
+    # What is still apart meets in full.
+    tried = first.union(second)
+    third = settle(_remaining(known, settle(_rooted(shared, classes))).join(tried, ["a", "b"], "left_anti"))
+    links = links.union(settle(_verified(known, third)))
+    classes = settle(components(links))
     # A class of texts takes the least id over the copies too: that is the least of its nodes, each the least of its text.
     roots = classes.select(F.col("node").alias("a"), "root")
     linked = copies.join(roots, "a", "left").select(F.col("b").alias("node"), F.coalesce("root", "a").alias("root"))
