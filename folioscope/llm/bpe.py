@@ -7,7 +7,6 @@ their border would have fired while both sides of the border were still exposed.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 import struct
@@ -26,9 +25,11 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 _L, _N, _S = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
 SPLIT_LATIN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_L}{_N}{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 NOT_LATIN = re.compile("[^\0-\u024f]")
-PAIRS_REMEMBERED = 1_000_000
+PAIRS_REMEMBERED = 300_000
 #: Pre-tokens remembered by a worker, and the longest (in characters) that is remembered.
-REMEMBERED, REMEMBERED_CHARS = 500_000, 40
+REMEMBERED, REMEMBERED_CHARS = 150_000, 40
+#: Rows handed back at a time.
+ROWS_AT_ONCE = 512
 #: Characters of text pre-tokenised at a time between two safe cuts; only memory depends on it.
 CHUNK = 1 << 20
 
@@ -44,18 +45,13 @@ class Vocabulary:
     """Tokens, merges and the tests derived from them. Ids of merged tokens need not follow the merge order."""
 
     def __init__(self, file: str):
-        with open(file, encoding="utf-8") as f:
-            spec = json.load(f)
-        to_byte = {c: b for b, c in enumerate(visible_bytes())}
-        raw = lambda token: bytes(to_byte[c] for c in token)
-        ids = spec["model"]["vocab"]
-        self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+        model, self.bytes_of, self.special = _spec(file)
+        ids = model["vocab"]
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.bytes_of = {i: raw(t) for t, i in ids.items()} | {i: t.encode() for t, i in self.special.items()}
         self.rank: dict[tuple[int, int], int] = {}
         made_at: dict[int, int] = {}
         parts: dict[int, tuple[int, int]] = {}
-        for rank, merge in enumerate(spec["model"]["merges"]):
+        for rank, merge in enumerate(model["merges"]):
             left, right = merge if isinstance(merge, list) else merge.split(" ")
             pair = (ids[left], ids[right])
             self.rank[pair] = rank
@@ -187,9 +183,26 @@ class Encoder(dict):
                 at = end
         return b"".join(out)
 
-    def decode(self, packed: bytes) -> str:
-        """Text of packed ids, special tokens included; bytes that form no character become U+FFFD."""
-        return b"".join(map(self.vocabulary.bytes_of.__getitem__, np.frombuffer(packed, "<u4").tolist())).decode("utf-8", "replace")
+
+def _spec(file: str) -> tuple[dict, dict[int, bytes], dict[str, int]]:
+    """(the file's model, bytes of every id, ids of the special tokens)."""
+    with open(file, encoding="utf-8") as f:
+        spec = json.load(f)
+    to_byte = {c: b for b, c in enumerate(visible_bytes())}
+    special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+    raw = {i: bytes(to_byte[c] for c in t) for t, i in spec["model"]["vocab"].items() if t not in special}
+    return spec["model"], raw | {i: t.encode() for t, i in special.items()}, special
+
+
+@lru_cache(maxsize=2)
+def token_bytes(file: str) -> dict[int, bytes]:
+    """Bytes of each id: all that decoding needs."""
+    return _spec(file)[1]
+
+
+def text_of(packed: bytes, token: dict[int, bytes]) -> str:
+    """Text of packed ids, special tokens included; bytes that form no character become U+FFFD."""
+    return b"".join(map(token.__getitem__, np.frombuffer(packed, "<u4").tolist())).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -204,25 +217,35 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids")
     Null text counts as empty; an empty text has no ids. Whole texts of any length. All other columns stay; a column
     named like `ids` is replaced. Runs within each partition, no shuffle. `vocabulary`: path of the file on every executor.
     """
-    return _add(df, text, ids, T.BinaryType(), pa.binary(), lambda s, file=vocabulary: encoder(file).encode(s or ""))
+    return _add(df, text, {ids: (T.BinaryType(), pa.binary())}, lambda s, file=vocabulary: (encoder(file).encode(s or ""),))
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Adds column `text` decoded from packed `ids`; null counts as no ids. All other columns stay."""
-    return _add(df, ids, text, T.StringType(), pa.string(), lambda b, file=vocabulary: encoder(file).decode(b or b""))
+    return _add(df, ids, {text: (T.StringType(), pa.string())}, lambda b, file=vocabulary: (text_of(b or b"", token_bytes(file)),))
 
 
-def _add(df: DataFrame, source: str, target: str, kind: T.DataType, arrow: pa.DataType, f) -> DataFrame:
-    kept = [c for c in df.columns if c != target]
-    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(target, kind)])
+def round_trip(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", drop: tuple[str, ...] = ()) -> DataFrame:
+    """Adds packed `ids` of `text`, as encode does, and `decoded`, what decode makes of them, in one pass. Columns in `drop` go."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = pa.array([f(x.as_py()) for x in batch.column(batch.schema.get_field_index(source))], arrow)
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i, name in enumerate(batch.schema.names) if name != target] + [made], names=kept + [target])
+    def both(s, file=vocabulary):
+        e = encoder(file)
+        packed = e.encode(s or "")
+        return packed, text_of(packed, e.vocabulary.bytes_of)
+
+    return _add(df, text, {ids: (T.BinaryType(), pa.binary()), decoded: (T.StringType(), pa.string())}, both, drop)
 
-    return df.mapInArrow(run, schema)
 
+def _add(df: DataFrame, source: str, targets: dict[str, tuple[T.DataType, pa.DataType]], f, drop: tuple[str, ...] = ()) -> DataFrame:
+    kept = [c for c in df.columns if c not in targets and c not in drop]
+    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(name, kind) for name, (kind, _) in targets.items()])
 
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                made = [f(x.as_py()) for x in batch.column(batch.schema.get_field_index(source))]
+                columns = [pa.array([m[i] for m in made], arrow) for i, (_, arrow) in enumerate(targets.values())]
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + columns, names=[*kept, *targets])
+
+    return df.mapInArrow(run, schema)

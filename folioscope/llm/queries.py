@@ -35,12 +35,12 @@ def op3_wav_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, BPE_VOCABULARY).drop("text")
-    return bpe_digest(bpe.decode(ids, BPE_VOCABULARY))
+    """One row for each document: number and digest of its ids, and the digest of the text decoded from them."""
+    return bpe_digest(table(spark, sf_dir, "documents"))
 
 
-def bpe_digest(coded: DataFrame) -> DataFrame:
+def bpe_digest(docs: DataFrame) -> DataFrame:
+    coded = bpe.round_trip(docs.select("doc_id", "text"), BPE_VOCABULARY, drop=("text",))
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
