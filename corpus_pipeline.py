@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, decontaminate, langid, line_dedup, near_dup
+from folioscope.llm import decontaminate, langid, line_dedup, near_dup
 from folioscope.llm.common import settle, table
-from folioscope.llm.queries import BPE_VOCABULARY, PIECE_VOCABULARY, bpe_digest
+from folioscope.llm.queries import PIECE_VOCABULARY, bpe_digest
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose language is no more certain than this is rejected, as is one without letters.
@@ -46,9 +46,8 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, the encoding's length, its ids (packed) and the digests of ids and decoded text."""
-    ids = bpe.encode(docs.select("doc_id", "text"), BPE_VOCABULARY).drop("text")
-    return bpe_digest(bpe.decode(ids, BPE_VOCABULARY))
+    """doc_id, the encoding's length, and the digests of its ids and of the text decoded from them."""
+    return bpe_digest(docs)
 
 
 STAGES = [
