@@ -6,6 +6,8 @@ found exactly by one automaton pass over each document; what surrounds a hit is
 
 from __future__ import annotations
 
+import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import ahocorasick
@@ -17,10 +19,12 @@ from pyspark.sql import types as T
 
 #: Edits allowed for each hundred characters of an item (rounded down).
 EDITS_PER_100 = 6
-#: Items shorter than this (normalised) match only by chance and are not looked for.
+#: Items shorter than this (normalised) are looked for without edits, and as whole words.
 MIN_CHARS = 24
-#: Characters of items held by executors at once; more items go in several passes over the documents.
+#: Characters of items in one automaton; more items go in several blocks.
 BLOCK_CHARS = 8_000_000
+#: Automata that a worker process holds at once; with more blocks they are built again as they are needed.
+MATCHERS = 2
 #: Characters of a document searched at a time; blocks overlap, so results do not depend on it.
 SEARCH_CHARS = 1 << 22
 
@@ -68,11 +72,17 @@ def char_masks(item: str) -> dict[str, int]:
     return masks
 
 
+def budget(item: str) -> int:
+    """Edits allowed for a normalised item."""
+    return len(item) * EDITS_PER_100 // 100 if len(item) >= MIN_CHARS else 0
+
+
 class Matcher:
     """All pieces of a block of items in one automaton."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items = [(i, t, len(t) * EDITS_PER_100 // 100) for i, t in items]
+        self.items = [(i, t, budget(t)) for i, t in items]
+        self.longest = max((len(t) + 2 * e for _, t, e in self.items), default=0)
         found: dict[str, list[tuple[int, int]]] = {}
         for n, (_, t, edits) in enumerate(self.items):
             for at, piece in pieces(t, edits):
@@ -90,33 +100,58 @@ class Matcher:
         if self.empty:
             return []
         best: dict[int, tuple[int, int]] = {}
-        tried: dict[int, int] = {}  # item: end of the last window tried
-        longest = max(len(t) + 2 * e for _, t, e in self.items)
+        windows: dict[int, list[list[int]]] = {}
         for base in range(0, max(1, len(text)), SEARCH_CHARS):
-            for end, (size, uses) in self.automaton.iter(text[base : base + SEARCH_CHARS + longest]):
+            for end, (size, uses) in self.automaton.iter(text[base : base + SEARCH_CHARS + self.longest]):
                 for n, at in uses:
-                    if best.get(n, (1,))[0] == 0:
-                        continue
                     _, item, edits = self.items[n]
                     begin = base + end + 1 - size - at
-                    # Windows of hits at the same shift are the same; the window covers every match of this piece here.
-                    lo, hi = max(0, begin - edits), begin + len(item) + edits
-                    if tried.get(n) == (lo, hi):
+                    if len(item) < MIN_CHARS:
+                        after = begin + len(item)
+                        if (begin == 0 or text[begin - 1] == " ") and (after == len(text) or text[after] == " "):
+                            best[n] = (0, after)
                         continue
-                    tried[n] = (lo, hi)
-                    if n not in self.masks:
-                        self.masks[n] = char_masks(item)
-                    d, e = best_match(item, text[lo:hi], self.masks[n])
-                    if d <= edits and d < best.get(n, (edits + 1,))[0]:
-                        best[n] = (d, lo + e)
+                    # Every match of this piece here lies in this window; windows that meet are searched as one.
+                    lo, hi = max(0, begin - edits), min(len(text), begin + len(item) + edits)
+                    held = windows.setdefault(n, [])
+                    if held and lo <= held[-1][1] and held[-1][0] <= hi:
+                        held[-1] = [min(lo, held[-1][0]), max(hi, held[-1][1])]
+                    else:
+                        held.append([lo, hi])
+        for n, held in windows.items():
+            _, item, edits = self.items[n]
+            if n not in self.masks:
+                self.masks[n] = char_masks(item)
+            held.sort()
+            while held:
+                lo, hi = held.pop(0)
+                while held and held[0][0] <= hi:
+                    hi = max(hi, held.pop(0)[1])
+                d, e = best_match(item, text[lo:hi], self.masks[n])
+                if d <= edits and d < best.get(n, (edits + 1,))[0]:
+                    best[n] = (d, lo + e)
         return sorted((self.items[n][0], d, e) for n, (d, e) in best.items())
 
 
+_matchers: OrderedDict[tuple[str, int], Matcher] = OrderedDict()
+
+
+def _matcher(job: str, block: int, items) -> Matcher:
+    """This worker's matcher of a block, built once for all tasks as long as MATCHERS allow."""
+    key = (job, block)
+    if key not in _matchers:
+        while len(_matchers) >= MATCHERS:
+            _matchers.popitem(last=False)
+        _matchers[key] = Matcher(items.value)
+    _matchers.move_to_end(key)
+    return _matchers[key]
+
+
 def item_blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, str]]]:
     """Normalised items in blocks of at most BLOCK_CHARS characters; the driver holds one block at a time."""
     block, size = [], 0
     for r in items.select(item_id, text).where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).distinct().toLocalIterator():
-        if len(t := normalise(r[1])) >= MIN_CHARS:
+        if t := normalise(r[1]):
             block.append((r[0], t))
             size += len(t)
         if size >= BLOCK_CHARS:
@@ -133,27 +168,28 @@ def find_items(df: DataFrame, items: DataFrame, text: str = "text", item_id: str
     """Adds `matches`: an array of (item_id, distance, end in the normalised document) of the items that the document holds.
 
     An item is held if some part of the whole normalised text is within EDITS_PER_100 % edits of it; `distance` is the least
-    one and `end` its last place among the parts verified. Null or empty texts hold none; null items, and those under
-    MIN_CHARS characters, are not looked for. Repeated items count once each id and text. Other columns stay, a namesake
-    is replaced. No shuffle of documents; each block of items is broadcast, BLOCK_CHARS characters at most.
+    one and `end` its last place among the parts verified. An item under MIN_CHARS characters is held if the text has it
+    unchanged, as whole words. Null or empty texts hold none; null and blank items are not looked for. Repeated items
+    count once each id and text. Other columns stay, a namesake is replaced. No shuffle of documents; items are
+    broadcast in blocks of BLOCK_CHARS characters, and one pass over the documents searches for all blocks.
     """
     spark = df.sparkSession
     kept = [c for c in df.columns if c != matches]
-    out = df.select(*kept, F.array().cast(MATCHES).alias(matches))
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(matches, MATCHES)])
     arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("end", pa.int64())]))
-    for block in item_blocks(items, item_id, item_text):
-        held = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(held.value)
-            for batch in batches:
-                texts, before = batch.column(batch.schema.get_field_index(text)), batch.column(batch.schema.get_field_index(matches))
-                made = [(b.as_py() or []) + [{"item_id": i, "distance": d, "end": e} for i, d, e in matcher.find(normalise(t.as_py()))] for t, b in zip(texts, before, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + [pa.array(made, arrow)], names=[*kept, matches])
-
-        out = out.mapInArrow(run, schema)
-    return out
+    job, blocks = uuid.uuid4().hex, [spark.sparkContext.broadcast(b) for b in item_blocks(items, item_id, item_text)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [normalise(t.as_py()) for t in batch.column(batch.schema.get_field_index(text))]
+            made: list[list[dict]] = [[] for _ in texts]
+            for i, held in enumerate(blocks):
+                matcher = _matcher(job, i, held)
+                for t, m in zip(texts, made, strict=True):
+                    m.extend({"item_id": k, "distance": d, "end": e} for k, d, e in matcher.find(t))
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + [pa.array(made, arrow)], names=[*kept, matches])
+
+    return df.mapInArrow(run, schema)
 
 
 def brute_distance(item: str, text: str) -> int:

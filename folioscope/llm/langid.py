@@ -7,13 +7,13 @@ probabilities are fitted by expectation maximisation over the same lattices.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +29,9 @@ SMOOTHING = 0.01
 MAX_LANGUAGES = 500
 WORDS_REMEMBERED = 400_000
 UNDETERMINED = "und"
-LETTER, WORD = re.compile(r"[^\W\d_]"), re.compile(r"[^\W\d_]+")
+LETTER, WORD = regex.compile(r"\p{L}"), regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: Numbers that a lattice of words holds at once, over all positions and languages.
+LATTICE_CELLS = 2_000_000
 
 
 @lru_cache(maxsize=2)
@@ -46,13 +48,18 @@ def pieces(vocabulary: str) -> tuple[dict[str, int], int]:
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-case runs of letters, long ones cut."""
+    """Lower-case runs of letters (and the marks on them), long ones cut."""
     words = WORD.findall(text.lower())
     if len(text) > WORD_CHARS and max(map(len, words), default=0) > WORD_CHARS:
         return [w[i : i + WORD_CHARS] for w in words for i in range(0, len(w), WORD_CHARS)]
     return words
 
 
+def words_at_once(languages: int) -> int:
+    """Words whose lattice keeps within LATTICE_CELLS."""
+    return max(1, LATTICE_CELLS // ((WORD_CHARS + 2) * max(1, languages)))
+
+
 class Lattice:
     """All pieces that fit into some words: for each end position, arrays of word, start and piece."""
 
@@ -137,8 +144,9 @@ def fit(df: DataFrame, vocabulary: str, text: str = "text", lang: str = "lang",
                         for w, c in Counter(words_of(t)).items():
                             seen.setdefault(w, Counter())[i] += c
                     words = list(seen)
-                    for lo in range(0, len(words), 20_000):
-                        part = words[lo : lo + 20_000]
+                    step = words_at_once(prob.shape[1])
+                    for lo in range(0, len(words), step):
+                        part = words[lo : lo + step]
                         held = np.zeros((len(part), prob.shape[1]))
                         for r, w in enumerate(part):
                             for i, c in seen[w].items():
@@ -169,8 +177,9 @@ class Scorer(dict):
             self.scores = self.scores[:0]
         new = [w for w in words if w not in self]
         parts = [self.scores]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        step = words_at_once(self.scores.shape[1])
+        for at in range(0, len(new), step):
+            part = new[at : at + step]
             parts.append(np.log(Lattice(part, self.vocabulary).totals(self.model["prob"])))
             for w in part:
                 self[w] = len(self)

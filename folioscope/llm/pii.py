@@ -6,6 +6,7 @@ The field is trained from a small labelled table and decoded by Viterbi over num
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .pii_labels import LABELLED
+from .pii_labels import GIVEN_NAMES, labelled
 
 KINDS = ["email", "ip", "card", "phone", "name", "id"]
 #: Labels of the field: none, or the kind of personal data that a word belongs to.
@@ -21,8 +22,9 @@ LABELS = ["O", "email", "phone", "name", "id"]
 #: Added to the score of O at each word when decoding, so that doubtful words stay unmarked.
 CAUTION = 1.5
 MAX_LABELLED_ROWS = 20_000
-FEATURE_BUCKETS = 1 << 12
-EPOCHS, STEP, DECAY = 150, 0.2, 1e-3
+EPOCHS, STEP, DECAY = 80, 0.25, 2e-5
+#: Words whose scores a worker remembers; characters of text, and words times lines, that it decodes at a time.
+REMEMBERED, CHARS_AT_ONCE, CELLS_AT_ONCE = 200_000, 1 << 20, 1 << 18
 
 # ---------------------------------------------------------------- fixed patterns
 
@@ -87,58 +89,102 @@ def shape(word: str) -> str:
     return word.replace("\0", "d")[:24]
 
 
-def bucket(feature: str) -> int:
-    import zlib
+_REPEAT = re.compile(r"(.)\1+")
+_SPELLED = re.compile(r"[(\[{]\s*(?:at|dot)\s*[)\]}]")
+
+
+def word_features(word: str, cues: frozenset[str]) -> list[str]:
+    """What the field sees of a word: separate features, so that an unseen combination still has the weights of its parts."""
+    bare = word.strip(TRIM)[:64]
+    low, whole = bare.lower(), shape(bare)
+    digits = sum(c.isdigit() for c in bare)
+    out = ["any", f"shape={whole}", f"short={_REPEAT.sub(lambda m: m[1], whole)}", f"first={word[:1] if word[:1] in TRIM else ''}", f"digits={min(digits, 12)}"]
+    if low in cues:
+        out.append(f"cue={low}")
+    elif low.isalpha():
+        out.append("uncued")
+    if word[-1:] in ".,;:!?)]":
+        out.append(f"mark={word[-1:]}")
+    if bare[:1].isupper() and len(bare) > 1 and bare[1:].islower():
+        out.append("capital")
+        if low in GIVEN_NAMES:
+            out.append("given")
+    if bare.isalpha():
+        out.append(f"suffix={low[-2:]}" if len(low) > 4 else f"letters={len(low)}")
+    if digits and any(c.isalpha() for c in bare):
+        out.append("letters and digits")
+    if digits and any(c in "-./" for c in bare):
+        out.append("digits and marks")
+    if digits == 9 and whole == "ddd-dd-dddd":
+        out.append("three two four")
+    if _SPELLED.search(word.lower()):
+        out.append("spelled")
+    return out
 
-    return zlib.crc32(feature.encode()) % FEATURE_BUCKETS
 
+class Scores(dict):
+    """Word to its row in `table`: the label scores that it gives to itself, the word after and the word before it.
 
-class Features(dict):
-    """Word to the tuple of its feature buckets; cue words are those that two sentences of the labelled table have outside of labels."""
+    Row 0 stands for no word (the ends of a line).
+    """
 
-    def __init__(self, cues: frozenset[str]):
+    def __init__(self, model: dict):
         super().__init__()
-        self.cues = cues
+        self.model = model
+        self.table, self.used = np.zeros((1024, 3, len(LABELS)), np.float32), 0
+        self._add([model["number"]["no word"]])
 
-    def of(self, word: str) -> str:
-        bare = word.strip(TRIM)
-        low = bare.lower()
-        return f"{shape(bare)}|{low if low in self.cues else ''}|{word[-1:] if word[-1:] in '.,;:!?)' else ''}"
+    def _add(self, numbers: list[int]) -> int:
+        if self.used == len(self.table):
+            self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+        self.table[self.used] = self.model["weights"][:, numbers].sum(axis=1)
+        self.used += 1
+        return self.used - 1
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        number = self.model["number"]
+        self[word] = row = self._add([number[f] for f in word_features(word, self.model["cues"]) if f in number])
+        return row
+
+    def trim(self) -> None:
+        """Forgets all words once there are more than REMEMBERED; rows given out before are void then."""
+        if self.used > REMEMBERED:
             self.clear()
-        found = bucket(self.of(word))
-        if len(word) < 40:
-            self[word] = found
-        return found
+            self.used = 1
 
 
-def train(labelled: list[tuple[list[str], list[str]]]) -> dict:
+def train(labelled_rows: list[tuple[list[str], list[str]]]) -> dict:
     """Fits the field by gradient ascent on the conditional likelihood, over padded numpy batches.
 
-    `labelled`: (words, labels) of each sentence. Features of a word: the bucket of its shape, cue and last mark, for the
-    word itself, the word before and the word after.
+    `labelled_rows`: (words, labels) of each sentence. A label's score at a word is the sum of weights of the features of the
+    word itself, of the word before and of the word after. Cues are words that three sentences have outside of labels.
     """
-    plain = [w for words, tags in labelled for w in {w.strip(TRIM).lower() for w, t in zip(words, tags, strict=True) if t == "O"}]
-    cues = frozenset(w for w in set(plain) if plain.count(w) >= 2 and w)
-    f = Features(cues)
-    n, t, s = len(labelled), max(len(w) for w, _ in labelled), len(LABELS)
-    own = np.full((n, t + 2), FEATURE_BUCKETS, np.int64)
+    sentences: Counter[str] = Counter()
+    for words, tags in labelled_rows:
+        sentences.update({w.strip(TRIM).lower() for w, t in zip(words, tags, strict=True) if t == "O"})
+    cues = frozenset(w for w, n in sentences.items() if n >= 3 and w.isalpha())
+    number: dict[str, int] = {"no word": 0}
+    known = {w: i + 1 for i, w in enumerate(sorted({w for words, _ in labelled_rows for w in words}))}
+    of_word = [[0]] + [[number.setdefault(f, len(number)) for f in word_features(w, cues)] for w in known]
+    x = np.zeros((len(of_word), len(number)), np.float32)
+    for i, features in enumerate(of_word):
+        x[i, features] = 1
+    n, t, s = len(labelled_rows), max(len(w) for w, _ in labelled_rows), len(LABELS)
+    own = np.zeros((n, t + 2), np.int64)
     gold = np.zeros((n, t), np.int64)
-    for i, (words, tags) in enumerate(labelled):
-        own[i, 1 : len(words) + 1] = [f[w] for w in words]
-        gold[i, : len(words)] = [LABELS.index(x) for x in tags]
-    length = np.array([len(w) for w, _ in labelled])
+    for i, (words, tags) in enumerate(labelled_rows):
+        own[i, 1 : len(words) + 1] = [known[w] for w in words]
+        gold[i, : len(words)] = [LABELS.index(y) for y in tags]
+    length = np.array([len(w) for w, _ in labelled_rows])
     inside = np.arange(t)[None] < length[:, None]
     views = [own[:, 1:-1], own[:, :-2], own[:, 2:]]
-    w = [np.zeros((FEATURE_BUCKETS + 1, s)) for _ in views]
+    w = [np.zeros((len(number), s), np.float32) for _ in views]
     tr = np.zeros((s + 1, s))  # last row: from the start
-    moments = [np.zeros_like(x) for x in [*w, tr]]
+    moments = [np.zeros_like(y) for y in [*w, tr]]
     hot = np.eye(s)[gold] * inside[..., None]
     pairs = inside[:, 1:]
     for _ in range(EPOCHS):
-        e = sum(x[v] for x, v in zip(w, views, strict=True))
+        e = sum((x @ y)[v] for y, v in zip(w, views, strict=True)).astype(np.float64)
         alpha, beta = np.zeros((n, t, s)), np.zeros((n, t, s))
         alpha[:, 0] = e[:, 0] + tr[s]
         for i in range(1, t):
@@ -152,18 +198,19 @@ def train(labelled: list[tuple[list[str], list[str]]]) -> dict:
         edge = np.exp(alpha[:, :-1, :, None] + tr[None, None, :s] + (e[:, 1:] + beta[:, 1:])[:, :, None] - z[:, None, None, None]) * pairs[..., None, None]
         gap = hot - node
         grads = []
-        for x, v in zip(w, views, strict=True):
-            g = -DECAY * n * x
-            np.add.at(g, v[inside], gap[inside])
-            grads.append(g)
+        for y, v in zip(w, views, strict=True):
+            by_word = np.zeros((len(of_word), s), np.float32)
+            np.add.at(by_word, v[inside], gap[inside].astype(np.float32))
+            grads.append(x.T @ by_word - DECAY * n * y)
         g = -DECAY * n * tr
         g[:s] += np.einsum("nta,ntb->ab", hot[:, :-1] * pairs[..., None], hot[:, 1:]) - edge.sum((0, 1))
         g[s] += gap[:, 0].sum(0)
         grads.append(g)
-        for x, g, m in zip([*w, tr], grads, moments, strict=True):
+        for y, g, m in zip([*w, tr], grads, moments, strict=True):
             m += g * g
-            x += STEP * g / np.sqrt(m + 1e-8)
-    return {"cues": cues, "own": w[0].astype(np.float32), "before": w[1].astype(np.float32), "after": w[2].astype(np.float32), "moves": tr.astype(np.float32)}
+            y += STEP * g / np.sqrt(m + 1e-8)
+    # Order of the views: own, what a word gives to the one after it, what it gives to the one before.
+    return {"cues": cues, "number": number, "weights": np.stack(w).astype(np.float32), "moves": tr.astype(np.float32)}
 
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
@@ -171,23 +218,23 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
 
 
-def viterbi(model: dict, lines: list[np.ndarray]) -> list[np.ndarray]:
-    """Best labels of each line of feature buckets; lines of like length go together."""
+def viterbi(model: dict, table: np.ndarray, lines: list[np.ndarray]) -> list[np.ndarray]:
+    """Best labels of each line of rows of `table`; lines of like length go together, within CELLS_AT_ONCE."""
     s, out = len(LABELS), [None] * len(lines)
     moves, order, at = model["moves"], sorted(range(len(lines)), key=lambda i: len(lines[i])), 0
     while at < len(order):
         t = len(lines[order[at]])
         group = []
-        while at < len(order) and len(group) < 1024 and len(lines[order[at]]) <= t + t // 4 + 4:
+        while at < len(order) and (not group or (len(group) + 1) * len(lines[order[at]]) <= CELLS_AT_ONCE) and len(lines[order[at]]) <= t + t // 4 + 4:
             group.append(order[at])
             at += 1
         length = np.array([len(lines[i]) for i in group])
         t, n = int(length.max()), len(group)
         # Padded with the mark of no word on both sides, as in training.
-        own = np.full((n, t + 2), FEATURE_BUCKETS, np.int64)
+        own = np.zeros((n, t + 2), np.int64)
         for r, i in enumerate(group):
             own[r, 1 : length[r] + 1] = lines[i]
-        e = model["own"][own[:, 1:-1].T] + model["before"][own[:, :-2].T] + model["after"][own[:, 2:].T]
+        e = table[own[:, 1:-1].T, 0] + table[own[:, :-2].T, 1] + table[own[:, 2:].T, 2]
         e[..., 0] += CAUTION
         e = np.ascontiguousarray(e.transpose(0, 2, 1))  # position, label, line
         back = np.empty((t, s, n), np.int8)
@@ -220,18 +267,19 @@ def viterbi(model: dict, lines: list[np.ndarray]) -> list[np.ndarray]:
 _WORD = re.compile(r"\S+")
 
 
-def field_spans(model: dict, features: Features, texts: list[str]) -> list[list[tuple[int, int, str]]]:
+def field_spans(scores: Scores, texts: list[str]) -> list[list[tuple[int, int, str]]]:
     """Spans that the field finds in each text, line by line; marks around a span are trimmed."""
+    scores.trim()
     lines, where = [], []
     for d, text in enumerate(texts):
         at = 0
         for line in text.split("\n"):
             if words := line.split():
-                lines.append(np.fromiter(map(features.__getitem__, words), np.int64, len(words)))
+                lines.append(np.fromiter(map(scores.__getitem__, words), np.int64, len(words)))
                 where.append((d, at, line))
             at += len(line) + 1
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    for (d, at, line), path in zip(where, viterbi(model, lines), strict=True):
+    for (d, at, line), path in zip(where, viterbi(scores.model, scores.table, lines), strict=True):
         if not path.any():
             continue
         spans, open_kind = [], None
@@ -254,13 +302,13 @@ def field_spans(model: dict, features: Features, texts: list[str]) -> list[list[
 
 def labelled_table(spark) -> DataFrame:
     """The built-in labelled table: sentence, position, word, label."""
-    rows = [(i, j, w, t) for i, (words, tags) in enumerate(LABELLED) for j, (w, t) in enumerate(zip(words, tags, strict=True))]
+    rows = [(i, j, w, t) for i, (words, tags) in enumerate(labelled()) for j, (w, t) in enumerate(zip(words, tags, strict=True))]
     return spark.createDataFrame(rows, "sentence int, position int, word string, label string")
 
 
-def fit(labelled: DataFrame) -> dict:
+def fit(table: DataFrame) -> dict:
     """Trains the field from a labelled table of at most MAX_LABELLED_ROWS rows (more are refused)."""
-    rows = labelled.dropna().limit(MAX_LABELLED_ROWS + 1).collect()
+    rows = table.dropna().limit(MAX_LABELLED_ROWS + 1).collect()
     if len(rows) > MAX_LABELLED_ROWS:
         raise ValueError(f"more than {MAX_LABELLED_ROWS} labelled rows")
     sentences: dict = {}
@@ -271,6 +319,19 @@ def fit(labelled: DataFrame) -> dict:
     return train(list(sentences.values()))
 
 
+def _by_size(column: pa.Array) -> Iterator[list[str]]:
+    """The texts in groups of about CHARS_AT_ONCE characters; null as empty."""
+    held, size = [], 0
+    for x in column:
+        held.append(x.as_py() or "")
+        size += len(held[-1]) + 1
+        if size >= CHARS_AT_ONCE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("base", T.BooleanType())]))
 
 
@@ -286,12 +347,11 @@ def find_pii(df: DataFrame, model: dict, text: str = "text", spans: str = "pii")
     arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("base", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features(held.value["cues"])
+        scores = Scores(held.value)
         for batch in batches:
             made = []
-            for at in range(0, batch.num_rows, 200):
-                texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).slice(at, 200).to_pylist()]
-                for t, more in zip(texts, field_spans(held.value, features, texts), strict=True):
+            for texts in _by_size(batch.column(batch.schema.get_field_index(text))):
+                for t, more in zip(texts, field_spans(scores, texts), strict=True):
                     base = base_spans(t)
                     free = [s for s in more if all(s[1] <= b[0] or b[1] <= s[0] for b in base)]
                     found = sorted([(*s, True) for s in base] + [(*s, False) for s in free], key=lambda s: (s[0], KINDS.index(s[2])))

@@ -1,7 +1,8 @@
-"""A small labelled table of invented sentences: <kind words> marks personal data."""
+"""A small labelled table: invented sentences, and sentence forms filled by rule. <kind words> marks personal data."""
 
 from __future__ import annotations
 
+import random
 import re
 
 MARKED = """
@@ -95,15 +96,140 @@ id 24be64439e and code 5ea7 were made
 
 
 def parse(marked: str) -> list[tuple[list[str], list[str]]]:
+    """(words, labels) of each line; a word that holds part of a marked stretch has its label, with any mark that touches it."""
     out = []
     for line in filter(None, marked.splitlines()):
-        words, tags = [], []
-        for plain, kind, inner in re.findall(r"([^<]+)|<(\w+) ([^>]+)>", line):
-            for w in (plain or inner).split():
-                words.append(w)
-                tags.append("O" if plain else kind)
-        out.append((words, tags))
+        text, kinds, at = "", [], 0
+        for m in re.finditer(r"<(email|phone|name|id) ([^>]+)>", line):
+            text += line[at : m.start()] + m[2]
+            kinds += ["O"] * (len(text) - len(m[2]) - len(kinds)) + [m[1]] * len(m[2])
+            at = m.end()
+        text += line[at:]
+        kinds += ["O"] * (len(text) - len(kinds))
+        words = list(re.finditer(r"\S+", text))
+        out.append(([m[0] for m in words], [next((k for k in kinds[m.start() : m.end()] if k != "O"), "O") for m in words]))
     return out
 
 
-LABELLED = parse(MARKED)
+#: Common given names, and the family names, words and domains that fill the sentence forms.
+GIVEN_NAMES = frozenset(
+    """james john robert michael william david richard joseph thomas charles daniel matthew anthony mark donald steven paul andrew
+    joshua kenneth kevin brian george edward ronald timothy jason jeffrey ryan jacob gary nicholas eric jonathan stephen larry
+    justin scott brandon benjamin samuel frank gregory raymond alexander patrick jack dennis jerry peter henry adam nathan
+    mary patricia jennifer linda elizabeth barbara susan jessica sarah karen nancy lisa betty margaret sandra ashley kimberly
+    emily donna michelle carol amanda melissa deborah stephanie rebecca sharon laura cynthia kathleen amy angela anna brenda
+    emma ruth katherine christine helen maria heather diane julie alice claire sophie marie pierre jean luc hans karl jürgen
+    monika sabine ursula klaus wolfgang juan carlos luis miguel josé carmen isabel lucía pablo elena kate tom ben sam joe""".split()
+)
+FAMILY_NAMES = """Smith Johnson Williams Brown Jones Garcia Miller Davis Rodriguez Martinez Hernandez Lopez Gonzalez Wilson Anderson Thomas Taylor
+Moore Jackson Martin Lee Perez Thompson White Harris Sanchez Clark Ramirez Lewis Robinson Walker Young Allen King Wright Scott Torres
+Nguyen Hill Flores Green Adams Nelson Baker Hall Rivera Campbell Mitchell Carter Roberts O'Brien O'Connor McDonald Müller Schmidt
+Schneider Fischer Weber Meyer Wagner Becker Dubois Durand Leroy Moreau Fernández Muñoz Smith-Jones Rossi Novak Kowalski""".split()
+NAME_FORMS = """
+My name is {n} and I live here .
+my name is {n}, I work in the north
+I am {n}, the owner of the house
+{n} wrote: it was late
+Sincerely, {n}
+Best regards, {n}
+Kind regards {n}
+yours truly, {n}
+signed by {n} on Monday
+Name: {n}
+Full name: {n}
+patient {n} was seen today
+customer {n} asked for help
+contact {n} at the office
+please ask for {n} when you call
+{t} {n} was late
+{t} {n} said so
+{t} {f} spoke for an hour
+we saw {t} {f} at the station
+as {t} {n} told us, the ship had left
+on Friday {t} {n} and {t} {f} met
+it is not known. {t} {n} left the town
+the letter of {t} {f} was lost
+author: {n}
+my friend {n} came too
+her husband {n} stayed at home
+employee {n} was absent
+attn: {n}
+Dear {t} {f}, thank you for the letter
+Dear {n}, we write to you again
+""".strip().splitlines()
+TITLES = "Mr. Mr Mrs. Mrs Ms. Ms Dr. Dr Prof. Professor Miss Sir Herr Frau Mme M. Sr. Sra.".split()
+PHONE_FORMS = """
+call {p} now|phone {p} after six|tel: {p}|Tel. {p}|my number is {p} .|text me on {p} please|reach us at {p} or write|mobile: {p}|fax {p}, open daily|you can phone {p} at night|cell {p}|the office line is {p}|ring {p} and ask|contact: {p}|phone number: {p}|{p} is my phone number|{p} (office)
+""".strip().split("|")
+PHONES = ["({a}) {b}-{c}", "{a}-{b}-{c}", "{a}.{b}.{c}", "{a} {b} {c}", "0{a} {b} {c}", "0{a}/{b}{c}", "1-{a}-{b}-{c}", "0{a}-{b}{c}", "{a}-{c}"]
+EMAIL_FORMS = "write to {e} please|mail {e} for help|my email is {e} .|email: {e}|contact {e} today|send it to {e} now|reach me: {e}|you can email {e} or call|address: {e}|reply to {e}, thanks".split("|")
+EMAILS = ["{u} (at) {d} (dot) {s}", "{u} [at] {d} [dot] {s}", "{u}(at){d}(dot){s}", "{u}[at]{d}[dot]{s}", "{u} AT {d} DOT {s}", "{u} (at) {d}.{s}", "{u} {{at}} {d} {{dot}} {s}"]
+ID_FORMS = "SSN {i} is on file|ssn: {i}|social security number {i} was used|my SSN is {i} .|passport no. {j} expired|passport number {j}|Passport: {j}|license no. {j} was shown|driver license {j}|ID number {j} is mine|tax id {k}|member id: {j}|account number {k} was closed|the SSN {i} belongs to her|passport {j} was lost".split("|")
+PLAIN_FORMS = """
+{W} {w} the {w} of {w} {w} , and {w} was {w} .
+{W}. {W} {w} {w} the {w}. {W}, {w} {w}.
+in {y} the {w} had {m} {w} and {m} {w}
+{W} {W} {W} and {W} {W}
+the {w} was built in {y} for {m} {w}
+section {m}.{m} of the {w}, page {m}
+version {m}.{m}.{m} of {w}
+it cost {m}.{m} or {m} less than {y}
+{w}-{w} {w}_{w} {w}/{w} {w}={m}
+at {m}:{m} the {w} {w} left, {w} said
+{W} of the {W}: a {w} {w}
+on {m}-{m}-{y} they {w} {w}
+item {m} of {m}: {w} {w} ({m})
+call it a {w}. phone calls {w}. contact {w} was {w}
+my {w} is {w}, our number of {w} is {m}
+dear {w}, the name of the {w} is {w}
+write to {w}, mail the {w}, reach the {w}
+the {w} at the {w} dot {w} at {w}
+Regards to the {w}. Sincerely the {w} {w}
+Mr {w} and Mrs {w} the {w}
+{W}! {W}? {W}; the {W} {w} {m}
+patient {w} and customer {w} id {w} account {w}
+{m} {m} {m} {m}
+| {w} | {m} | {m} |
+{R}
+{w} {w} {R} {w}
+then {W} {W} {w} the {W}, {W} {W} {w}
+best {w}. Kind {w}, signed {w} on {m}
+""".strip().splitlines()
+ROWS_OF_A_FORM = 7
+
+
+def _invented(r: random.Random) -> str:
+    return "".join(r.choice(["th", "er", "an", "ing", "on", "re", "st", "ion", "ei", "sch", "que", "os", "é", "ly", "ou", "wh", "a", "o", "un"]) for _ in range(r.randint(1, 4)))
+
+
+def labelled(seed: int = 1, rows: int = ROWS_OF_A_FORM) -> list[tuple[list[str], list[str]]]:
+    """The sentences of MARKED and `rows` of each form with invented fillings: (words, labels) of each. Same seed, same table."""
+    r = random.Random(seed)
+    given = sorted(GIVEN_NAMES)
+
+    def number(n: int) -> str:
+        return "".join(r.choice("0123456789") for _ in range(n))
+
+    def name() -> str:
+        # Some names are of no list.
+        first = r.choice(given).title() if r.random() < 0.65 else _invented(r).title()
+        return f"<name {first} {r.choice(['', '', '', chr(65 + r.randrange(26)) + '. '])}{family()}>"
+
+    def family() -> str:
+        return r.choice(FAMILY_NAMES) if r.random() < 0.6 else _invented(r).title()
+
+    def filled(form: str) -> str:
+        made = form
+        for slot, value in (
+            ("{n}", name), ("{f}", lambda: f"<name {family()}>"), ("{t}", lambda: r.choice(TITLES)),
+            ("{p}", lambda: "<phone " + r.choice(PHONES).format(a=number(r.choice([2, 3, 3])), b=number(r.choice([3, 3, 4])), c=number(4)) + ">"),
+            ("{e}", lambda: "<email " + r.choice(EMAILS).format(u=r.choice(given) + r.choice(["", number(2), "." + r.choice(FAMILY_NAMES).lower()]), d=_invented(r), s=r.choice(["com", "org", "net", "io", "de", "edu"])) + ">"),
+            ("{i}", lambda: f"<id {number(3)}-{number(2)}-{number(4)}>"), ("{j}", lambda: f"<id {r.choice('ABCDEFGHXYZ')}{number(r.choice([7, 8]))}>"), ("{k}", lambda: f"<id {number(2)}-{number(7)}>"),
+            ("{R}", lambda: " ".join([_invented(r).title()] * r.randint(4, 12))), ("{w}", lambda: _invented(r)), ("{W}", lambda: _invented(r).title()), ("{m}", lambda: number(r.choice([1, 2, 3, 4, 6]))), ("{y}", lambda: str(r.randint(1700, 2030))),
+        ):
+            while slot in made:
+                made = made.replace(slot, value(), 1)
+        return made
+
+    forms = NAME_FORMS + PHONE_FORMS + EMAIL_FORMS + ID_FORMS + PLAIN_FORMS * 4
+    return parse(MARKED + "\n".join(filled(f) for f in forms for _ in range(rows)))

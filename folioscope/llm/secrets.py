@@ -1,10 +1,15 @@
 """Secret scans: fixed patterns, and a battery of randomness tests with false-discovery control. Built-in functions only.
 
-A candidate is a long unbroken run of letters, digits and coding marks. Its alphabet is inferred (hex, base 32, letters and
-digits, base 64). It counts as a secret if it passes for random (chi-squared uniformity over the alphabet, Wald-Wolfowitz
-runs of digits, lag-1 serial correlation; Bonferroni over the three) and if the hypothesis that it is written text, whose
-character classes seldom change, is rejected under Benjamini-Hochberg control over the document's candidates. The
-binomial law of that hypothesis takes the length into account.
+A candidate is an unbroken run of 20 letters, digits and coding marks or more. Its alphabet is inferred (digits, hex, base 32,
+letters, letters and digits, base 64). Three statistics are taken over that alphabet: chi-squared uniformity, runs of its
+lower and upper half (Wald-Wolfowitz), and lag-1 serial correlation. A candidate counts as a secret if
+
+- it passes for random: none of the three rejects that (Bonferroni), and
+- that it is written text is rejected under Benjamini-Hochberg control over the document's candidates. The p-value joins two
+  by Fisher's method: of a chi-squared as small as this where letters have the frequencies of text, and of so many
+  changes of the class of character where text changes it seldom. Both laws take the length into account.
+
+Short candidates of few classes can't reject either hypothesis, and are left.
 """
 
 from __future__ import annotations
@@ -20,24 +25,51 @@ ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']
 ASSIGN_MIN, ACCESS, HEX = 12, r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}"
 _GATES = {"assign": r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", "access": ACCESS, "hex": r"(?<![0-9a-f])[0-9a-f]{16,}", "random": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"}
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: Level of each candidate's randomness battery, false-discovery rate of a document, chance that text changes its class of character.
-BATTERY_LEVEL, DISCOVERY_RATE, CLASS_CHANGE = 0.01, 0.01, 0.1
+#: Level of each candidate's randomness battery, false-discovery rate of a document, chance that text changes its class of
+#: character, and chance that two letters of text are the same.
+BATTERY_LEVEL, DISCOVERY_RATE, CLASS_CHANGE, SAME_LETTER = 0.01, 0.01, 0.1, 0.066
+#: Matches are placed so many at a time, so that the cost follows their number.
+AT_ONCE = 256
+_DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPAN = "array<struct<start:int,ord:int,end:int,value:string>>"
 
 
+def let(value, body):
+    """body(value), with value computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _spans(text, pattern: str, order: int, group: int = 0):
-    """All leftmost non-overlapping matches with their places: what lies between matches and the matches themselves, added up."""
-    gaps, hits = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
-    parts = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("g"), hits.alias("h"), values.alias("v"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    """All leftmost non-overlapping matches with their places: what lies between matches and the matches themselves, added up.
+
+    Sums run within groups of AT_ONCE matches and then over the groups.
+    """
 
     def step(acc, p):
-        begin = acc["at"] + F.length(p["g"])
-        end = begin + F.length(p["h"])
+        begin = acc["at"] + p["g"]
+        end = begin + p["h"]
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), F.lit(order).alias("ord"), end.alias("end"), p["v"].alias("value")))).alias("out"))
 
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+    def placed(parts):
+        """Spans of a group, from its own start, and its length."""
+        return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")), step)
+
+    def moved(spans, by):
+        return F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), s["ord"].alias("ord"), (s["end"] + by).alias("end"), s["value"].alias("value")))
+
+    def joined_groups(groups):
+        starts = F.aggregate(groups, F.array(F.lit(0)), lambda acc, g: F.concat(acc, F.array(F.element_at(acc, -1) + g["at"])))
+        return let(starts, lambda at: F.flatten(F.transform(groups, lambda g, i: moved(g["out"], F.get(at, i)))))
+
+    def sizes(hits, values):
+        gaps = F.split(text, pattern)
+        return F.arrays_zip(F.transform(F.slice(gaps, 1, F.size(hits)), F.length).alias("g"), F.transform(hits, F.length).alias("h"), values.alias("v"))
+
+    def grouped(parts):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / AT_ONCE).cast("int")), lambda c: placed(F.slice(parts, c * AT_ONCE + 1, AT_ONCE)))
+
+    found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: let(sizes(hits, F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits), lambda parts: F.when(F.size(parts) > 0, let(grouped(parts), joined_groups)).otherwise(F.array().cast(_SPAN))))
+    return found
 
 
 def _gated(kind: str, text, spans):
@@ -58,57 +90,85 @@ def normal_tail(z):
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
+def _alphabet(token):
+    """The smallest of the known alphabets that holds the candidate (upper-cased if it is hexadecimal)."""
+    kinds = [("^[0-9]+$", _DIGITS), ("^([0-9a-f]+|[0-9A-F]+)$", _DIGITS + "ABCDEF"), ("^[a-z]+$", _LOWER), ("^[A-Z]+$", _UPPER), ("^[A-Z2-7]+=*$", _UPPER + "234567"), ("^[A-Za-z]+$", _UPPER + _LOWER), ("^[A-Za-z0-9]+$", _UPPER + _LOWER + _DIGITS)]
+    found = F.lit(_UPPER + _LOWER + _DIGITS + "+/_-=")
+    for pattern, alphabet in reversed(kinds):
+        found = F.when(token.rlike(pattern), alphabet).otherwise(found)
+    return found
+
+
+def _total(numbers):
+    return F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x)
+
+
 def battery(token):
-    """p-values of one candidate, as struct (size, chi, runs, serial): small means not random."""
-    n = F.length(token).cast("double")
-    hexadecimal = token.rlike("^([0-9a-f]+|[0-9A-F]+)$")
-    alphabet = (
-        F.when(hexadecimal, "0123456789ABCDEF").when(token.rlike("^[A-Z2-7]+=*$"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-        .when(token.rlike("^[A-Za-z0-9]+$"), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
-        .otherwise("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=")
-    )
-    k = F.length(alphabet).cast("double")
-    chars = F.split(F.when(hexadecimal, F.upper(token)).otherwise(token), "")
-    text = F.array_join(chars, "")
-    squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a + F.pow(F.length(text) - F.length(F.replace(text, c, F.lit(""))), F.lit(2.0)))
-    # Wilson and Hilferty: the cube root of a chi-squared over its degrees of freedom is nearly normal.
-    chi = (F.cbrt((k / n * squares - n) / (k - 1)) - (1 - 2 / (9 * (k - 1)))) / F.sqrt(2 / (9 * (k - 1)))
-    digits = n - F.length(F.regexp_replace(token, "[0-9]", ""))
-    runs = (F.regexp_count(token, F.lit("[0-9]+")) + F.regexp_count(token, F.lit("[^0-9]+"))).cast("double")
-    mean = 1 + 2 * digits * (n - digits) / n
-    spread = (mean - 1) * (mean - 2) / (n - 1)
-    runs_z = F.when(spread > 0, (runs - mean) / F.sqrt(spread)).otherwise(0.0)
-    places = F.transform(chars, lambda c: F.call_function("locate", c, alphabet).cast("double"))
-    centre = F.aggregate(places, F.lit(0.0), lambda a, x: a + x) / n
-    moved = F.transform(places, lambda x: x - centre)
-    power = F.aggregate(moved, F.lit(0.0), lambda a, x: a + x * x)
-    product = F.aggregate(F.zip_with(moved, F.slice(moved, 2, F.size(moved) - 1), lambda a, b: a * F.coalesce(b, F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
-    serial = F.when(power > 0, product / power * F.sqrt(n)).otherwise(99.0)
-    return F.struct(n.alias("size"), normal_tail(chi).alias("chi"), (2 * normal_tail(F.abs(runs_z))).alias("runs"), (2 * normal_tail(F.abs(serial))).alias("serial"))
-
-
-def text_tail(token):
-    """p-value of the hypothesis that the candidate is text: its class of character (lower, upper, digit, mark) changes seldom."""
-    n = F.length(token).cast("double")
+    """Struct (size, chi, runs, serial, text) of one candidate: chi, runs and serial are p-values of the hypothesis that it is
+    random, text of the hypothesis that it is written text."""
+
+    def chi_squared(text, n, k):
+        squares = F.aggregate(F.array_distinct(F.split(text, "")), F.lit(0.0), lambda a, c: a + F.pow(n - F.length(F.replace(text, c, F.lit(""))), F.lit(2.0)))
+        return k / n * squares - n
+
+    def measured(text, n, k, places):
+        halves = F.transform(places, lambda x: F.when(x > (k + 1) / 2, 1.0).otherwise(0.0))
+        centred = let(_total(places) / n, lambda centre: F.transform(places, lambda x: x - centre))
+        # Wilson and Hilferty: the cube root of a chi-squared over its degrees of freedom is nearly normal.
+        uniform = lambda chi: normal_tail((F.cbrt(chi / (k - 1)) - (1 - 2 / (9 * (k - 1)))) / F.sqrt(2 / (9 * (k - 1))))
+        return let(
+            F.struct(chi_squared(text, n, k).alias("chi"), halves.alias("h"), centred.alias("m")),
+            lambda x: F.struct(n.alias("size"), uniform(x["chi"]).alias("chi"), runs(x["h"], n).alias("runs"), serial(x["m"], n).alias("serial"), _text_p(token, x["chi"], n, k).alias("text")),
+        )
+
+    def runs(halves, n):
+        changed = _total(F.zip_with(halves, F.slice(halves, 2, F.size(halves)), lambda a, b: F.when(a != b, 1.0).otherwise(0.0)))
+
+        def p(ones):
+            mean = 1 + 2 * ones * (n - ones) / n
+            spread = (mean - 1) * (mean - 2) / (n - 1)
+            return F.when(spread > 0, 2 * normal_tail(F.abs(changed + 1 - mean) / F.sqrt(spread))).otherwise(0.0)
+
+        return let(_total(halves), p)
+
+    def serial(moved, n):
+        product = _total(F.zip_with(moved, F.slice(moved, 2, F.size(moved)), lambda a, b: a * F.coalesce(b, F.lit(0.0))))
+        return let(_total(F.transform(moved, lambda x: x * x)), lambda power: F.when(power > 0, 2 * normal_tail(F.abs(product / power * F.sqrt(n)))).otherwise(0.0))
+
+    def of(alphabet):
+        text = F.when(token.rlike("^[0-9a-f]+$"), F.upper(token)).otherwise(token)
+        places = lambda t: F.transform(F.split(t, ""), lambda c: F.call_function("locate", c, alphabet).cast("double"))
+        return let(text, lambda t: let(places(t), lambda at: measured(t, F.length(t).cast("double"), F.length(alphabet).cast("double"), at)))
+
+    return let(_alphabet(token), of)
+
+
+def _text_p(token, chi, n, k):
+    """p-value of the hypothesis that the candidate is text, from two by Fisher's method.
+
+    Text repeats letters, so its chi-squared has a mean of k - 1 + n (k SAME_LETTER - 1); and its class of character (lower, upper,
+    digit, mark) changes seldom.
+    """
+    excess = n * F.greatest(k * SAME_LETTER - 1, F.lit(0.0))
+    even = normal_tail((k - 1 + excess - chi) / F.sqrt(2 * (k - 1) + 4 * excess))
     changes = (sum((F.regexp_count(token, F.lit(c)) for c in ("[a-z]+", "[A-Z]+", "[0-9]+", "[+/_=-]+")), F.lit(-1))).cast("double")
-    return normal_tail((changes - CLASS_CHANGE * (n - 1) - 0.5) / F.sqrt(CLASS_CHANGE * (1 - CLASS_CHANGE) * (n - 1)))
+    mixed = normal_tail((changes - CLASS_CHANGE * (n - 1) - 0.5) / F.sqrt(CLASS_CHANGE * (1 - CLASS_CHANGE) * (n - 1)))
+    return let(F.greatest(even * mixed, F.lit(1e-300)), lambda x: x * (1 - F.ln(x)))
 
 
 def random_spans(text, base):
     """Candidates that the battery passes, under false-discovery control; none that overlaps a base span."""
-    found = _spans(text, CANDIDATE, 3)
-    free = F.filter(found, lambda s: (s["value"].rlike("[0-9]")) & (s["value"].rlike("[A-Za-z]")) & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    # p-values in order; the largest rank r with p <= r * rate / m sets the threshold.
-    tested = F.transform(free, lambda s: F.struct(text_tail(s["value"]).alias("p"), s.alias("s")))
-    ordered = F.array_sort(tested)
-    passed = F.array_max(F.transform(ordered, lambda x, i: F.when(x["p"] <= (i + 1) * DISCOVERY_RATE / F.size(ordered), i + 1).otherwise(0)))
-    chosen = F.transform(F.slice(ordered, 1, F.coalesce(passed, F.lit(0))), lambda x: x["s"])
-
-    def is_random(s):
-        b = battery(s["value"])
-        return 3 * F.least(b["chi"], b["runs"], b["serial"]) >= BATTERY_LEVEL
-
-    return _gated("random", text, F.filter(chosen, is_random))
+
+    def chosen(ordered):
+        # The largest rank r with p <= r * rate / m sets the threshold.
+        passed = let(F.size(ordered), lambda m: F.array_max(F.transform(ordered, lambda x, i: F.when(x["b"]["text"] <= (i + 1) * DISCOVERY_RATE / m, i + 1).otherwise(0))))
+        random = lambda x: 3 * F.least(x["b"]["chi"], x["b"]["runs"], x["b"]["serial"]) >= BATTERY_LEVEL
+        return F.transform(F.filter(F.slice(ordered, 1, F.coalesce(passed, F.lit(0))), random), lambda x: x["s"])
+
+    # Candidates are told from base spans by place: those that meet none.
+    free = lambda found: F.filter(found, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    tested = lambda spans: F.array_sort(F.transform(spans, lambda s: let(battery(s["value"]), lambda b: F.struct(b["text"].alias("p"), s.alias("s"), b.alias("b")))))
+    return _gated("random", text, let(tested(free(_spans(text, CANDIDATE, 3))), chosen))
 
 
 def find_secrets(df: DataFrame, text: str = "text", base: str = "base_secrets", spans: str = "secrets") -> DataFrame:
