@@ -20,9 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from .common import components, mix, possible, settle, shingle_hashes
+from .common import bloom_filter, bloom_test, bloom_words, components, mix, possible, settle, shingle_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -246,7 +245,9 @@ RARITY_BUCKETS = 1 << 16
 #: Bits of parity by which pairs are ruled out before any text is read (cost only).
 PARITY_WORDS = 16
 #: So many shared rare words of a text before each are looked at, lest a pair be made again (cost only).
-BEFORE = 8
+BEFORE = 6
+#: Texts of a bucket that all meet, if they are of different classes; larger buckets are cut by rare words (cost only).
+SMALL = 64
 
 
 def _labelled_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -286,22 +287,33 @@ def rare_words(words: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return marked[order[: budget(len(words)) + 1]].view(np.int64), np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def _rare_rows(texts: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(i, w, d, root, n, m0, ...) for each rare word of (d, root, text), the rarest first."""
+def _sketched(texts: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(d, root, vs, n, m, w) of (d, root, vs, text): number of words, parities, and the rare words if `vs` is not empty."""
     held = texts.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [(rare_words(w := t.as_py().split(), held.value), len(w)) for t in batch.column(2)]
-            cols = [pa.array([x[0][0] for x in made], pa.list_(pa.int64())), batch.column(0), batch.column(1), pa.array([x[1] for x in made], pa.int32()), pa.array([x[0][1] for x in made], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["w", "d", "root", "n", "m"])
+            made = [(rare_words(w := t.as_py().split(), held.value), len(w)) for t in batch.column(3)]
+            rare = [x[0][0] if len(v) else [] for x, v in zip(made, batch.column(2), strict=True)]
+            cols = [*batch.columns[:3], pa.array([x[1] for x in made], pa.int32()), pa.array([x[0][1] for x in made], pa.list_(pa.int64())), pa.array(rare, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["d", "root", "vs", "n", "m", "w"])
 
-    rows = texts.select("d", "root", "text").mapInArrow(run, "w array<long>, d long, root long, n int, m array<long>")
-    return rows.select(F.posexplode("w").alias("i", "w"), "d", "root", "n", *[F.get("m", F.lit(i)).alias(f"m{i}") for i in range(PARITY_WORDS)])
+    return texts.select("d", "root", "vs", "text").mapInArrow(run, "d long, root long, vs array<long>, n int, m array<long>, w array<long>")
+
+
+def _meeting(rows: DataFrame, key: str, also=None) -> DataFrame:
+    """Pairs (a, b) of rows (key, d, root, n, m0, ...) with the same key and other roots, whose lengths and parities allow similarity."""
+    other = rows.withColumnsRenamed({c: f"{c}_" for c in rows.columns if c != key})
+    longer = F.greatest("n", "n_")
+    allowed = F.floor(longer * (1 - SIMILARITY) + 1e-9)
+    differ = sum((F.bit_count(F.col(f"m{i}").bitwiseXOR(F.col(f"m{i}_"))) for i in range(PARITY_WORDS)), F.lit(0))
+    fits = (F.col("d_") < F.col("d")) & (F.col("root_") != F.col("root")) & (longer - F.least("n", "n_") <= allowed) & (differ <= F.least("n", "n_") - longer + 2 * allowed)
+    met = rows.alias("x").join(other.alias("y"), (F.col(f"x.{key}") == F.col(f"y.{key}")) & (fits if also is None else fits & also))
+    return met.select(F.col("d_").alias("a"), F.col("d").alias("b")).distinct()
 
 
 def _rooted(shared: DataFrame, classes: DataFrame | None) -> DataFrame:
-    """Rows of buckets that hold more than one class, with each text's class as `root`."""
+    """Rows (v, d, lead, n, root) of buckets that hold more than one class, with each text's class as `root`."""
     if classes is None:
         rooted = shared.withColumn("root", F.col("d"))
     else:
@@ -312,25 +324,31 @@ def _rooted(shared: DataFrame, classes: DataFrame | None) -> DataFrame:
 
 
 def _remaining(known: DataFrame, rooted: DataFrame) -> DataFrame:
-    """All pairs (a, b) of texts in `rooted`, of different classes, that may be similar.
+    """All pairs (a, b) of texts in `rooted`, of different classes, that share a bucket and may be similar.
 
-    Texts that share only a common passage fill buckets without being similar; comparing all of these would grow with
-    the square of their number. Similar texts also share one of their rarest words, so only texts that share such a word meet,
-    if lengths and parities allow.
+    In a bucket of at most SMALL texts all of these meet. Larger ones are mostly of texts that share only a common passage;
+    comparing all of these would grow with the square of their number. Similar texts also share one of their rarest words,
+    so texts of large buckets meet where they share such a word, and a bucket.
     """
-    concerned = settle(rooted.select("d", "root").distinct())
+    large = F.when(F.col("n") > SMALL, F.col("v"))
+    concerned = settle(rooted.groupBy("d", "root").agg(F.collect_set(large).alias("vs")))
     texts = possible(known, "d", concerned, concerned.count()).join(concerned, "d").dropDuplicates(["d"])
-    texts = settle(texts.select("d", "root", "text"))
-    rows = settle(_rare_rows(texts, _word_counts(texts)))
-    mixed = rows.groupBy("w").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("w")
+    texts = settle(texts.select("d", "root", "vs", "text"))
+    sketched = settle(_sketched(texts, _word_counts(texts)))
+    whole = [F.get("m", F.lit(i)).alias(f"m{i}") for i in range(PARITY_WORDS)]
+    small = rooted.where(F.col("n") <= SMALL).select("v", "d").join(sketched.select("d", "root", "n", *whole), "d")
+    pairs = _meeting(settle(small), "v")
+    # Rare words that texts of one class only have stay where they are: a Bloom filter lets few of them through.
+    wide = sketched.where(F.size("w") > 0)
+    mixed = settle(wide.select(F.explode("w").alias("w"), "root").groupBy("w").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("w"))
+    n_words = bloom_words(mixed.count())
+    bits = bloom_filter(mixed.select(F.xxhash64("w").alias("k")), "k", n_words)
+    kept = wide.withColumn("bits", bits).withColumn("w", F.filter("w", lambda w: bloom_test(F.col("bits"), F.xxhash64(w), n_words)))
     # A pair that shares one of the words just before meets there already.
-    rows = settle(rows.join(mixed, "w", "left_semi").withColumn("before", F.collect_list("w").over(W.partitionBy("d").orderBy("i").rowsBetween(-BEFORE, -1))))
-    other = rows.select("w", F.col("d").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("before").alias("ba"), *[F.col(f"m{i}").alias(f"k{i}") for i in range(PARITY_WORDS)])
-    longer = F.greatest("n", "na")
-    allowed = F.floor(longer * (1 - SIMILARITY) + 1e-9)
-    differ = sum((F.bit_count(F.col(f"m{i}").bitwiseXOR(F.col(f"k{i}"))) for i in range(PARITY_WORDS)), F.lit(0))
-    fits = (F.col("a") < F.col("d")) & (F.col("ra") != F.col("root")) & (longer - F.least("n", "na") <= allowed) & (differ <= F.least("n", "na") - longer + 2 * allowed) & ~F.arrays_overlap("before", "ba")
-    return rows.alias("x").join(other.alias("y"), (F.col("x.w") == F.col("y.w")) & fits).select("a", F.col("d").alias("b")).distinct()
+    before = F.slice("w", F.greatest(F.col("i") + 1 - BEFORE, F.lit(1)), F.least("i", F.lit(BEFORE))).alias("before")
+    rows = kept.select("d", "root", "n", "m", "vs", "w", F.posexplode("w").alias("i", "word")).select("word", "d", "root", "n", *whole, "vs", before)
+    again = ~F.arrays_overlap("before", "before_") & F.arrays_overlap("vs", "vs_")
+    return pairs.union(_meeting(settle(rows), "word", again)).distinct()
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
