@@ -44,23 +44,22 @@ def quality_flags(docs: DataFrame) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, least: int = 2, min_chars: int = 8) -> DataFrame:
-    """(doc_id, line, n): stripped lines of min_chars or more that a document has `least` times or more.
-
-    Counted inside each row (lines of one document never leave it), so nothing is shuffled.
-    """
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: F.length(x) >= min_chars)
-    runs = docs.select("doc_id", F.array_sort(lines).alias("l"))
-    starts = runs.select("doc_id", "l", F.posexplode("l").alias("i", "line")).where((F.col("i") == 0) | (F.get("l", F.col("i") - 1) != F.col("line")))
-    counted = starts.select("doc_id", "line", F.size("l").alias("all"), "l", "i")
-    # In a sorted array the occurrences of a line are one run: its length is that of the equal elements from i on.
-    return counted.select("doc_id", "line", F.size(F.filter(F.slice("l", F.col("i") + 1, F.size("l")), lambda x: x == F.col("line"))).alias("n")).where(F.col("n") >= least)
+    """(doc_id, line, n): stripped lines of min_chars or more that a document has `least` times or more; counted map-side first."""
+    lines = docs.select("doc_id", F.explode(F.transform(F.split("text", "\n"), F.trim)).alias("line")).where(F.length("line") >= min_chars)
+    return lines.groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
 def strip_repeated_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) where only the first of equal stripped lines of 8 characters or more stays."""
+    """(doc_id, text) where only the first of equal stripped lines of 8 characters or more stays.
+
+    Lines are sorted with their places inside the row; the first of each run of equal ones stays.
+    """
     lines = F.split("text", "\n")
-    kept = F.filter(F.col("l"), lambda x, i: (F.length(F.trim(x)) < 8) | (F.array_position(F.col("t"), F.trim(x)) == i + 1))
-    return docs.select("doc_id", lines.alias("l"), F.transform(lines, F.trim).alias("t")).select("doc_id", F.array_join(kept, "\n").alias("text"))
+    shown = docs.select("doc_id", lines.alias("l"), F.transform(lines, F.trim).alias("t"))
+    # Sorted by line and place, a line is the first of its kind where the one before differs.
+    ordered = F.array_sort(F.transform("t", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+    kept = shown.select("doc_id", "l", ordered.alias("o")).select("doc_id", "l", F.array_sort(F.transform(F.filter(F.zip_with("o", F.concat(F.array(F.lit(None).cast("struct<x:string,i:int>")), F.slice("o", 1, F.greatest(F.size("o") - 1, F.lit(0)))), lambda a, b: F.struct(a.alias("a"), ((F.length(a["x"]) < 8) | b.isNull() | (a["x"] != b["x"])).alias("first"))), lambda z: z["first"]), lambda z: z["a"]["i"])).alias("k"))
+    return kept.select("doc_id", F.array_join(F.transform("k", lambda i: F.get("l", i)), "\n").alias("text"))
 
 
 def hash_duplicates(docs: DataFrame) -> DataFrame:
@@ -73,18 +72,20 @@ def ground_exact(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """(item_id, doc_id, start, finish, status): verbatim places of passages in documents, in characters, end exclusive.
 
     The second to sixth word of a passage must occur as a run of words wherever the passage does: an equality join on that
-    run finds the candidates, and `locate` verifies them. Passages of fewer than seven words have too few whole words
-    inside and are left to `locate` over all documents, as a separate, usually empty, branch. `ambiguous`: it occurs again.
+    run finds the candidates, and `locate` verifies them. Passages of three to six words are found by their second word;
+    only those of one or two, which have no whole word inside, meet all documents. `ambiguous`: it occurs again.
     """
     items = passages.select("item_id", F.col("text").alias("passage"), F.split("text", r"\s+").alias("pw"))
-    runs = docs.select("doc_id", F.split("text", r"\s+").alias("w")).where(F.size("w") >= 5)
+    words = docs.select("doc_id", F.split("text", r"\s+").alias("w"))
     # A run's hash is enough here: `locate` decides.
     codes = F.transform(F.sequence(F.lit(0), F.size("w") - 5), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(5)]))
     keyed = items.where(F.size("pw") >= 7).select("item_id", "passage", F.xxhash64(*[F.get("pw", F.lit(k)) for k in range(1, 6)]).alias("code"))
-    hits = runs.select("doc_id", F.explode(F.array_distinct(codes)).alias("code")).join(keyed, "code").select("doc_id", "item_id", "passage").distinct()
-    near = hits.join(docs.select("doc_id", "text"), "doc_id")
-    short = docs.select("doc_id", "text").join(items.where(F.size("pw") < 7).select("item_id", "passage"), F.expr("contains(text, passage)"))
-    both = near.select("doc_id", "item_id", "passage", "text").union(short.select("doc_id", "item_id", "passage", "text"))
+    hits = words.where(F.size("w") >= 5).select("doc_id", F.explode(F.array_distinct(codes)).alias("code")).join(keyed, "code").select("doc_id", "item_id", "passage")
+    short = items.where((F.size("pw") < 7) & (F.size("pw") > 2)).select("item_id", "passage", F.get("pw", F.lit(1)).alias("word"))
+    inside = words.select("doc_id", F.explode(F.array_distinct("w")).alias("word")).join(short, "word").select("doc_id", "item_id", "passage")
+    near = hits.union(inside).distinct().join(docs.select("doc_id", "text"), "doc_id")
+    tiny = docs.select("doc_id", "text").join(items.where(F.size("pw") <= 2).select("item_id", "passage"), F.expr("contains(text, passage)"))
+    both = near.select("doc_id", "item_id", "passage", "text").union(tiny.select("doc_id", "item_id", "passage", "text"))
     found = both.withColumn("at", F.expr("locate(passage, text)")).where("at > 0")
     return found.select("item_id", "doc_id", (F.col("at") - 1).alias("start"), (F.col("at") - 1 + F.length("passage")).alias("finish"),
                         F.when(F.expr("locate(passage, text, at + 1) > 0"), "ambiguous").otherwise("unique").alias("status"))

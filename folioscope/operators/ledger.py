@@ -39,14 +39,14 @@ def outcome_pivot(events: DataFrame, kinds: list[str]) -> DataFrame:
 
 
 def kappa(labels: DataFrame, a: str, b: str) -> DataFrame:
-    """Items, agreement and Cohen's kappa of two label columns; kappa is null where chance agreement is total."""
+    """Items, agreement and Cohen's kappa of two label columns; kappa is 1 where chance agreement is total; without items there are 0 and nulls."""
     pairs = labels.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     total = pairs.agg(F.sum("n").alias("items"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("same"))
     sides = pairs.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("v")), F.struct(F.lit(1).alias("side"), F.col("b").alias("v")))).alias("x"), "n")
     by_label = sides.groupBy("x.v").agg((F.sum(F.when(F.col("x.side") == 0, F.col("n")).otherwise(0)) * F.sum(F.when(F.col("x.side") == 1, F.col("n")).otherwise(0))).alias("p"))
     chance = by_label.agg(F.sum("p").alias("p")).scalar()
-    t = total.withColumn("o", F.col("same") / F.col("items")).withColumn("e", chance / (F.col("items") * F.col("items")))
-    return t.select("items", F.round("o", 6).alias("agreement"), F.when(F.col("e") < 1, F.round((F.col("o") - F.col("e")) / (1 - F.col("e")), 6)).alias("kappa"))
+    t = total.select(F.coalesce("items", F.lit(0)).alias("items"), F.try_divide("same", "items").alias("o"), F.try_divide(chance, F.col("items") * F.col("items")).alias("e"))
+    return t.select("items", F.round("o", 6).alias("agreement"), F.when(F.col("e") >= 1, F.lit(1.0)).otherwise(F.round((F.col("o") - F.col("e")) / (1 - F.col("e")), 6)).alias("kappa"))
 
 
 def discordant(labels: DataFrame, a: str, b: str) -> DataFrame:

@@ -21,7 +21,7 @@ def table_difference(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFr
 
 
 def line_violations(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFrame:
-    """(rule, n): rows that break a rule: repeated (order, line), order or part missing, value out of range."""
+    """(rule, n): how many rows break each rule: repeated (order, line), order or part missing, value out of range; 0 for a rule kept."""
     rules = [
         ("duplicate_line", lineitem.groupBy("l_orderkey", "l_linenumber").count().where("count > 1").select(F.lit("duplicate_line").alias("rule"))),
         ("no_order", lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").select(F.lit("no_order").alias("rule"))),
@@ -31,7 +31,9 @@ def line_violations(lineitem: DataFrame, orders: DataFrame, part: DataFrame) ->
     found = rules[0][1]
     for _, r in rules[1:]:
         found = found.unionByName(r)
-    return found.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    names = lineitem.sparkSession.createDataFrame([(k,) for k, _ in rules], "rule string")
+    counts = found.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    return names.join(counts, "rule", "left").select("rule", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def top_per_group(orders: DataFrame, group: str, by: str, key: str, k: int) -> DataFrame:
