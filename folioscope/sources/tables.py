@@ -19,13 +19,20 @@ def session(app: str = "folioscope", master: str | None = None, **conf: str) ->
 
 
 def nlm_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of `key: value` lines between dashed rules, as a map column `fields`; empty records go."""
+    """Records of `key: value` lines between dashed rules, as a map column `fields`.
+
+    A line is cut at its first colon; of a repeated key the last value stays; records without id, title or ISSN go.
+    """
     from pyspark.sql import functions as F
 
     blocks = spark.read.option("lineSep", "--------------------------------------------------------").text(path)
-    lines = F.filter(F.split("value", r"\r?\n"), lambda x: x.contains(": "))
-    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ": ", 1)).alias("k"), F.trim(F.regexp_extract(x, r"^[^:]*: (.*)$", 1)).alias("v")))
-    return blocks.select(F.map_from_entries(pairs).alias("fields")).where(F.size("fields") > 0)
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: x.contains(":"))
+    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)).alias("v")))
+    # An entry stays if no later one has its key.
+    last = F.filter("p", lambda x, i: ~F.exists(F.slice("p", i + 2, F.size("p")), lambda y: y["k"] == x["k"]))
+    fields = blocks.select(pairs.alias("p")).select(F.map_from_entries(last).alias("fields"))
+    named = [F.coalesce(*[F.try_element_at("fields", F.lit(k)) for k in keys], F.lit("")) != "" for keys in (("NlmId",), ("JournalTitle",), ("ISSN (Print)", "ISSN (Online)"))]
+    return fields.where(named[0] & named[1] & named[2])
 
 
 def csv_records(spark: SparkSession, path: str) -> DataFrame:
