@@ -339,7 +339,8 @@ def _remaining(known: DataFrame, rooted: DataFrame) -> DataFrame:
     small = rooted.where(F.col("n") <= SMALL).select("v", "d").join(sketched.select("d", "root", "n", *whole), "d")
     pairs = _meeting(settle(small), "v")
     # Rare words that texts of one class only have stay where they are: a Bloom filter lets few of them through.
-    wide = sketched.where(F.size("w") > 0)
+    # Dealt out before they are exploded: texts of a large bucket may lie side by side.
+    wide = sketched.where(F.size("w") > 0).repartition("d")
     mixed = settle(wide.select(F.explode("w").alias("w"), "root").groupBy("w").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("w"))
     n_words = bloom_words(mixed.count())
     bits = bloom_filter(mixed.select(F.xxhash64("w").alias("k")), "k", n_words)
