@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import possible, settle
+from .common import bloom_filter, bloom_test, bloom_words, possible, settle
 
 WORDS = 5
 #: Rarity is counted in so many hash buckets, whatever the size of the corpus; the order decides cost only, not results.
@@ -27,7 +27,8 @@ BEFORE = 3
 
 
 def _words(line):
-    return F.array_remove(F.split(line, " "), "")
+    plain = F.split(line, " ")
+    return F.when(F.contains(F.concat(F.lit(" "), line, F.lit(" ")), F.lit("  ")), F.array_remove(plain, "")).otherwise(plain)
 
 
 def _grade(rarity, word):
@@ -63,7 +64,7 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def _rarity(lines: DataFrame):
     """Count class of each hash bucket of words, over all lines, as an array literal of BUCKETS small numbers."""
-    words = lines.select(F.explode(_words(F.col("line"))).alias("w"))
+    words = lines.select(F.explode(F.split("line", " ")).alias("w")).where("w <> ''")
     counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).count()
     grades = np.zeros(BUCKETS, np.int8)
     for b, g in counts.select("b", F.least(F.lit(127), F.floor(F.log2(F.col("count") + 1) * 4))).collect():
@@ -73,7 +74,8 @@ def _rarity(lines: DataFrame):
 
 def _parity(tokens):
     """64 parities of the tokens by hash: two sets differ in at least as many tokens as their parities in bits."""
-    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+    # A shift takes the low six bits of its distance.
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(t))
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t)))
 
 
@@ -81,35 +83,48 @@ def _prefix_size(n):
     return n - F.floor((4 * n + 4) / 5).cast("int") + 1
 
 
+def _hashed(lines: DataFrame) -> DataFrame:
+    return lines.select("d", "p", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "line")
+
+
 def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(first, near): the distinct lines (h1, h2, d and p of the first occurrence, number c of occurrences), and (d, p) of
-    those among them that an earlier line of other text makes superfluous."""
+    """(copies, near): (at) of the lines that repeat an earlier line's text, and (at) of the first occurrences that an earlier
+    line of other text makes superfluous."""
     lines = _lines(docs, doc_id, text)
     rarity = _rarity(lines)
-    words = lines.select("d", "p", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), _words(F.col("line")).alias("w"))
-    tokens = words.select("d", "p", "h1", "h2", _tokens(rarity, F.col("w")).alias("t"))
-    heads = tokens.select(F.struct("d", "p").alias("at"), "h1", "h2", F.size("t").alias("n"), _parity("t").alias("m"), F.slice("t", 1, _prefix_size(F.size("t"))).alias("head"))
-    first = settle(heads.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("head").alias("head")))
+    # Lines that occur again, by hash: (h1, h2, first place). Lines of their own are not shuffled with what belongs to them.
+    places = settle(_hashed(lines).drop("line"))
+    again = settle(places.groupBy("h1", "h2").agg(F.min(F.struct("d", "p")).alias("at"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
+    n_words = bloom_words(again.count())
+    repeated = bloom_test(bloom_filter(again.select(F.xxhash64("h1").alias("k")), "k", n_words), F.xxhash64("h1"), n_words)
+    tokens = _hashed(lines).select("d", "p", "h1", "h2", _words(F.col("line")).alias("w")).select("d", "p", "h1", "h2", _tokens(rarity, F.col("w")).alias("t"))
+    heads = settle(tokens.select(F.struct("d", "p").alias("at"), "h1", "h2", repeated.alias("r"), F.size("t").alias("n"), _parity("t").alias("m"), F.slice("t", 1, _prefix_size(F.size("t"))).alias("head")))
+    kept = ["at", "n", "m", "head"]
+    first = settle(heads.where("r").join(again.withColumnRenamed("at", "at1"), ["h1", "h2"], "left").where("at1 is null or at = at1").select(kept)).union(heads.where("not r").select(kept))
     entries = first.select("at", "n", "m", F.posexplode("head").alias("i", "t"))
     # Tokens of one line only stay where they are: a Bloom filter of the others lets few of them through.
-    again = settle(entries.groupBy("t").count().where("count > 1").select("t"))
-    entries = possible(entries, "t", again, again.count())
+    common = settle(entries.groupBy("t").count().where("count > 1").select("t"))
+    entries = possible(entries, "t", common, common.count())
     group = W.partitionBy("t").orderBy("at")
     whole = group.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     shared = entries.withColumn("c", F.count(F.lit(1)).over(whole)).withColumn("head", F.first(F.struct("at", "n", "i", "m")).over(group)).where("c > 1")
-    shared = settle(shared.select("t", "at", "n", "i", "m", F.col("head.at").alias("at0"), F.col("head.n").alias("n0"), F.col("head.i").alias("i0"), F.col("head.m").alias("m0")))
+    shared = settle(shared.select("t", "c", "at", "n", "i", "m", F.col("head.at").alias("at0"), F.col("head.n").alias("n0"), F.col("head.i").alias("i0"), F.col("head.m").alias("m0")))
     fits = "at0 < at and 5 * least(n, n0) >= 4 * greatest(n, n0) and 9 * least(n - i, n0 - i0) >= 4 * (n + n0) and 9 * bit_count(m ^ m0) <= n + n0"
     pairs = settle(shared.where(fits).select("at0", "at").distinct())
     removed = settle(_verified(docs, doc_id, text, pairs, rarity))
-    # What is left meets every other earlier line of its groups. Two lines that have a common token among the few just before
-    # have met there, with no less room for the overlap, so most pairs are made once and not for each common token.
+    # What is left meets every other earlier line of its groups; in a group of two it has. Two lines that have a common token
+    # among the few just before have met there, with no less room for the overlap, so most pairs are made once and not for
+    # each common token.
     before = F.collect_list("t").over(W.partitionBy("at").orderBy("i").rowsBetween(-BEFORE, -1))
-    marked = settle(shared.join(removed.withColumn("gone", F.lit(True)), "at", "left").withColumn("b", before))
+    marked = settle(shared.where("c > 2").join(removed.withColumn("gone", F.lit(True)), "at", "left").withColumn("b", before))
     late = marked.where("gone is null and at0 < at").select("t", "at", "n", "i", "m", "b", F.col("at0").alias("leader"))
     others = marked.select("t", F.col("at").alias("at0"), F.col("n").alias("n0"), F.col("i").alias("i0"), F.col("m").alias("m0"), F.col("b").alias("b0"))
     met = late.join(others, "t").where("at0 <> leader").where(fits).where("not arrays_overlap(b, b0)")
     more = settle(met.select("at0", "at").distinct().join(pairs, ["at0", "at"], "left_anti"))
-    return first.select("h1", "h2", "at", "c"), removed.union(_verified(docs, doc_id, text, more, rarity)).distinct()
+    near = settle(removed.union(_verified(docs, doc_id, text, more, rarity)).distinct())
+    # Later copies go in any case; a line of its own goes by its place, as `near` has it.
+    copies = places.where(repeated).join(again, ["h1", "h2"]).select(F.struct("d", "p").alias("here"), "at").where("here <> at").select(F.col("here").alias("at"))
+    return copies, near
 
 
 def _verified(docs: DataFrame, doc_id: str, text: str, pairs: DataFrame, rarity) -> DataFrame:
@@ -129,13 +144,8 @@ def superfluous_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     Blank lines and rows with null id or text have none. Rows that repeat an id count as one document if their text is
     the same; if not, the lines of each count at their places.
     """
-    first, near = similar_lines(docs, doc_id, text)
-    near = settle(near)
-    # Only lines that occur again are looked up by their text; a line of its own goes by its place.
-    fate = settle(first.where("c > 1").join(near.withColumn("near", F.lit(True)), "at", "left"))
-    every = _lines(docs, doc_id, text).select(F.struct("d", "p").alias("here"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    copies = possible(every, "h1", fate, fate.count()).join(fate, ["h1", "h2"]).where("near or here <> at").select("here")
-    gone = near.select(F.col("at").alias("here")).union(copies).select(F.col("here.d").alias(doc_id), F.col("here.p").alias("p"))
+    copies, near = similar_lines(docs, doc_id, text)
+    gone = near.union(copies).select(F.col("at.d").alias(doc_id), F.col("at.p").alias("p"))
     # Dealt out as two numbers a row before they are gathered: partial sets would be many times as large.
     return gone.repartition(doc_id).groupBy(doc_id).agg(F.array_sort(F.collect_set("p")).alias("lines"))
 
