@@ -146,12 +146,12 @@ def battery(token):
 def _text_p(token, chi, n, k):
     """p-value of the hypothesis that the candidate is text, from two by Fisher's method.
 
-    Text repeats letters, so its chi-squared has a mean of k - 1 + n (k SAME_LETTER - 1); and its class of character (lower, upper,
-    digit, mark) changes seldom.
+    Text repeats letters, so its chi-squared has a mean of k - 1 + n (k SAME_LETTER - 1); and its class of character (words with
+    or without a capital, capitals, digits, marks) changes seldom.
     """
     excess = n * F.greatest(k * SAME_LETTER - 1, F.lit(0.0))
     even = normal_tail((k - 1 + excess - chi) / F.sqrt(2 * (k - 1) + 4 * excess))
-    changes = (sum((F.regexp_count(token, F.lit(c)) for c in ("[a-z]+", "[A-Z]+", "[0-9]+", "[+/_=-]+")), F.lit(-1))).cast("double")
+    changes = F.regexp_count(token, F.lit("[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[+/_=-]+")) - 1
     mixed = normal_tail((changes - CLASS_CHANGE * (n - 1) - 0.5) / F.sqrt(CLASS_CHANGE * (1 - CLASS_CHANGE) * (n - 1)))
     return let(F.greatest(even * mixed, F.lit(1e-300)), lambda x: x * (1 - F.ln(x)))
 
