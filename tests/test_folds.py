@@ -125,3 +125,34 @@ def test_kappa_edges(spark):
     same = kappa(spark.createDataFrame([(1, 1)] * 3, "a int, b int"), "a", "b").first()
     none = kappa(spark.createDataFrame([], "a int, b int"), "a", "b").first()
     assert (same.items, same.agreement, same.kappa) == (3, 1.0, 1.0) and (none.items, none.agreement, none.kappa) == (0, None, None)
+
+
+def test_orphan_candidates(spark):
+    from difflib import SequenceMatcher
+
+    from folioscope.operators import links
+
+    r = random.Random(5)
+    names = ["Miller", "Muller", "Smith", "Smyth", "Jones", "", "Garcia", "Garzia"]
+    refs = [(d, n, r.choice(names), r.choice([1999, 2000, 2001, None])) for d in range(12) for n in range(6)]
+    lost = sorted({(d, r.choice(names), r.choice([1999, 2000])) for d in range(13) for _ in range(3)})
+    got = sorted(map(tuple, links.orphan_candidates(spark.createDataFrame(lost, "doc_id long, surname string, year int"), spark.createDataFrame(refs, "doc_id long, ref_number int, surname string, year int")).collect()))
+    want = []
+    for d, s, y in lost:
+        scored = []
+        for e, n, t, z in refs:
+            if e == d:
+                ratio = SequenceMatcher(None, s.lower(), t.lower()).ratio()
+                term = 1.0 if y == z else 0.6 if z and abs(z - y) <= 1 else 0.2
+                scored.append((-round(0.7 * ratio + 0.3 * term + 1e-12, 3), n))
+        want += [(d, s, y, n, -v, i) for i, (v, n) in enumerate(sorted(x for x in scored if -x[0] >= 0.5)[:5], 1)]
+    assert [x[:4] + x[5:] for x in got] == [x[:4] + x[5:] for x in sorted(want)]
+
+
+def test_uncited_candidates(spark):
+    from folioscope.operators import links
+
+    claims = spark.createDataFrame([(1, "a", "As Millr said"), (1, "b", "Nothing here"), (1, "c", "Miller and Miler"), (2, "d", "Miller")], "doc_id long, claim_id string, sentence string")
+    gone = spark.createDataFrame([(1, 7, "Miller"), (1, 8, "Li"), (2, 9, None)], "doc_id long, ref_number int, surname string")
+    got = [(x.doc_id, x.ref_number, x.claim_id, x["rank"]) for x in links.uncited_candidates(gone, claims).orderBy("rank").collect()]
+    assert got == [(1, 7, "c", 1), (1, 7, "a", 2)]
