@@ -1,0 +1,63 @@
+"""Grounding: modes of a quotation, raw offsets, guards, and the join against a search of every pair."""
+
+import random
+
+from folioscope.operators import grounding as G
+
+SOURCE = "Intro. The ﬁrst con-\nclusion  was that 25 patients (aged 40 ) did not improve – at all.  Later text."
+
+
+def at(quote, source=SOURCE):
+    a, b, mode, score = G.locate(quote, source)
+    return (source[a:b] if a is not None else None), mode
+
+
+def test_modes():
+    assert at("Later text") == ("Later text", "exact_raw")
+    assert at("the first conclusion was that 25 patients (aged 40) did not improve - at all") == ("The ﬁrst con-\nclusion  was that 25 patients (aged 40 ) did not improve – at all", "normalized")
+    assert at("x", "x and x")[1] == "ambiguous_exact_raw_match" and at("A b", "a  b, a  b")[1] == "ambiguous_normalized_match"
+    assert at("  ")[1] == "empty_quotation" and at("first ... all")[1] == "ungrounded_omission_marker"
+
+
+def test_near_matches_keep_numbers_and_negations():
+    text = "Before it all, the small committee reported that seven villages were flooded in 1953 and rebuilt later. After it."
+    good = "the small comittee reported that seven villages were flooded in 1953 and rebuilt later"
+    found, mode = at(good, text)
+    assert mode == "fuzzy" and "committee reported" in found
+    assert at(good.replace("1953", "1954"), text)[1] == "no_guarded_fuzzy_match"
+    assert at(good.replace("were flooded", "not flooded"), text)[1] == "no_guarded_fuzzy_match"
+    assert at("too short to be near", text)[1] == "no_guarded_fuzzy_match"
+
+
+def test_form_maps_to_raw_places():
+    r = random.Random(1)
+    for _ in range(300):
+        t = "".join(r.choice(["a", "B", "ﬁ", " ", "\n", "- ", "–", "(", ")", ",", "’", "⟦SUP:12⟧", "é"]) for _ in range(r.randint(0, 40)))
+        form, starts, ends = G.matching_form(t)
+        assert len(form) == len(starts) == len(ends) and "  " not in form and form == form.strip()
+        assert all(0 <= a < b <= len(t) for a, b in zip(starts, ends, strict=True)) and starts == sorted(starts)
+        assert G.matching_form(form.replace("[", "").replace("]", ""))[0] is not None
+
+
+def test_join_misses_no_place(spark):
+    r = random.Random(2)
+    vocabulary = [f"word{i}" for i in range(300)]
+    docs = [(d, " ".join(r.choice(vocabulary) for _ in range(120))) for d in range(12)] + [(50, None), (51, "")]
+    quotes = []
+    for i in range(24):
+        w = docs[i % 12][1].split()[10 * (i % 5) : 10 * (i % 5) + 14]
+        if i % 3 == 1:
+            w = [x.upper() for x in w]
+        if i % 3 == 2:
+            w[6] = w[6] + "s"
+        quotes.append((i, "  ".join(w) if i % 2 else " ".join(w)))
+    quotes += [(90, None), (91, ""), (92, "word1")]
+    got = {(x.item_id, x.doc_id, x.start, x.finish, x.mode) for x in G.grounded_quotes(spark.createDataFrame(quotes, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = set()
+    for i, q in quotes:
+        for d, t in docs:
+            if q and t is not None:
+                a, b, mode, _ = G.locate(q, t)
+                if a is not None or mode.startswith("ambiguous"):
+                    want.add((i, d, a, b, mode))
+    assert {x for x in want if x[0] != 92} <= got <= want and {x[4] for x in want} >= {"exact_raw", "normalized", "fuzzy"}
