@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; where the session names none (tests), a folder of this machine."""
+    """The folder that all executors share. Where the session names none, one of this machine in local mode (tests); else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="folioscope-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -82,8 +84,8 @@ def possible(df: DataFrame, column: str, keys: DataFrame, n_keys: int) -> DataFr
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of edges (a, b: long): rows (node, root), root being the least node of its component.
 
-    Alternates large-star and small-star rounds; each is two joins-free groupings with map-side minimums, settled in the
-    shared folder. Ends when a round changes nothing; raises if that takes more than `rounds`, rather than return part.
+    Alternates large-star and small-star rounds; each groups with map-side minimums and joins them back, settled in the
+    shared folder. A star's centre is one row on one side of that join; the other side may be split. Ends when a round changes nothing; raises if that takes more than `rounds`, rather than return part.
     """
     now = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     was = digest(now)

@@ -356,8 +356,8 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """Rows (doc_id, class_id) for the documents that have a copy or near copy: class_id is the least id of the class.
 
     Classes are the connected components of: equal text; or, among texts that share a signature entry or block, word edit
-    similarity of 0.8 or more. Of pairs of SHORT words at most, none is left out. Rows with null id or text, or without any word, are alone. Ids should be unique; rows that
-    repeat an id are one node, which holds the links of all their texts.
+    similarity of 0.8 or more. Of pairs of SHORT words at most, none is left out. Rows with null id or text, or without any
+    word, are alone. Ids should be unique; rows that repeat an id are one node, verified by the least of their texts.
     """
     known = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("text")).where("d is not null and text is not null")
     signed = settle(_signatures(known).where(F.size("sig") > 0))

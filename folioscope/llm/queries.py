@@ -28,10 +28,11 @@ def op2_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_wav_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: sizes and digests of its WAV file, a digest of the fingerprint, and the time-coded pairs themselves."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = media.media_features(media.text_to_media(docs).drop("text"))
     feature = F.concat_ws(":", "n_frames", "n_peaks", F.size("pairs"), F.sha2(F.array_join(F.col("pairs").cast("array<string>"), ","), 256))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "pairs")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +55,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: its predicted language and that language's posterior; learned from rows that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     model = langid.fit(docs.where(~held_out), PIECE_VOCABULARY)
@@ -62,6 +64,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: counts and digest of the base spans, and all spans, the random tokens included."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.find_secrets(docs).drop("text")
     orders = F.transform("base_secrets", lambda s: s["ord"])
@@ -76,6 +79,7 @@ def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: counts and digest of the base spans, and all spans, those of the field included."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find_pii(docs, pii.fit(pii.labelled_table(spark))).select("doc_id", "pii")
     base = F.filter("pii", lambda s: s["base"])

@@ -310,6 +310,32 @@ def test_media_round_trip(spark):
     assert out[1].pairs == out[6].pairs and out[1].extra == 1
 
 
+def test_fingerprint_against_plain_loops():
+    import cmath
+    import math
+
+    r = random.Random(18)
+    for n in (1, 64, 65, 300, 700):
+        x = np.array([r.randint(-128, 127) for _ in range(n)])
+        padded = [*x.tolist(), *[0] * max(0, media.FRAME - n)]
+        frames = (len(padded) - media.FRAME) // media.HOP + 1
+        window = [0.5 - 0.5 * math.cos(2 * math.pi * i / (media.FRAME - 1)) for i in range(media.FRAME)]
+        m = [[abs(sum(padded[f * media.HOP + i] * window[i] * cmath.exp(-2j * math.pi * k * i / media.FRAME) for i in range(media.FRAME))) for k in range(1, media.FRAME // 2 + 1)] for f in range(frames)]
+        assert np.allclose(media.spectrum(x), m, rtol=1e-3, atol=1e-2)
+        s = media.spectrum(x).tolist()
+        peaks = []
+        for f, row in enumerate(s):
+            mean = float(np.asarray(row, np.float32).mean())
+            for k, v in enumerate(row):
+                beside = (k == 0 or v > row[k - 1]) and (k == len(row) - 1 or v >= row[k + 1])
+                around = (f == 0 or v > s[f - 1][k]) and (f == frames - 1 or v >= s[f + 1][k])
+                if beside and around and v > media.PEAK_RATIO * mean:
+                    peaks.append((f, k))
+        codes = sorted(a[0] << 24 | a[1] << 16 | b[1] << 8 | b[0] - a[0] for i, a in enumerate(peaks) for b in peaks[i + 1 : i + 1 + media.FAN] if b[0] - a[0] <= media.REACH)
+        got = media.fingerprint(x)
+        assert got[0] == frames and [tuple(p) for p in got[1].tolist()] == peaks and got[2].tolist() == codes
+
+
 def test_fingerprint_does_not_depend_on_blocks(monkeypatch):
     x = np.random.default_rng(1).integers(-128, 127, 20_000)
     whole = media.fingerprint(x)
@@ -577,7 +603,29 @@ def test_pipeline_stages(spark):
     bench = [decontaminate.normalise(x.text) for x in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     assert not any(b in decontaminate.normalise(t) for t in kept.values() for b in bench)
     assert len(set(kept.values())) == len(kept)
-    assert brute_lines(sorted(kept.items())) is not None
+    lined = {x.doc_id: x.text for x in p.line_dedup_stage(spark, source, SF).collect()}
+    every = [(x.doc_id, x.text) for x in source.collect() if x.text is not None]
+    gone = brute_lines(every)
+    want = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in every}
+    assert lined == {d: t for d, t in want.items() if t.strip(" ")}
+    assert all(x.n_chars == len(x.text) for x in p.line_dedup_stage(spark, source, SF).collect())
+    texts_ = sorted(lined.items())
+    root = {d: d for d, _ in texts_}
+    split = {d: t.split() for d, t in texts_}
+    for i, (d, t) in enumerate(texts_):
+        for e, u in texts_[:i]:
+            if root[d] != root[e] and (t == u or near_dup.similar(split[d], split[e])):
+                low, high = sorted((root[d], root[e]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    once = {x.doc_id for x in p.near_dup_stage(spark, p.line_dedup_stage(spark, source, SF), SF).collect()}
+    assert once == {d for d in root if root[d] == d}
+    held = {d for d, t in every if any((m := decontaminate.best_match(b, decontaminate.normalise(t)))[0] <= decontaminate.budget(b) and m for b in bench)}
+    assert {x.doc_id for x in p.decontaminate_stage(spark, source, SF).collect()} == {x.doc_id for x in source.collect()} - held
+    library = Tokenizer.from_file(queries.BPE_VOCABULARY)
+    coded = {x.doc_id: (x.n_tokens, x.ids_sha256) for x in p.bpe_stage(spark, source, SF).collect()}
+    for d, t in every:
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert coded[d] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
     out = p.bpe_stage(spark, docs_, SF).collect()
     assert {x.doc_id for x in out} == set(kept)
 
