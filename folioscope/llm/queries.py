@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, line_dedup, media, near_dup, passages, pii, secrets, urlfilter
+from . import bpe, decontaminate, hard_negatives, langid, line_dedup, media, near_dup, passages, pii, secrets, urlfilter, whitening
 from .common import table
 
 BPE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -98,8 +98,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(pages, pages.where("page_id % 50 = 0")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each embedding and component: its whitened value, and what the component explains."""
+    rows = whitening.quantised(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return whitening.whiten(rows, whitening.fit(rows))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each anchor, positive and negative returned; labels of ids divisible by 7 are moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.prepared(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"), label)
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_shared_passages, op3_wav_fingerprint, op4_bpe, op5_line_dedup, op6_language_id, op7_secrets, op8_near_dup, op9_pii, op10_url_filter)
+    f.__name__: f for f in (op1_decontaminate, op2_shared_passages, op3_wav_fingerprint, op4_bpe, op5_line_dedup, op6_language_id, op7_secrets, op8_near_dup, op9_pii, op10_url_filter, op12_whitening, op13_hard_negatives)
 }
 
 _OP10 = r"""
@@ -142,4 +155,17 @@ gone AS (
 SELECT doc_id, coalesce(len(string_split(coalesce(text, ''), chr(10))), 1) AS n_lines, coalesce(n, 0) AS n_removed, coalesce(r, '') AS removed FROM documents LEFT JOIN cut USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_line_dedup": _OP5, "op10_url_filter": _OP10}
+_OP13 = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {"op13_hard_negatives": _OP13, "op5_line_dedup": _OP5, "op10_url_filter": _OP10}
