@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hard_negatives, langid, line_dedup, media, near_dup, passages, pii, secrets, urlfilter, whitening
+from . import bpe, decontaminate, hard_negatives, langid, line_dedup, media, near_dup, passages, pii, secrets, suffix_dedup, urlfilter, whitening
 from .common import table
 
 BPE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -98,6 +98,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(pages, pages.where("page_id % 50 = 0")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: its bytes, those removed and in how many runs, and the digest of the others."""
+    cut = suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return cut.select("doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each embedding and component: its whitened value, and what the component explains."""
     rows = whitening.quantised(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
@@ -112,7 +119,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_shared_passages, op3_wav_fingerprint, op4_bpe, op5_line_dedup, op6_language_id, op7_secrets, op8_near_dup, op9_pii, op10_url_filter, op12_whitening, op13_hard_negatives)
+    f.__name__: f for f in (op1_decontaminate, op2_shared_passages, op3_wav_fingerprint, op4_bpe, op5_line_dedup, op6_language_id, op7_secrets, op8_near_dup, op9_pii, op10_url_filter, op11_suffix_dedup, op12_whitening, op13_hard_negatives)
 }
 
 _OP10 = r"""
@@ -168,4 +175,20 @@ FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 *
 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 5
 """
 
-ORACLE_SQL: dict[str, str] = {"op13_hard_negatives": _OP13, "op5_line_dedup": _OP5, "op10_url_filter": _OP10}
+_OP11 = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, unnest(range(1, octet_length(b) - 98)) AS p, hex(b) AS x FROM d WHERE octet_length(b) >= 100),
+c AS (SELECT doc_id, p, row_number() OVER (PARTITION BY substr(x, 2 * p - 1, 200) ORDER BY doc_id, p) AS i FROM w),
+g AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS was FROM c WHERE i > 1),
+r AS (SELECT doc_id, p, sum(CASE WHEN was IS NULL OR p > was + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM g),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM r GROUP BY doc_id, k),
+t AS (SELECT doc_id, a, b, lag(b, 1, 1) OVER (PARTITION BY doc_id ORDER BY a) AS z, row_number() OVER (PARTITION BY doc_id ORDER BY a DESC) AS i FROM s),
+k AS (
+  SELECT doc_id, sum(t.b - a)::BIGINT AS n, count(*) AS m, string_agg(substr(hex(d.b), 2 * z - 1, 2 * (a - z)), '' ORDER BY a) || max(CASE WHEN i = 1 THEN substr(hex(d.b), 2 * t.b - 1) ELSE '' END) AS x
+  FROM t JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(m, 0) AS n_spans, sha256(CASE WHEN n IS NULL THEN b ELSE unhex(x) END) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op11_suffix_dedup": _OP11, "op13_hard_negatives": _OP13, "op5_line_dedup": _OP5, "op10_url_filter": _OP10}
