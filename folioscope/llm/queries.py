@@ -177,14 +177,14 @@ WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIF
 
 _OP11 = """
 WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
-w AS (SELECT doc_id, unnest(range(1, octet_length(b) - 98)) AS p, hex(b) AS x FROM d WHERE octet_length(b) >= 100),
-c AS (SELECT doc_id, p, row_number() OVER (PARTITION BY substr(x, 2 * p - 1, 200) ORDER BY doc_id, p) AS i FROM w),
+w AS (SELECT doc_id, unnest(range(1, octet_length(b) - 98)) AS p, b AS x FROM d WHERE octet_length(b) >= 100),
+c AS (SELECT doc_id, p, row_number() OVER (PARTITION BY array_slice(x, p, p + 99) ORDER BY doc_id, p) AS i FROM w),
 g AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS was FROM c WHERE i > 1),
 r AS (SELECT doc_id, p, sum(CASE WHEN was IS NULL OR p > was + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM g),
 s AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM r GROUP BY doc_id, k),
 t AS (SELECT doc_id, a, b, lag(b, 1, 1) OVER (PARTITION BY doc_id ORDER BY a) AS z, row_number() OVER (PARTITION BY doc_id ORDER BY a DESC) AS i FROM s),
 k AS (
-  SELECT doc_id, sum(t.b - a)::BIGINT AS n, count(*) AS m, string_agg(substr(hex(d.b), 2 * z - 1, 2 * (a - z)), '' ORDER BY a) || max(CASE WHEN i = 1 THEN substr(hex(d.b), 2 * t.b - 1) ELSE '' END) AS x
+  SELECT doc_id, sum(t.b - a)::BIGINT AS n, count(*) AS m, string_agg(hex(array_slice(d.b, z, a - 1)), '' ORDER BY a) || max(CASE WHEN i = 1 THEN hex(array_slice(d.b, t.b, octet_length(d.b))) ELSE '' END) AS x
   FROM t JOIN d USING (doc_id) GROUP BY doc_id
 )
 SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(m, 0) AS n_spans, sha256(CASE WHEN n IS NULL THEN b ELSE unhex(x) END) AS kept_sha256
