@@ -271,9 +271,11 @@ def removed(texts: list[bytes | None], places: pa.Array, bloom: np.ndarray) -> l
         start, count, h = stretches(np.frombuffer(data, np.uint8), bounds, KMERS[0])
         passed = _passes(bloom, h)
         start, count = start[passed], count[passed]
+        if not len(start):
+            continue
         part = np.searchsorted(bounds, start, side="right") - 1
         begins = start + offset[part] - bounds[part]
-        cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else []
+        cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))).tolist()
         for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
             flagged.setdefault(of[part[a]], []).append(np.stack([begins[a:b], count[a:b]]))
     out: list[list[tuple[int, int]]] = [[] for _ in texts]

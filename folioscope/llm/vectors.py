@@ -23,4 +23,4 @@ def usual_size(df: DataFrame, column: str) -> int:
 
 def matrix(column: pa.Array, width: int, dtype=np.float64) -> np.ndarray:
     """Rows of a list column without nulls whose lists all have `width` entries."""
-    return column.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False).reshape(-1, width)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False).reshape(len(column), width)
