@@ -76,12 +76,13 @@ def equal_prefixes(symbols: np.ndarray, alphabet: int, depth: int) -> tuple[np.n
     found[n] = True
     counts = np.bincount(symbols, minlength=alphabet)
     ends = np.cumsum(counts)
-    low, high = (ends - counts)[counts > 0], ends[counts > 0]
+    low, high = ((x[counts > 0]).astype(np.int32) for x in (ends - counts, ends))
     found[high] = True
     for _ in range(1, depth):
         sizes = high - low
-        shift = np.cumsum(sizes) - sizes
-        at = np.repeat(low - shift, sizes) + np.arange(int(sizes.sum()))
+        shift = np.cumsum(sizes, dtype=np.int32) - sizes
+        at = np.repeat(low - shift, sizes)
+        at += np.arange(len(at), dtype=np.int32)
         c = transform[at]
         by = np.argsort(c, kind="stable")
         by = by[np.count_nonzero(c == 0) :]
@@ -89,8 +90,8 @@ def equal_prefixes(symbols: np.ndarray, alphabet: int, depth: int) -> tuple[np.n
             break
         c, interval, to = c[by], np.repeat(np.arange(len(low), dtype=np.int32), sizes)[by], back[at[by]]
         starts = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (interval[1:] != interval[:-1]))))
-        low = np.minimum.reduceat(to, starts).astype(np.int64)
-        high = low + np.diff(np.append(starts, len(to)))
+        low = np.minimum.reduceat(to, starts)
+        high = low + np.diff(np.append(starts, len(to))).astype(np.int32)
         fresh = ~found[high]
         low, high = low[fresh], high[fresh]
         found[high] = True

@@ -33,54 +33,56 @@ LENGTH = 100
 KMERS = (32, 64, 84, 100)
 #: Bytes of different strings of one k-mer that are indexed together at most, and bytes of a chunk with several k-mers.
 HOT, CHUNK = 1 << 17, 1 << 19
-#: Bytes that are hashed at once.
-PIECE = 1 << 20
+#: Windows of one text, and bytes in all, that are hashed at once; places in them fit 16 bits.
+PIECE, MOST = 1 << 15, (1 << 16) - 1
 #: Words of 64 bits in the Bloom filter (16 MB).
 BLOOM_WORDS = 1 << 21
 _FIRST = -(1 << 63)
 
 
 def stretches(data: np.ndarray, bounds: np.ndarray, k: int, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, windows, hash) of each run of windows with one least k-mer, windows lying within bounds[i]..bounds[i + 1]. Of equal k-mers in a window the first counts."""
+    """(start, windows, hash) of each run of windows with one least k-mer, windows lying within bounds[i]..bounds[i + 1]. At most MOST bytes."""
     n = len(data)
-    ends = np.repeat(bounds[1:], np.diff(bounds))[: max(0, n - length + 1)]
-    inside = np.arange(len(ends)) + length <= ends
+    ends = np.repeat(bounds[1:].astype(np.int32), np.diff(bounds))[: max(0, n - length + 1)]
+    inside = np.arange(length, length + len(ends), dtype=np.int32) <= ends
     if not inside.any():
         return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
     power, inverse = _power_tables(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
-    h = mix((sums[k:] - sums[:-k]) * inverse[: n - k + 1])
-    bits = np.uint64(n.bit_length())
-    least, span, width = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64), 1, length - k + 1
+    h = sums[k:] - sums[:-k]
+    h *= inverse[: n - k + 1]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    # 16 bits of the hash over 16 of the place, so that of equal ones the first counts.
+    least = (h >> np.uint64(32)).astype(np.uint32) & np.uint32(0xFFFF0000) | np.arange(len(h), dtype=np.uint32)
+    span, width = 1, length - k + 1
     while span * 2 <= width:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
     if span < width:
         least = np.minimum(least[: span - width], least[width - span :])
-    at = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    inner = np.flatnonzero(inside)
-    at = at[inner]
-    starts = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (inner[1:] != inner[:-1] + 1))))
-    # Mixed again: least hashes are small, and are to be spread evenly over partitions and filter words.
-    return inner[starts], np.diff(np.append(starts, len(inner))), mix(h[at[starts]] ^ np.uint64(k))
+    at = least & np.uint32(0xFFFF)
+    cuts = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (inside[1:] != inside[:-1]), [True])))
+    starts, count = cuts[:-1], np.diff(cuts)
+    kept = inside[starts]
+    starts, count = starts[kept], count[kept]
+    return starts, count, mix(h[at[starts]] ^ np.uint64(k))
 
 
 def pieces(texts: list[bytes | None], length: int = LENGTH) -> Iterator[tuple[bytes, np.ndarray, list[int], np.ndarray]]:
-    """(bytes, bounds, index of the text, offset in the text) of some PIECE bytes at a time; longer texts are cut and overlap by length - 1."""
+    """(bytes, bounds, index of the text, offset in the text) of at most 64 KB at a time; texts of over PIECE windows are cut and overlap by length - 1."""
     held, of, offset, size = [], [], [], 0
     for i, text in enumerate(texts):
-        for a in range(0, max(1, len(text or b"") - length + 1), PIECE):
-            part = (text or b"")[a : a + PIECE + length - 1]
-            if len(part) < length:
-                continue
+        for a in range(0, len(text or b"") - length + 1, PIECE):
+            part = text[a : a + PIECE + length - 1]
+            if held and size + len(part) > MOST:
+                yield b"".join(held), np.concatenate(([0], np.cumsum([len(x) for x in held]))), of, np.array(offset)
+                held, of, offset, size = [], [], [], 0
             held.append(part)
             of.append(i)
             offset.append(a)
             size += len(part)
-            if size >= PIECE:
-                yield b"".join(held), np.concatenate(([0], np.cumsum([len(x) for x in held]))), of, np.array(offset)
-                held, of, offset, size = [], [], [], 0
     if held:
         yield b"".join(held), np.concatenate(([0], np.cumsum([len(x) for x in held]))), of, np.array(offset)
 
@@ -101,8 +103,9 @@ def repeated_kmers(texts: DataFrame) -> DataFrame:
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, bounds, _, _ in pieces(batch.column(0).to_pylist()):
-                h, n = np.unique(stretches(np.frombuffer(data, np.uint8), bounds, KMERS[0])[2].view(np.int64), return_counts=True)
+            found = [stretches(np.frombuffer(data, np.uint8), bounds, KMERS[0])[2] for data, bounds, _, _ in pieces(batch.column(0).to_pylist())]
+            if found:
+                h, n = np.unique(np.concatenate(found).view(np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.minimum(n, 2))], ["h", "n"])
 
     return texts.mapInArrow(hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
@@ -146,7 +149,8 @@ def cut_strings(rows: DataFrame, k: int, bloom=None) -> DataFrame:
                     start, count, h = start[kept], count[kept], h[kept]
                 part = np.searchsorted(bounds, start, side="right") - 1
                 i = np.array(of)[part]
-                yield _rows(data, start, count, h, d[i], tie[i], pos[i] + offset[part] + start - bounds[part])
+                if len(i):
+                    yield _rows(data, start, count, h, d[i], tie[i], pos[i] + offset[part] + start - bounds[part])
 
     return rows.select("d", "tie", "pos", "s").mapInArrow(cut, _STRINGS)
 
