@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -63,55 +58,54 @@ def retention(before_after: DataFrame) -> DataFrame:
     return before_after.select("doc_id", F.array_join(F.filter(flags, lambda f: f.isNotNull()), ",").alias("flags"))
 
 
-_BREAKS = re.compile(r"\n{2,}|\x00+|(?<=[.!?])\s+")
+#: Stands between spans while they are cut, and what stands before a digit for a mark or itself where a text has one of the two.
+_MARK, _ESCAPE = "\uf8ff", "\uf8fe"
+#: What is a span of its own: white space after a sentence, runs of two line ends or more, runs of NUL.
+_APART = [r"(?<=[.!?])(\s+)", r"(\n{2,})", r"(\x00+)"]
+#: A piece of a longer stretch: up to its last white space in the second half of SPAN_CHARS, else SPAN_CHARS; or what is left.
+_PIECE = rf"(?s)(?=.{{{SPAN_CHARS + 1}}})(?:.{{{SPAN_CHARS // 2},{SPAN_CHARS - 1}}}\s|.{{{SPAN_CHARS}}})|.{{1,{SPAN_CHARS}}}"
 
 
-def partition(text: str) -> list[tuple[int, int]]:
-    """Bounds of a text's spans: they cover it without gaps. Paragraph breaks, runs of NUL and the space after a sentence are
-    spans of their own; a span over SPAN_CHARS is cut after the last white space of its second half, or else there."""
-    marks = {0, len(text)} if text else set()
-    for pattern in (r"\n{2,}", r"\x00+", r"(?<=[.!?])\s+"):
-        for m in re.finditer(pattern, text):
-            marks |= {m.start(), m.end()}
-    out, edges = [], sorted(marks)
-    for lo, hi in zip(edges, edges[1:], strict=False):
-        while hi - lo > SPAN_CHARS:
-            soft, hard = lo + SPAN_CHARS // 2, lo + SPAN_CHARS
-            found = [m.end() for m in re.finditer(r"\s+", text[soft:hard])]
-            cut = soft + found[-1] if found else hard
-            out.append((lo, cut))
-            lo = cut
-        out.append((lo, hi))
-    return out
+def _digest(text: Column) -> Column:
+    return F.sha2(text, 256)
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, start, finish, span_id, text): the catalogue of every whole text; ids are bound to text, place and content.
 
-    Row-local, in batches of rows; null and empty texts have no spans.
+    Spans cover a text without gaps. White space after a sentence, paragraph breaks and runs of NUL are apart; a longer span is
+    cut. All by expressions: marks are put around what stands apart, the marked text is split, and places are running sums of lengths.
+    Null and empty texts have no spans.
     """
+    marked = F.replace(F.replace("text", F.lit(_ESCAPE), F.lit(f"{_ESCAPE}0")), F.lit(_MARK), F.lit(f"{_ESCAPE}1"))
+    for apart in _APART:
+        marked = F.regexp_replace(marked, apart, f"{_MARK}$1{_MARK}")
+    plain = lambda p: F.replace(F.replace(p, F.lit(f"{_ESCAPE}1"), F.lit(_MARK)), F.lit(f"{_ESCAPE}0"), F.lit(_ESCAPE))
+    pieces = F.flatten(F.transform(F.split(marked, _MARK), lambda p: F.regexp_extract_all(plain(p), F.lit(_PIECE), F.lit(0))))
+    own = docs.where("text <> ''").select("doc_id", _digest(F.col("text")).alias("whole"), pieces.alias("pieces"))
+    cut = own.select("doc_id", "whole", F.posexplode("pieces").alias("pos", "text"))
+    finish = F.sum(F.length("text")).over(W.partitionBy("doc_id", "whole").orderBy("pos")).cast("int")
+    placed = cut.withColumn("finish", finish).withColumn("start", F.col("finish") - F.length("text"))
+    return placed.select("doc_id", "pos", "start", "finish", span_id(F.col("whole")).alias("span_id"), "text")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for d, t in zip(frame["doc_id"], frame["text"], strict=True):
-                digest = hashlib.sha256((t or "").encode()).hexdigest()[:16]
-                for i, (a, b) in enumerate(partition(t or "")):
-                    part = t[a:b]
-                    rows.append((d, i, a, b, f"ss1:{digest}:{a}:{b}:{hashlib.sha256(part.encode()).hexdigest()[:20]}", part))
-            yield pd.DataFrame(rows, columns=["doc_id", "pos", "start", "finish", "span_id", "text"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, pos int, start int, finish int, span_id string, text string")
+def span_id(whole: Column) -> Column:
+    return F.concat_ws(":", F.lit("ss1"), F.left(whole, F.lit(16)), "start", "finish", F.left(_digest(F.col("text")), F.lit(20)))
 
 
 def catalogue_faults(catalogue: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, spans, faults): gaps, overlaps, wrong content and missing cover of each text's catalogue; 0 faults if it is sound."""
+    """(doc_id, spans, faults): gaps, overlaps, wrong ids, and 1 where the spans put together are not the text; 0 faults if it is sound.
+
+    Texts meet their spans by digest only: the spans are put together again once a document.
+    """
     w = W.partitionBy("doc_id").orderBy("pos")
-    texts = docs.select("doc_id", F.col("text").alias("whole"))
-    marked = catalogue.withColumn("before", F.coalesce(F.lag("finish").over(w), F.lit(0))).join(texts, "doc_id")
-    bad = (F.col("before") != F.col("start")) | (F.substring("whole", F.col("start") + 1, F.col("finish") - F.col("start")) != F.col("text"))
-    by = marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("spans"), F.count_if(bad).alias("bad"), F.sum(F.length("text")).alias("covered"))
-    return by.join(texts, "doc_id").select("doc_id", "spans", (F.col("bad") + F.when(F.col("covered") != F.length("whole"), 1).otherwise(0)).alias("faults"))
+    wholes = docs.select("doc_id", _digest(F.col("text")).alias("whole"))
+    before = F.coalesce(F.lag("finish").over(w), F.lit(0))
+    marked = catalogue.withColumn("gap", (before != F.col("start")) | (F.col("finish") - F.col("start") != F.length("text"))).join(wholes, "doc_id")
+    marked = marked.withColumn("bad", F.col("gap") | (F.col("span_id") != span_id(F.col("whole"))))
+    again = _digest(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), ""))
+    by = marked.groupBy("doc_id", "whole").agg(F.count(F.lit(1)).alias("spans"), F.count_if("bad").alias("bad"), again.alias("again"))
+    return by.select("doc_id", "spans", (F.col("bad") + (F.col("again") != F.col("whole")).cast("int")).alias("faults"))
 
 
 def merged_ranges(chosen: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def _titles(s, d):
 
 def _forms(s, d):
     t = F.col("text")
-    return _docs(s, d).select("doc_id", F.size(X.unicode_tokens(t)).alias("tokens"), F.array_join(F.slice(X.number_signature(t), 1, 1_000_000), " ").alias("numbers"), F.array_join(X.negations(t), " ").alias("negations"), F.sha2(X.rejoined(t), 256).alias("rejoined"),
+    return _docs(s, d).select("doc_id", F.size(X.unicode_tokens(t)).alias("tokens"), F.array_join(X.number_signature(t), " ").alias("numbers"), F.array_join(X.negations(t), " ").alias("negations"), F.sha2(X.rejoined(t), 256).alias("rejoined"),
                               F.length(X.dehyphenated(t)).alias("joined_chars"), F.length(X.without_ligatures(t)).alias("plain_chars"), F.sha2(X.cleaned(t), 256).alias("cleaned"), X.marker_context(t, F.lit("the ")).alias("context"))
 
 
@@ -121,20 +121,20 @@ ORACLE_SQL: dict[str, str] = {
 SELECT p_partkey, {_KEY % 'entry'} AS title_key, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(lower(entry), '[a-z]+|[0-9]+'), lambda w: coalesce({_ORD}[w], try_cast(w AS INT))), lambda n: n BETWEEN 1 AND 10))), ',') AS ordinals,
   len(list_distinct(regexp_extract_all(lower(split_part(cited, ':', -1)), '[a-z0-9]+'))) >= 3 AND {_KEY % "split_part(cited, ':', -1)"} = {_KEY % 'p_name'} AS suffix,
   length(s) BETWEEN 2 AND 10 AND regexp_matches(i, regexp_replace(s, '(.)', '.*\1', 'g')) AS acronym, length(s) BETWEEN 2 AND 10 AND regexp_matches(i, regexp_replace(reverse(s), '(.)', '.*\1', 'g')) AS reversed, CASE WHEN p_partkey % 2 = 0 THEN p_partkey::VARCHAR END AS cite_key FROM p""",
-    "text_forms": r"""WITH m AS (SELECT *, instr(text, 'the ') AS at0, regexp_replace(replace(lower(text), chr(173), ''), '([\p{L}\p{N}_])-\s+([\p{L}\p{N}_])', '\1\2', 'g') AS r1, trim(regexp_replace(text, '[\s\x{a0}]+', ' ', 'g')) AS c FROM documents),
-w AS (SELECT *, list_filter(string_split(trim(regexp_replace(substr(text, 1, at0 - 1), '[\s\x{a0}]+', ' ', 'g')), ' '), lambda x: x <> '') AS b, list_filter(string_split(trim(regexp_replace(substr(text, at0 + 4), '[\s\x{a0}]+', ' ', 'g')), ' '), lambda x: x <> '') AS a FROM m)
-SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)?')) AS tokens, array_to_string(list_transform(regexp_extract_all(text, '(^|[^A-Za-z0-9])([+-]?(?:[0-9]+(?:[.,][0-9]+)*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?[A-Za-z%]*)', 2), lambda n: lower(replace(n, ',', ''))), ' ') AS numbers,
-  array_to_string(regexp_extract_all(lower(text), '\b(no|not|never|without|neither|nor|cannot|can''t|didn''t|doesn''t|isn''t|won''t)\b'), ' ') AS negations, sha256(regexp_replace(r1, '([\p{L}\p{N}_])-\s+([\p{L}\p{N}_])', '\1\2', 'g')) AS rejoined,
+    "text_forms": rf"""WITH m AS (SELECT *, instr(text, 'the ') AS at0, regexp_replace(replace(lower(text), chr(173), ''), '([\p{{L}}\p{{N}}_])-\s+([\p{{L}}\p{{N}}_])', '\1\2', 'g') AS r1, trim(regexp_replace(text, '[\s\x{{a0}}]+', ' ', 'g')) AS c FROM documents),
+w AS (SELECT *, list_filter(string_split(trim(regexp_replace(substr(text, 1, at0 - 1), '[\s\x{{a0}}]+', ' ', 'g')), ' '), lambda x: x <> '') AS b, list_filter(string_split(trim(regexp_replace(substr(text, at0 + 4), '[\s\x{{a0}}]+', ' ', 'g')), ' '), lambda x: x <> '') AS a FROM m)
+SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+(?:[''’][\p{{L}}\p{{N}}]+)?')) AS tokens, array_to_string(list_transform(regexp_extract_all(text, '{X.NUMBER}', 2), lambda n: lower(replace(n, ',', ''))), ' ') AS numbers,
+  array_to_string(regexp_extract_all(regexp_replace(lower(text), '([^\p{{L}}\p{{N}}_''])', '\1\1', 'g'), '{X.NEGATION.replace("'", "''")}', 2), ' ') AS negations, sha256(regexp_replace(r1, '([\p{{L}}\p{{N}}_])-\s+([\p{{L}}\p{{N}}_])', '\1\2', 'g')) AS rejoined,
   length(regexp_replace(text, '([A-Za-z])-\n([A-Za-z])', '\1\2', 'g')) AS joined_chars, length(replace(replace(replace(replace(replace(replace(replace(text, 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), 'ﬅ', 'ft'), 'ﬆ', 'st')) AS plain_chars,
-  sha256(trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(text, chr(160), ' '), chr(173), ''), '[ \t]+', ' ', 'g'), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'))) AS cleaned,
+  sha256(trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(text, chr(160), ' '), chr(173), ''), '[ \t]+', ' ', 'g'), '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'))) AS cleaned,
   CASE WHEN at0 > 0 THEN array_to_string(list_concat(list_concat(b[greatest(len(b) - 9, 1):], ['the']), a[1:30]), ' ') ELSE c END AS context FROM w""",
     "address_forms": rf"""WITH m AS (SELECT page_id, url, {_MADE} AS u FROM pages), p AS (SELECT *, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, lower(regexp_extract(u, '^[^:/?#]+://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS h, regexp_extract(u, '^[^:/?#]+://(?:[^/?#@]*@)?[^/?#:]*:([0-9]+)', 1) AS port,
   regexp_extract(u, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(u, '^[^?#]*(\?[^#]+)', 1) AS q FROM m)
 SELECT page_id, regexp_replace(h, '^www\.', '') AS host, ends_with(lower(path), '.pdf') OR list_contains(string_split(lower(path), '/'), 'pdf') OR ends_with(lower(q), '=pdf') AS pdf,
   CASE WHEN h IN ('doi.org', 'dx.doi.org', 'www.doi.org', 'www.dx.doi.org') AND ltrim(path, '/') <> '' THEN 'doi:' || lower(ltrim(path, '/')) WHEN scheme = '' OR h = '' THEN trim(u)
     ELSE scheme || '://' || h || CASE WHEN port = '' OR (scheme = 'https' AND port = '443') OR (scheme = 'http' AND port = '80') THEN '' ELSE ':' || port END || CASE WHEN path = '' THEN '/' ELSE path END || q END AS candidate,
-  CASE WHEN page_id % 3 = 0 THEN '' ELSE '10.1234/ab.' || page_id END AS doi, CASE WHEN h IN ('arxiv.org', 'export.arxiv.org') AND starts_with(lower(path), '/abs/') THEN 'arxiv abstract page' END AS record,
-  regexp_matches(u, '\b(supplement(ary|al)?|appendix|appendices|supporting[ _-]?information|dataset|data[ _-]?set|suppl(ement)?[ _-]?file|si[ _-]?[0-9]+)\b', 'i') AS ancillary FROM p""",
+  CASE WHEN page_id % 3 = 0 THEN '' ELSE '10.1234/ab.' || page_id END AS doi, CASE WHEN (h = 'arxiv.org' OR h LIKE '%.arxiv.org') AND starts_with(lower(path), '/abs/') THEN 'arxiv abstract page' END AS record,
+  regexp_matches(u, '{X.ANCILLARY}') AS ancillary FROM p""",
     "page_gates": rf"""WITH v AS (SELECT page_id, html, {_VISIBLE} AS v FROM pages), a AS (SELECT *, length(v) AS n, length(regexp_replace(v, '[^\p{{L}}]', '', 'g')) / nullif(length(v), 0) AS share FROM v)
 SELECT page_id, n >= 1200 AS long_enough, n >= 1200 AND share >= 0.35 AS fulltext, n >= 120 AND share >= 0.30 AS abstract, array_to_string(list_filter({_l(X.PAYWALL)}, lambda m: contains(lower(html), m)), '|') AS paywall, array_to_string(list_filter({_l(X.CHALLENGE)}, lambda m: contains(lower(html), m)), '|') AS challenge,
   len(regexp_extract_all(html, '(?i)<meta\b[^>]*>')) AS metas FROM a""",

@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from folioscope.operators import relations, texts, verification
 from folioscope.plans import relational, runs
 from folioscope.sources import tables
@@ -80,9 +82,48 @@ def test_backoff(spark):
     assert relational.QUERIES["host_backoff"](spark, SF).count() > 0
 
 
+def scanned(t):
+    """Spans of a text by a walk over its characters: what kind of stretch each one is in, then lengths."""
+    kind, i = [], 0
+    while i < len(t):
+        j = i
+        if t[i] in " \t\n\r\x0b\f" and i and t[i - 1] in ".!?":
+            while j < len(t) and t[j] in " \t\n\r\x0b\f":
+                j += 1
+            kind += [("after", i)] * (j - i)
+        else:
+            kind.append(("in", 0))
+            j = i + 1
+        i = j
+    i = 0
+    while i < len(t):
+        j = i
+        while j < len(t) and t[j] == t[i]:
+            j += 1
+        if t[i] == "\0" or t[i] == "\n" and j - i > 1:
+            kind[i:j] = [(k, t[i], i) for k in kind[i:j]]
+        i = j
+    out = []
+    for c, k, was in zip(t, kind, [None, *kind], strict=False):
+        if k == was:
+            out[-1] += c
+        else:
+            out.append(c)
+    pieces = []
+    for x in out:
+        while len(x) > texts.SPAN_CHARS:
+            blanks = [i + 1 for i in range(texts.SPAN_CHARS // 2, texts.SPAN_CHARS) if x[i] in " \t\n\r\x0b\f"]
+            n = blanks[-1] if blanks else texts.SPAN_CHARS
+            pieces.append(x[:n])
+            x = x[n:]
+        pieces.append(x)
+    return pieces
+
+
 def test_span_catalogue_covers_every_text(spark):
     r = random.Random(3)
     whole = ["", None, "a", "x" * 5000, "word " * 900, "One. Two! Three?\n\n\nFour\0\0five.  ", "é日本. " * 400]
+    whole += ["a\uf8ff. \uf8fe1\uf8fe0 b\uf8ff" + "\uf8fe" * 1300, ".\n\n\n!  \0", ". \n\nx\n"]
     whole += ["".join(r.choice(["ab", " ", ". ", "\n\n", "\0", "c" * 700, "! "]) for _ in range(60)) for _ in range(40)]
     df = spark.createDataFrame(list(enumerate(whole)), "doc_id long, text string")
     found = texts.spans(df)
@@ -94,6 +135,11 @@ def test_span_catalogue_covers_every_text(spark):
         assert all(0 < b - a <= texts.SPAN_CHARS and (t or "")[a:b] == x for _, a, b, x in by.get(d, []))
     faults = {x.doc_id: x.faults for x in texts.catalogue_faults(found, df).collect()}
     assert set(faults.values()) == {0}
+    # Against a scan character by character.
+    for d, t in enumerate(whole):
+        assert [x[3] for x in sorted(by.get(d, []))] == scanned(t or ""), d
+    moved = {x.doc_id: x.faults for x in texts.catalogue_faults(found.withColumn("span_id", F.when(F.col("pos") == 0, "ss1:x").otherwise(F.col("span_id"))), df).collect()}
+    assert set(moved.values()) == {1}
     broken = {x.doc_id: x.faults for x in texts.catalogue_faults(found.where("doc_id <> 5 or pos <> 1"), df).collect()}
     assert broken[5] > 0
     merged = texts.merged_ranges(spark.createDataFrame([(1, 0, 5), (1, 5, 9), (1, 12, 14), (2, 3, 4)], "doc_id long, start int, finish int"))
