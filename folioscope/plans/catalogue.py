@@ -14,7 +14,7 @@ from ..operators import ledger as L
 from ..operators import pages as P
 from ..operators import relational as R
 from ..sources.tables import table
-from . import bibliography, links, relational, runs, texts
+from . import bibliography, links, records, relational, runs, texts
 
 KINDS = ["click", "error", "purchase", "signup", "view"]
 
@@ -187,6 +187,6 @@ UNION ALL SELECT 'no_part' FROM lineitem WHERE l_partkey NOT IN (SELECT p_partke
     "paged_groups": "SELECT o_custkey, rank, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 3",
 }
 
-for _more in (runs, relational, texts, links, bibliography):
+for _more in (runs, relational, texts, links, bibliography, records):
     QUERIES |= _more.QUERIES
     ORACLE_SQL |= _more.ORACLE_SQL
