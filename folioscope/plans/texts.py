@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import forms as X
 from ..operators import pages as P
+from ..operators import retrieval as V
 from ..operators import texts as T
 from ..sources.tables import table
 
@@ -73,6 +74,22 @@ def _claims(s, d):
     return _docs(s, d).select("doc_id", F.array_join(F.slice(F.split("text", r"\s+"), 1, 12), " ").alias("claim"))
 
 
+#: Characters of a context.
+BUDGET = 1500
+
+
+def _contexts(s, d):
+    claims = _claims(s, d).withColumnRenamed("claim", "query")
+    return V.contexts(_docs(s, d), T.spans(_docs(s, d)), claims, BUDGET)
+
+
+def _visible(s, d):
+    """Windows of 2,000 characters, one every 1,500, over every text."""
+    starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(1500))
+    chunks = _docs(s, d).where("text <> ''").select("doc_id", F.length("text").alias("n"), F.posexplode(starts).alias("chunk", "start")).select("doc_id", "chunk", "start", F.least(F.col("start") + 2000, F.col("n")).alias("finish"))
+    return V.visible_spans(T.spans(_docs(s, d)), chunks).select("doc_id", "chunk", "pos", "start", "finish", F.sha2("text", 256).alias("text_hash"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "title_forms": _titles,
     "text_forms": _forms,
@@ -85,6 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "retention_flags": _retention,
     "span_catalogue": lambda s, d: T.spans(_docs(s, d)).select("doc_id", "pos", "start", "finish", "span_id"),
     "catalogue_faults": lambda s, d: T.catalogue_faults(T.spans(_docs(s, d)), _docs(s, d)),
+    "budgeted_contexts": lambda s, d: _contexts(s, d).select("doc_id", "mode", "status", F.size("ranges").alias("ranges"), "chars", "context_hash"),
+    "context_faults": lambda s, d: V.context_faults(_contexts(s, d), _docs(s, d), BUDGET),
+    "visible_spans": _visible,
     "merged_ranges": lambda s, d: T.merged_ranges(T.spans(_docs(s, d)).where(F.contains("text", F.lit("the")) | (F.trim("text") == ""))),
     "ranked_chunks": lambda s, d: T.ranked_chunks(_docs(s, d), _claims(s, d), 3),
 }
