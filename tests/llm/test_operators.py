@@ -635,3 +635,12 @@ def test_queries_run_over_empty_tables(spark, tmp_path, name):
     for t in ("documents", "pages", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+def test_passages_do_not_depend_on_how_chains_are_dealt(spark, monkeypatch):
+    r = random.Random(31)
+    common = words(30, 90)
+    rows = [(i, " ".join(words(100 + i, 40) + common[r.randrange(20) :] + words(200 + i, 30) + common[:70]), "en", 0) for i in range(14)]
+    want = set(map(tuple, passages.shared_passages(docs(spark, rows)).collect()))
+    monkeypatch.setattr(passages, "CHAINS_AT_ONCE", 2)
+    assert set(map(tuple, passages.shared_passages(docs(spark, rows)).collect())) == want != set()
