@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import forms as X
+from ..operators import content as N
 from ..operators import pages as P
 from ..operators import retrieval as V
 from ..operators import texts as T
@@ -96,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "address_forms": _urls,
     "page_gates": _pages,
     "page_metas": _metas,
+    "main_content": lambda s, d: N.main_content(table(s, d, "pages").select("page_id", "html")).select("page_id", "container", "tag", "chars", "link_share", "outcome", F.sha2("text", 256).alias("text_hash")),
+    "page_elements": lambda s, d: N.elements(table(s, d, "pages").select("page_id", "html")),
     "trimmed_texts": lambda s, d: T.trimmed(_headed(s, d)).select("doc_id", F.sha2("text", 256).alias("text_hash"), F.array_join("removed", "|").alias("removed")),
     "prepared_texts": lambda s, d: T.prepared(_headed(s, d), 2000),
     "structure_flags": lambda s, d: T.structure_flags(_docs(s, d)),
