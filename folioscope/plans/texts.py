@@ -138,6 +138,32 @@ def _initials(t):
     return f"array_to_string(list_transform(string_split(lower({t}), ' '), lambda w: substr(w, 1, 1)), '')"
 
 
+def _bare_page():
+    """html without comments, head, scripts and the like."""
+    h = "coalesce(html, '')"
+    for form in ["<!--.*?(?:-->|$)", *(rf"<{t}\b.*?(?:</{t}\s*>|$)" for t in ("script", "style", "noscript", "template", "head"))]:
+        h = f"regexp_replace({h}, '{form}', '', 'gis')"
+    return h
+
+
+def _entities(t):
+    for entity, to in P.ENTITIES:
+        t = f"replace({t}, '{entity}', '{to.replace(chr(39), chr(39) * 2)}')"
+    return t
+
+
+_STEP = "CASE WHEN tag IN (%s) AND NOT alone THEN CASE WHEN closes THEN -1 ELSE 1 END ELSE 0 END"
+_ELEMENTS = rf"""b AS (SELECT page_id, regexp_extract_all({_bare_page()}, '<[/!?A-Za-z][^>]*>|[^<]+|<') AS l FROM pages), e AS (SELECT page_id, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS i FROM b),
+n AS (SELECT page_id, i, nullif(lower(regexp_extract(s, '^</?([A-Za-z][A-Za-z0-9]*)[^>]*>$', 1)), '') AS tag, starts_with(s, '</') AS closes, CASE WHEN regexp_matches(s, '^<[/!?A-Za-z][^>]*>$') THEN '' ELSE {_entities('s')} END AS text, ends_with(s, '/>') AS alone FROM e),
+v AS (SELECT *, sum({_STEP % "'a'"}) OVER o AS la, sum({_STEP % _l(N.ASIDE)[1:-1]}) OVER o AS lb FROM n WINDOW o AS (PARTITION BY page_id ORDER BY i)),
+f AS (SELECT *, la - least(min(la) OVER o, 0) > 0 AS in_link, lb - least(min(lb) OVER o, 0) > 0 AS in_aside FROM v WINDOW o AS (PARTITION BY page_id ORDER BY i)),
+z AS (SELECT *, CASE WHEN in_aside THEN 0 ELSE length(regexp_replace(text, '[\s\x{{a0}}]', '', 'g')) END AS size FROM f),
+c AS (SELECT *, sum(size) OVER o AS c, sum(CASE WHEN in_link THEN size ELSE 0 END) OVER o AS l, max(i) OVER p AS last, sum(size) OVER p AS c_all, sum(CASE WHEN in_link THEN size ELSE 0 END) OVER p AS l_all FROM z WINDOW o AS (PARTITION BY page_id ORDER BY i), p AS (PARTITION BY page_id)),
+t AS (SELECT *, sum(CASE WHEN closes THEN -1 ELSE 1 END) OVER (PARTITION BY page_id, tag ORDER BY i) + closes::INT AS level FROM c WHERE tag IN ({_l(N.CONTAINERS)[1:-1]}) AND NOT alone),
+m AS (SELECT *, lead(i) OVER w AS i_, lead(c) OVER w AS c_, lead(l) OVER w AS l_ FROM t WINDOW w AS (PARTITION BY page_id, tag, level ORDER BY i)),
+elements AS (SELECT page_id, tag, i AS start, coalesce(i_, last) AS finish, (coalesce(c_, c_all) - c)::BIGINT AS chars, (coalesce(l_, l_all) - l)::BIGINT AS links FROM m WHERE NOT closes)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "title_forms": rf"""WITH p AS (SELECT *, p_name || ' vol-' || chr(10) || ' ume ' || p_size || ', third ed.' AS entry, p_type || ': ' || CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE p_name END AS cited, regexp_replace({_initials('p_name')}, '[^a-z]', '', 'g') AS s,
   array_to_string(list_transform(regexp_extract_all(lower(p_name), '[a-z]+'), lambda w: substr(w, 1, 1)), '') AS i FROM part)
@@ -163,6 +189,13 @@ SELECT page_id, n >= 1200 AS long_enough, n >= 1200 AND share >= 0.35 AS fulltex
   len(regexp_extract_all(html, '(?i)<meta\b[^>]*>')) AS metas FROM a""",
     "page_metas": r"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<meta\b[^>]*>')) AS tag FROM pages), k AS (SELECT page_id, lower(trim(coalesce(nullif(regexp_extract(tag, '(?i)\bname\s*=\s*"([^"]*)"', 1), ''), nullif(regexp_extract(tag, '(?i)\bproperty\s*=\s*"([^"]*)"', 1), ''), nullif(regexp_extract(tag, '(?i)\bhttp-equiv\s*=\s*"([^"]*)"', 1), ''), nullif(regexp_extract(tag, '(?i)\bitemprop\s*=\s*"([^"]*)"', 1), ''), nullif(regexp_extract(tag, '(?i)\bcharset\s*=\s*"([^"]*)"', 1), '')))) AS key,
   trim(coalesce(nullif(regexp_extract(tag, '(?i)\bcontent\s*=\s*"([^"]*)"', 1), ''), regexp_extract(tag, '(?i)\bcharset\s*=\s*"([^"]*)"', 1))) AS value FROM t) SELECT key, count(DISTINCT page_id) AS pages, count(DISTINCT value) AS values FROM k WHERE key IS NOT NULL GROUP BY key""",
+    "page_elements": f"WITH {_ELEMENTS} SELECT * FROM elements",
+    "main_content": rf"""WITH {_ELEMENTS}, k AS (SELECT *, CASE WHEN chars > 0 THEN links / chars ELSE 0.0 END AS share FROM elements), q AS (SELECT *, CASE WHEN tag IN ('main', 'article') THEN 3 WHEN tag IN ('div', 'section') AND chars >= {N.DENSE} AND share <= {N.LINKS} THEN 2 WHEN tag = 'body' THEN 1 END AS kind FROM k),
+best AS (SELECT * FROM q WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY kind DESC, chars DESC, (tag = 'main') DESC, share, start) = 1),
+x AS (SELECT z.page_id, string_agg(CASE WHEN z.tag IN ({_l(N.LINES)[1:-1]}) THEN chr(10) WHEN in_aside THEN '' ELSE regexp_replace(text, '[\s\x{{a0}}]+', ' ', 'g') END, '' ORDER BY i) AS j, sum(size) AS size FROM z LEFT JOIN best ON best.page_id = z.page_id WHERE best.page_id IS NULL OR i BETWEEN best.start AND best.finish GROUP BY z.page_id),
+y AS (SELECT page_id, trim(regexp_replace(regexp_replace(j, ' +', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) AS text, size FROM x),
+r AS (SELECT page_id, ['page', 'body', 'density', 'main_or_article'][coalesce(kind, 0) + 1] AS container, tag, coalesce(chars, size, 0)::BIGINT AS chars, round(share, 4) AS link_share, coalesce(text, '') AS text FROM pages LEFT JOIN y USING (page_id) LEFT JOIN best USING (page_id))
+SELECT page_id, container, tag, chars, link_share, CASE WHEN text = '' THEN 'empty' WHEN chars < {N.USABLE} THEN 'short' ELSE 'ready' END AS outcome, sha256(text) AS text_hash FROM r""",
     "trimmed_texts": f"WITH {_HEADED} SELECT doc_id, sha256(text) AS text_hash, array_to_string(removed, '|') AS removed FROM trimmed",
     "prepared_texts": f"WITH {_HEADED} SELECT doc_id, length(left(text, 2000)) AS chars, sha256(left(text, 2000)) AS text_hash, length(text) > 2000 AS cut FROM trimmed",
     "retention_flags": f"""WITH {_HEADED} SELECT doc_id, array_to_string(list_filter([CASE WHEN length(before) >= 2000 AND (length(text) < 1000 OR length(text) < 0.1 * length(before)) THEN 'catastrophic_truncation' END,
