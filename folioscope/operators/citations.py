@@ -9,15 +9,18 @@ from ..functions.text import topic_tokens
 
 
 def constructed(orders: DataFrame, lineitem: DataFrame, part: DataFrame, supplier: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(claims, references): one manuscript an order. Claims cite line numbers up to five; references exist for odd prices of parts.
+    """(claims, references): one manuscript an order. Each of its lines makes a claim, and each line number a reference.
+
+    A claim cites its own line's reference; where the part's number is divisible by five, one that does not exist.
 
     claims (doc_id, claim_id, sentence); references (doc_id, ref_number, entry, title, surname, year).
     """
     named = lineitem.join(part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
-    claims = named.where("l_linenumber <= 5").select(
+    cited = F.col("l_linenumber") + F.when(F.col("l_partkey") % 5 == 0, 7).otherwise(0)
+    claims = named.select(
         F.col("l_orderkey").alias("doc_id"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("claim_id"),
-        F.concat(F.lit("Claim on "), "p_name", F.lit(" ["), "l_linenumber", F.lit("].")).alias("sentence"))
-    one = named.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "p_name")).alias("x")).where("x.l_partkey % 3 <> 0")
+        F.concat(F.lit("Claim on "), "p_name", F.lit(" ["), cited, F.lit("].")).alias("sentence"))
+    one = named.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "p_name")).alias("x"))
     refs = one.join(supplier.select("s_suppkey", "s_name"), F.col("x.l_suppkey") == F.col("s_suppkey")).join(orders.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
     entry = F.concat(F.lit("["), "l_linenumber", F.lit("] "), "s_name", F.lit(". "), "x.p_name", F.lit(". "), F.year("o_orderdate"), F.lit("."))
     return claims, refs.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ref_number"), entry.alias("entry"), F.col("x.p_name").alias("title"), F.col("s_name").alias("surname"), F.year("o_orderdate").alias("year"))

@@ -105,9 +105,9 @@ _TOPIC = f"list_filter(regexp_extract_all(lower(%s), '[\\p{{L}}\\p{{N}}]+'), lam
 _SENT = r"list_filter(string_split(regexp_replace(trim(regexp_replace(%s, '\s+', ' ', 'g')), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')"
 _MADE = """
 named AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_name FROM lineitem JOIN part ON l_partkey = p_partkey),
-claims AS (SELECT l_orderkey AS doc_id, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS claim_id, 'Claim on ' || p_name || ' [' || l_linenumber || '].' AS sentence FROM named WHERE l_linenumber <= 5),
+claims AS (SELECT l_orderkey AS doc_id, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS claim_id, 'Claim on ' || p_name || ' [' || (l_linenumber + CASE WHEN l_partkey % 5 = 0 THEN 7 ELSE 0 END) || '].' AS sentence FROM named),
 one AS (SELECT l_orderkey, l_linenumber, min(struct_pack(l_partkey := l_partkey, l_suppkey := l_suppkey, p_name := p_name)) AS x FROM named GROUP BY ALL),
-refs AS (SELECT l_orderkey AS doc_id, l_linenumber AS ref_number, x.p_name AS title, s_name AS surname, year(o_orderdate) AS year FROM one JOIN supplier ON x.l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey WHERE x.l_partkey % 3 <> 0),
+refs AS (SELECT l_orderkey AS doc_id, l_linenumber AS ref_number, x.p_name AS title, s_name AS surname, year(o_orderdate) AS year FROM one JOIN supplier ON x.l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey),
 markers AS (SELECT doc_id, claim_id, sentence, unnest(regexp_extract_all(sentence, '\\[(\\d+)\\]', 1))::INT AS ref_number FROM claims)
 """
 _RATED = "WITH r AS (SELECT quality AS a, (n_chars >= 1000)::INT AS b FROM labels JOIN documents USING (doc_id))"

@@ -19,9 +19,9 @@ def _made(s, d):
 
 
 def _orphans(s, d):
-    """Mentions with a letter of the name lost and the year one late, for entries of even number."""
-    refs = _made(s, d)[1].where("ref_number % 2 = 0")
-    return refs.select("doc_id", F.expr("overlay(surname placing '' from 3 for 1)").alias("surname"), (F.col("year") + 1).alias("year")).distinct()
+    """Mentions of all entries, with a letter of the name lost; for entries of even number the year is one late."""
+    late = (F.col("ref_number") % 2 == 0).cast("int")
+    return _made(s, d)[1].select("doc_id", F.expr("overlay(surname placing '' from 3 for 1)").alias("surname"), (F.col("year") + late).alias("year")).distinct()
 
 
 def orphans(s, d):
@@ -65,7 +65,7 @@ refs AS (SELECT doc_id, identifier, row_number() OVER (PARTITION BY doc_id ORDER
 ORACLE_SQL: dict[str, str] = {
     "inline_references": f"WITH {_INLINE} SELECT * FROM refs",
     "inline_edges": f"WITH {_INLINE} SELECT DISTINCT doc_id, claim_id, ref_number FROM uses JOIN refs USING (doc_id, identifier)",
-    "marker_counts": "SELECT l_orderkey AS doc_id, count(*) AS markers, count(DISTINCT l_linenumber) AS numbers FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber <= 5 GROUP BY 1",
+    "marker_counts": "SELECT l_orderkey AS doc_id, count(*) AS markers, count(DISTINCT l_linenumber + CASE WHEN l_partkey % 5 = 0 THEN 7 ELSE 0 END) AS numbers FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1",
     "pair_keys": f"""WITH {_LI}, i AS (SELECT *, CASE l_partkey % 3 WHEN 0 THEN 'entry:entry no ' || l_partkey WHEN 1 THEN 'identity:name|||' ELSE 'doi:10.1/' || l_partkey END AS identity, '[' || l_linenumber || ']' AS marker,
   'The claim of supplier ' || l_suppkey || ' is shown [' || l_linenumber || '] here and there.' AS sentence FROM li), k AS (SELECT *, 'S' || substr(sha256(concat_ws(chr(31), '{MANUSCRIPT}', identity, marker, sentence, sentence)), 1, 24) AS base FROM i)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, identity, CASE WHEN count(*) OVER (PARTITION BY base) > 1 THEN base || '@' || row_number() OVER (PARTITION BY base ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) ELSE base END AS key FROM k""",
