@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import authoryear as A
 from ..operators import bibliography as B
+from ..operators import styles as Y
 from ..sources.tables import table
 
 _SYLLABLES = ("ba", "ke", "li", "mo", "nu", "pe", "ra", "si", "to", "vu")
@@ -113,6 +114,8 @@ def _coverage(s: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "reference_entries": lambda s, d: B.entries(bibliographies(s, d)),
     "reference_fields": _fields,
+    "style_scores": lambda s, d: Y.style_scores(B.entries(bibliographies(s, d))),
+    "detected_styles": lambda s, d: Y.detected_styles(B.entries(bibliographies(s, d))),
     "authoryear_citations": lambda s, d: _cites(s, d).select("doc_id", "claim_id", "surname", F.array_join("others", ",").alias("others"), "et_al", "year", "suffix"),
     "authoryear_matches": lambda s, d: _shown(_matched(s, d)),
     "authoryear_resolved": _resolved,
@@ -141,7 +144,23 @@ s AS (SELECT *, count(*) FILTER (inn AND strict) OVER w AS n_strict, count(*) FI
 b AS (SELECT claim_id, max(CASE WHEN size = 1 THEN n WHEN suffix <> '' THEN NULL WHEN named = 1 THEN CASE WHEN with_all THEN n END WHEN n_strict = 1 THEN CASE WHEN inn AND strict THEN n END WHEN n_coarse = 1 AND inn AND coarse THEN n END) AS n, list_sort(list(n) FILTER (inn OR suffix <> '')) AS all_n FROM s GROUP BY claim_id),
 m AS (SELECT c.doc_id, c.claim_id, c.surname, c.year, CASE WHEN b.n IS NOT NULL THEN 'unique' WHEN len(all_n) > 0 THEN 'ambiguous' ELSE 'orphan' END AS status, b.n, CASE WHEN b.n IS NOT NULL THEN [b.n] ELSE coalesce(all_n, []) END AS candidates FROM c LEFT JOIN b USING (claim_id))"""
 
+def _score_sql(style: str) -> str:
+    quoted = {f: p.replace("'", "''") for f, p in Y.FEATURES.items()}
+    sums = " + ".join("CASE WHEN " + " AND ".join([*(f"regexp_matches(raw, '{quoted[f]}')" for f in needs), *(f"NOT regexp_matches(raw, '{quoted[f]}')" for f in bars)]) + f" THEN {w} ELSE 0.0 END" for s, w, needs, bars in Y.WEIGHTS if s == style)
+    changed = "mean"
+    for mode, changes in (("numbered", Y.BY_NUMBER), ("dated", Y.BY_NAME)):
+        if style in changes:
+            factor, more, least = changes[style]
+            changed = f"CASE WHEN mode = '{mode}' THEN round(mean * {factor} + CASE WHEN mean >= {least} THEN {more} ELSE 0.0 END, 3) ELSE {changed} END"
+    return f"SELECT doc_id, '{style}' AS style, {changed} AS score FROM (SELECT doc_id, mode, round(avg(({sums})::DOUBLE), 3) AS mean FROM g GROUP BY ALL)"
+
+
+_STYLES = f"""{_ENTRIES}, g AS (SELECT doc_id, CASE WHEN layout IN (0, 2) THEN 'numbered' ELSE 'dated' END AS mode, raw FROM ent), u AS ({" UNION ALL ".join(map(_score_sql, Y.STYLES))}),
+ranked AS (SELECT doc_id, style, score, row_number() OVER w AS rank, round(score - lead(score) OVER w, 3) AS ahead FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, style))"""
+
 ORACLE_SQL: dict[str, str] = {
+    "style_scores": f"WITH {_STYLES} SELECT doc_id, style, score, rank FROM ranked",
+    "detected_styles": f"WITH {_STYLES} SELECT doc_id, style, score, ahead AS lead, CASE WHEN score >= 1.5 AND ahead >= 0.6 THEN 'high' WHEN score >= 0.8 AND ahead >= 0.3 THEN 'medium' ELSE 'low' END AS confidence FROM ranked WHERE rank = 1",
     "reference_entries": f"WITH {_ENTRIES} SELECT doc_id, i AS n, CASE WHEN layout IN (0, 2) THEN 'numbered' ELSE 'dated' END AS mode, raw, cut FROM ent",
     "reference_fields": f"""WITH {_FIELDS} SELECT doc_id, i AS n, status, CASE status WHEN 'generic' THEN 'generic' WHEN 'parsed' THEN ['dated_journal', 'short_names', 'semicolons', 'dated_book', 'case'][style + 1] END AS reader, CASE WHEN status = 'refused' THEN 'pages' ELSE '' END AS reasons,
   CASE WHEN status = 'parsed' THEN CASE style WHEN 4 THEN '' WHEN 1 THEN replace(short, ', ', '; ') ELSE parted END END AS authors, CASE status WHEN 'parsed' THEN y WHEN 'generic' THEN CASE WHEN len(years) = 1 THEN years[1]::INT END END AS year, CASE WHEN status = 'parsed' THEN CASE style WHEN 4 THEN pair ELSE title END END AS title,
