@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import records as R
+from ..operators import venues as V
 from ..sources.tables import table
 from . import bibliography as B
 
@@ -51,10 +52,22 @@ def _health(s: SparkSession, d: str) -> DataFrame:
     return R.decisions(refs(s, d), records(s, d)).groupBy("verdict", "status").agg(F.count(F.lit(1)).alias("refs"), F.round(F.avg("score"), 3).alias("mean_score"))
 
 
+def _venues(s: SparkSession, d: str) -> DataFrame:
+    """Each order's container against a form of it: the same, cut short, without a word, as initials, turned round, or another one's."""
+    v, c = F.col("k") % 6, F.col("container")
+    words = F.split(c, " ")
+    short = F.array_join(F.transform(F.filter(words, lambda w: w != "of"), lambda w: F.concat(F.left(w, F.lit(3)), F.lit("."))), " ")
+    turned = F.array_join(F.reverse(words), " ")
+    initials = F.array_join(F.transform(F.filter(words, lambda w: w != "of"), lambda w: F.left(w, F.lit(1))), "")
+    form = F.when(v == 0, F.upper(c)).when(v == 1, short).when(v == 2, F.substring_index(c, " ", 1)).when(v == 3, F.lit("Bulletin of Harbours")).when(v == 4, initials).otherwise(turned)
+    return B.made(s, d).select("k", V.venue_relation(c, form).alias("relation"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "record_evidence": _evidence,
     "record_decisions": _decided,
     "record_verdicts": _health,
+    "venue_relations": _venues,
     "merged_works": lambda s, d: R.works(records(s, d), FIELDS),
 }
 
@@ -97,5 +110,6 @@ ORACLE_SQL: dict[str, str] = {
     "record_evidence": f"WITH {_EVIDENCE} SELECT ref_id, rec_id, title, author, year, venue, score, same_doi, veto FROM e",
     "record_decisions": f"WITH {_DECIDED} SELECT * FROM v",
     "record_verdicts": f"WITH {_DECIDED} SELECT verdict, status, count(*) AS refs, round(avg(score), 3) AS mean_score FROM v GROUP BY verdict, status",
+    "venue_relations": "SELECT o_orderkey AS k, CASE o_orderkey % 6 WHEN 0 THEN 'equal' WHEN 1 THEN 'inconclusive' WHEN 2 THEN 'inconclusive' WHEN 4 THEN 'inconclusive' ELSE 'different' END AS relation FROM orders",
     "merged_works": f"WITH {_WORKS}",
 }

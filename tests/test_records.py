@@ -91,3 +91,17 @@ def test_merged_works_against_all_pairs(spark):
         (min(m), len(m), work[m[0]][1], min(years(m), default=None), any(work[i][3] for i in m), next((values[i] for i in sorted(m) if values[i] is not None), None)) for m in want.values()
     }
     assert records.works(spark.createDataFrame([], "rec_id long, title string, doi string, year int, note string"), ["note"]).count() == 0
+
+
+def test_venues(spark):
+    from pyspark.sql import functions as F
+
+    from folioscope.operators import venues
+
+    cases = [
+        ("Journal of Trade Studies", "J. Trade Stud.", "inconclusive"), ("Annals of Supply & Demand", "ANNALS SUPPLY AND DEMAND", "equal"), ("Zeitschrift für Physik", "Z. Phys.", "inconclusive"),
+        ("Journal of Trade Studies", "J. Stud.", "inconclusive"), ("Journal of Trade Studies", "JTS", "inconclusive"), ("Journal of Trade Studies", "Stud. J.", "different"), ("Journal of Trade Studies", "Trade Journal Studies", "different"),
+        ("Nature", "Nature Physics", "inconclusive"), ("Nature", "Science", "different"), ("X x x y", "x y y", "different"), ("The of", "Nature", None), (None, "Nature", None), ("Phys. Rev. B", "Physical Review Letters", "different"),
+    ]
+    got = spark.createDataFrame(cases, "a string, b string, want string").select("a", "b", "want", venues.venue_relation(F.col("a"), F.col("b")).alias("got"), venues.venue_relation(F.col("b"), F.col("a")).alias("back")).collect()
+    assert [(r.a, r.b, r.got, r.back) for r in got] == [(r.a, r.b, r.want, r.want) for r in got]
