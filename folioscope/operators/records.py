@@ -36,7 +36,10 @@ def folded(name: Column) -> Column:
 
 
 def candidates(refs: DataFrame, records: DataFrame) -> DataFrame:
-    """(ref_id, rec_id) pairs that share an identifier or a prefix token; those of the second kind are still to be verified."""
+    """(ref_id, rec_id) pairs that share an identifier or a prefix token; those of the second kind are still to be verified.
+
+    n references and m records of one and the same title make n * m pairs, each of which has evidence of its own.
+    """
     t = records.select("rec_id", F.explode(F.col("tokens")).alias("t"))
     rarity = t.groupBy("t").agg(F.count(F.lit(1)).alias("c"))
     order = W.partitionBy("rec_id").orderBy("c", "t")

@@ -14,8 +14,8 @@ from ..sources.tables import table
 from . import bibliography as B
 
 FIELDS = ["author", "container", "volume", "pages"]
-_TITLE = f"CASE WHEN k % 29 = 0 THEN 'Trade ' || {B._spell('k % 50')} ELSE 'Study of ' || {B._spell('k')} || ' ' || {B._spell('k * 3 + 1')} || ' ' || {B._spell('k * 7 + 5')} || ' and ' || {B._spell('k % 997')} END"
-#: Of an order, as a reference.
+_TITLE = f"CASE WHEN k % 29 = 0 THEN 'Trade ' || {B._spell('k - k % 116')} ELSE 'Study of ' || {B._spell('k')} || ' ' || {B._spell('k * 3 + 1')} || ' ' || {B._spell('k * 7 + 5')} || ' and ' || {B._spell('k % 997')} END"
+#: Of an order, as a reference. Four orders share a short title, whatever the size of the tables.
 REFS = {
     "ref_id": "k", "title": _TITLE, "author": "fam1", "year": "y", "container": "CASE WHEN style = 3 THEN NULL ELSE container END", "volume": "CASE WHEN style = 3 THEN NULL ELSE vol END", "pages": "CASE WHEN style = 3 THEN NULL ELSE p || '-' || q END",
     "doi": "CASE WHEN style > 1 THEN NULL WHEN k % 37 = 0 THEN '10.9999/None.' || CAST(k AS STRING) WHEN k % 41 = 0 THEN '10.' || CAST(1000 + (k + 1) % 9000 AS STRING) || '/ORD.' || CAST(k + 1 AS STRING) || '-' || CAST((k + 1) % 7 AS STRING) ELSE doi END",
