@@ -632,7 +632,7 @@ def test_pipeline_stages(spark):
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run_over_empty_tables(spark, tmp_path, name):
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
 
