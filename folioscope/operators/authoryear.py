@@ -45,7 +45,9 @@ def index(read: DataFrame) -> DataFrame:
     first = F.get(F.col("families"), F.lit(0))
     words = F.regexp_extract_all(first, F.lit(r"\b(\p{Lu})[\p{L}'’]*"), F.lit(1))
     keys = F.array(F.lower(first), bare(first), F.when(F.contains(first, F.lit(" ")) & (F.size(words) >= 2) & ~F.contains("raw", F.concat(first, F.lit(","))), F.lower(F.array_join(words, ""))))
-    year = F.coalesce("year", F.regexp_extract("raw", rf"\(({YEAR})[a-z]?\)", 1).try_cast("int"))
+    # Of an entry without a reader the only number like a year may be part of its identifier: a date in parentheses goes first.
+    dated = F.regexp_extract("raw", rf"\(({YEAR})[a-z]?\)", 1).try_cast("int")
+    year = F.when(F.size("authors") > 0, F.coalesce("year", dated)).otherwise(F.coalesce(dated, "year"))
     made = read.select("doc_id", "n", "raw", families.alias("families"), year.alias("year"), F.regexp_extract("raw", rf"\({YEAR}([a-z])\)", 1).alias("suffix")).where((first != "") & F.col("year").isNotNull())
     return made.select("doc_id", "n", F.explode(F.array_distinct(F.filter(keys, lambda k: k.isNotNull() & (k != "")))).alias("key"), "year", "suffix", F.size("families").alias("n_authors"), F.transform("families", F.lower).alias("families"))
 

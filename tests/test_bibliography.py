@@ -110,6 +110,13 @@ def test_matching_stages(spark, marker, status, found):
     assert [(r.status, r.candidates, r.n) for r in got] == [(status, found, found[0] if len(found) == 1 else None), ("orphan", [], None)]
 
 
+def test_a_printed_date_goes_before_digits_of_an_identifier(spark):
+    raw = "Mosi, A. (1996a). Models. Review, 31(7), 351-384. https://doi.org/10.1750/ord.1-1 and further words of it"
+    read_ = bibliography.read_entries(spark.createDataFrame([(1, 10, raw)], "doc_id long, n int, raw string"))
+    assert [(r.status, r.year) for r in read_.collect()] == [("generic", 1750)]
+    assert {(r.year, r.suffix) for r in authoryear.index(read_).collect()} == {(1996, "a")}
+
+
 def test_a_choice_counts_only_for_candidates(spark):
     matched = spark.createDataFrame([(1, 1, 0, "ambiguous", None, [3, 4]), (1, 2, 0, "ambiguous", None, [3, 4]), (1, 3, 0, "unique", 7, [7])], "doc_id long, claim_id long, place int, status string, n int, candidates array<int>")
     chosen = spark.createDataFrame([(1, 1, 0, 4), (1, 2, 0, 9), (1, 3, 0, 4)], "doc_id long, claim_id long, place int, choice int")
