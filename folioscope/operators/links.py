@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,18 +19,75 @@ SAME_YEAR, NEAR_YEAR, OTHER_YEAR = 1.0, 0.6, 0.2
 LEAST_ORPHAN, LEAST_UNCITED, TOP_ORPHAN, TOP_UNCITED = 0.5, 0.72, 5, 3
 
 
+#: Strings of more characters than this are compared one pair at a time.
+SHORT = 48
+
+
+def _characters(strings: list[str], width: int, pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """(characters by place and string, lengths) of strings of `width` characters at most."""
+    n = np.fromiter(map(len, strings), np.int32, len(strings))
+    c = np.array(strings, dtype=f"<U{width}").view(np.uint32).reshape(len(strings), width).T.copy()
+    c[np.arange(width)[:, None] >= n] = pad
+    return c, n
+
+
+def ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """SequenceMatcher(None, x, y).ratio() of each pair of short strings: the longest common block, then what lies left and right of it.
+
+    All pairs take a step at once; of blocks of one length the first in x counts, then the first in y, as there.
+    """
+    width = max(1, max(map(len, a), default=0), max(map(len, b), default=0))
+    (x, nx), (y, ny) = _characters(a, width, 0x110000), _characters(b, width, 0x110001)
+    matched, who = np.zeros(len(a), np.int32), np.arange(len(a))
+    xlo, xhi, ylo, yhi = np.zeros_like(nx), nx, np.zeros_like(ny), ny
+    while True:
+        open_ = np.flatnonzero((xlo < xhi) & (ylo < yhi))
+        if not len(open_):
+            break
+        who, xlo, xhi, ylo, yhi = who[open_], xlo[open_], xhi[open_], ylo[open_], yhi[open_]
+        # The segments, moved to the start; what lies beyond them equals nothing.
+        i, j = np.arange((xhi - xlo).max())[:, None], np.arange((yhi - ylo).max())[:, None]
+        s = np.where(i < xhi - xlo, x[np.minimum(xlo + i, width - 1), who], 0x110000)
+        t = np.where(j < yhi - ylo, y[np.minimum(ylo + j, width - 1), who], 0x110001)
+        best, run = np.zeros(len(who), np.int32), np.zeros((len(j) + 1, len(who)), np.int16)
+        first = np.zeros((2, len(who)), np.int32)
+        places = (width - j).astype(np.int16)
+        for end in range(len(i)):
+            run[1:] = (run[:-1] + 1) * (s[end] == t)
+            # The longest run, and of equal ones the first: its length and place as one number.
+            top = ((run[1:] * (width + 1) + places) * (run[1:] > 0)).max(axis=0)
+            size = top // (width + 1)
+            more = size > best
+            best[more] = size[more]
+            first[0, more], first[1, more] = end - size[more] + 1, (width - top % (width + 1) - size + 1)[more]
+        np.add.at(matched, who, best)
+        some = best > 0
+        who, best, first, xlo, xhi, ylo, yhi = who[some], best[some], first[:, some], xlo[some], xhi[some], ylo[some], yhi[some]
+        who, xlo, xhi, ylo, yhi = np.tile(who, 2), np.concatenate((xlo, xlo + first[0] + best)), np.concatenate((xlo + first[0], xhi)), np.concatenate((ylo, ylo + first[1] + best)), np.concatenate((ylo + first[1], yhi))
+    total = nx + ny
+    return np.where(total > 0, 2.0 * matched / np.maximum(total, 1), 1.0)
+
+
 @F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratio of matching characters (2 M / T), without regard to case; each pair of strings is compared once a batch."""
+    """Ratio of matching characters (2 M / T), without regard to case; the short pairs of a batch are compared together."""
+    x, y = a.fillna("").str.lower().tolist(), b.fillna("").str.lower().tolist()
+    short = [max(len(s), len(t)) <= SHORT for s, t in zip(x, y, strict=True)]
+    out = np.zeros(len(x))
+    out[short] = ratios([s for s, k in zip(x, short, strict=True) if k], [t for t, k in zip(y, short, strict=True) if k])
     seen: dict[tuple[str, str], float] = {}
-    out = []
-    for x, y in zip(a.fillna("").str.lower(), b.fillna("").str.lower(), strict=True):
-        if (x, y) not in seen:
-            seen[x, y] = SequenceMatcher(None, x, y).ratio()
-        out.append(seen[x, y])
+    for i in np.flatnonzero(~np.array(short, bool)):
+        pair = x[i], y[i]
+        if pair not in seen:
+            seen[pair] = SequenceMatcher(None, *pair).ratio()
+        out[i] = seen[pair]
     return pd.Series(out)
 
 
+#: Said to be nondeterministic: else a filter on the score is pushed below it and all pairs are compared a second time.
+similarity = similarity.asNondeterministic()
+
+
 def orphan_candidates(orphans: DataFrame, references: DataFrame) -> DataFrame:
     """(doc_id, surname, year, ref_number, score, rank): references of the same document most like an orphan, best first.
 

@@ -202,3 +202,21 @@ def test_uncited_candidates(spark):
     gone = spark.createDataFrame([(1, 7, "Miller"), (1, 8, "Li"), (2, 9, None)], "doc_id long, ref_number int, surname string")
     got = [(x.doc_id, x.ref_number, x.claim_id, x["rank"]) for x in links.uncited_candidates(gone, claims).orderBy("rank").collect()]
     assert got == [(1, 7, "c", 1), (1, 7, "a", 2)]
+
+
+def test_similarity_is_that_of_sequence_matcher_and_computed_once(spark):
+    from difflib import SequenceMatcher
+
+    from folioscope.operators import links
+
+    r = random.Random(9)
+    word = lambda letters, most: "".join(r.choice(letters) for _ in range(r.randrange(most)))
+    pairs = [(word("abc", 14), word("abcd", 14)) for _ in range(2000)] + [(word("aábé😀", 48), word("aábé😀", 48)) for _ in range(300)]
+    assert links.ratios(*map(list, zip(*pairs, strict=True))).tolist() == [SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+    assert links.ratios([], []).tolist() == []
+    lost, refs = spark.createDataFrame([(1, "Milr", 2000), (1, "Mi" * 200, 2000)], "doc_id long, surname string, year int"), spark.createDataFrame([(1, 1, "Miller", 2000), (1, 2, "Mi" * 150 + "ller", 2000)], "doc_id long, ref_number int, surname string, year int")
+    found = links.orphan_candidates(lost, refs)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("EvalPython") == 1
+    for x in found.collect():
+        other = {1: "miller", 2: "mi" * 150 + "ller"}[x.ref_number]
+        assert abs(x.score - (0.7 * SequenceMatcher(None, x.surname.lower(), other).ratio() + 0.3)) < 1e-3
