@@ -10,11 +10,11 @@ _BLOCK = r"(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|section|article|nav|h
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 
 
-def visible_text(html):
+def visible_text(html, entities=ENTITIES):
     """Text without scripts, styles, comments and tags; block tags end lines; basic entities read; white space collapsed."""
     bare = F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " ")
     text = F.regexp_replace(F.regexp_replace(bare, _BLOCK, "\n"), r"<[^>]*>", " ")
-    for entity, to in ENTITIES:
+    for entity, to in entities:
         text = F.replace(text, F.lit(entity), F.lit(to))
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t\r\f]+", " "), r" ?\n[ \n]*", "\n"))
 
