@@ -137,24 +137,37 @@ GRAMMARS: dict[str, tuple[str, tuple[str, ...], str]] = {
 }
 
 
-def _reading(reader: str) -> Column:
-    """One reader's struct: its fields as they stand in raw, and why they can't be right; null where the grammar does not fit."""
-    grammar, fields, between = GRAMMARS[reader]
-    got = {f: F.nullif(F.trim(F.regexp_extract("raw", grammar, i + 1)), F.lit("")) for i, f in enumerate(fields)}
+#: Parts the fields of a reader's match.
+_PART = "\x1f"
+
+
+def _match(reader: str) -> Column:
+    """All fields of a reader's match by one evaluation of its grammar, each after _PART; raw itself where the grammar does not fit."""
+    grammar, fields, _ = GRAMMARS[reader]
+    groups = "".join(f"{_PART}${i + 1}" for i in range(len(fields)))
+    return F.regexp_replace(F.translate("raw", _PART, " "), rf"{grammar}(?s:.*)", groups)
+
+
+def _reading(reader: str, parts: Column) -> Column:
+    """One reader's struct from the parts of its match: its fields as they stand in raw, and why they can't be right; null without parts."""
+    _, fields, between = GRAMMARS[reader]
+    got = {f: F.nullif(F.trim(F.get(parts, F.lit(i + 1))), F.lit("")) for i, f in enumerate(fields)}
     names = F.split(got["authors"], between) if between else F.array().cast("array<string>")
     form = _NAME_SHORT if reader == "short_names" else _NAME_FIRST
-    ends = F.transform(F.split(F.regexp_replace(F.coalesce(got.get("pages", F.lit(None)), F.lit("")), "[^0-9–-]", ""), "[-–]"), lambda p: p.try_cast("long"))
+    range_ = F.regexp_replace(F.coalesce(got.get("pages", F.lit(None)), F.lit("")), "[^0-9–-]", "")
+    ends = F.split(range_, "[-–]")
+    from_, to = (F.get(ends, F.lit(i)).try_cast("long") for i in (0, 1))
     year = got["year"].cast("int")
     reasons = [
         F.when(F.exists(names, lambda a: ~F.trim(a).rlike(rf"^{form}$")), "authors"),
         F.when(got["title"].isNull() | ~F.coalesce(got["title"], F.lit("")).rlike(r"\p{L}{2}"), "title"),
         # Of a range that is shorter at its end, only the last digits are written.
-        F.when((F.size(ends) == 2) & (F.length(F.get(ends, F.lit(0)).cast("string")) <= F.length(F.get(ends, F.lit(1)).cast("string"))) & (F.get(ends, F.lit(0)) > F.get(ends, F.lit(1))), "pages"),
+        F.when((F.size(ends) == 2) & (F.length(from_.cast("string")) <= F.length(to.cast("string"))) & (from_ > to), "pages"),
         F.when(F.coalesce(got.get("publisher", F.lit("")), F.lit("")).rlike("[0-9]"), "publisher"),
         F.when(year > F.lit(2100), "year"),
     ]
     columns = [names.alias("authors"), year.alias("year"), *[got.get(f, F.lit(None).cast("string")).alias(f) for f in FIELDS[2:]]]
-    return F.when(F.col("raw").rlike(grammar), F.struct(F.lit(reader).alias("reader"), F.filter(F.array(*reasons), lambda r: r.isNotNull()).alias("reasons"), *columns))
+    return F.when(parts.isNotNull(), F.struct(F.lit(reader).alias("reader"), F.filter(F.array(*reasons), lambda r: r.isNotNull()).alias("reasons"), *columns))
 
 
 def read_entries(found: DataFrame) -> DataFrame:
@@ -164,8 +177,13 @@ def read_entries(found: DataFrame) -> DataFrame:
     title; the first in order is given), `ambiguous` (valid readings differ; no fields), `refused` (only invalid ones, whose
     reasons are given; no fields) or `generic` (none fits; only a year that occurs once and a DOI are given).
     """
-    # Exploding one list a row keeps the optimiser from copying the readers into every use of their result.
-    read = found.withColumn("__all", F.explode(F.array(F.filter(F.array(*[_reading(r) for r in GRAMMARS]), lambda r: r.isNotNull()))))
+    # Each grammar is evaluated once, in generated code. Exploding one row's list keeps the optimiser from copying matches and
+    # readings into every use of their result.
+    read = found.withColumn("__m", F.explode(F.array(F.array(*[_match(r) for r in GRAMMARS]))))
+    matches = {r: F.get("__m", F.lit(i)) for i, r in enumerate(GRAMMARS)}
+    read = read.withColumn("__p", F.explode(F.array(F.array(*[F.when(F.startswith(m, F.lit(_PART)), F.split(m, _PART)) for m in matches.values()]))))
+    readings = [_reading(r, F.get("__p", F.lit(i))) for i, r in enumerate(GRAMMARS)]
+    read = read.withColumn("__all", F.explode(F.array(F.filter(F.array(*readings), lambda r: r.isNotNull()))))
     read = read.withColumn("__ok", F.filter("__all", lambda r: F.size(r["reasons"]) == 0))
     views = F.size(F.array_distinct(F.transform("__ok", lambda r: F.struct(r["year"], F.lower(r["title"])))))
     status = F.when(views == 1, "parsed").when(views > 1, "ambiguous").when(F.size("__all") > 0, "refused").otherwise("generic")
@@ -176,7 +194,7 @@ def read_entries(found: DataFrame) -> DataFrame:
     extra = {"year": F.coalesce("__r.year", F.when(alone & (F.size(years) == 1), F.get(years, F.lit(0)).cast("int"))), "doi": F.coalesce("__r.doi", F.when(alone, doi))}
     reasons = F.when(F.col("status") == "refused", F.array_sort(F.array_distinct(F.flatten(F.transform("__all", lambda r: r["reasons"])))))
     plain = {f: F.col(f"__r.{f}") for f in FIELDS if f not in extra}
-    return read.withColumns({"reader": F.coalesce("__r.reader", F.when(alone, "generic")), "reasons": F.coalesce(reasons, F.array().cast("array<string>")), **plain, **extra}).drop("__all", "__ok", "__r")
+    return read.withColumns({"reader": F.coalesce("__r.reader", F.when(alone, "generic")), "reasons": F.coalesce(reasons, F.array().cast("array<string>")), **plain, **extra}).drop("__m", "__p", "__all", "__ok", "__r")
 
 
 def kind_of(raw: Column, doi: Column) -> Column:

@@ -65,6 +65,13 @@ def test_readers(spark):
     assert all(r[f] is None or str(r[f]) in r.raw for r in got for f in bibliography.FIELDS if f != "authors") and {r.other for r in got} == {"kept"}
 
 
+def test_each_grammar_is_evaluated_once(spark):
+    found = bibliography.read_entries(spark.createDataFrame([(1, "Abel, A. (1990). One\x1ftwo. Oslo: North Press.")], "n int, raw string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(grammar) for grammar, _, _ in bibliography.GRAMMARS.values()] == [1] * len(bibliography.GRAMMARS)
+    assert [(r.status, r.authors, r.title, r.place, r.publisher) for r in found.collect()] == [("parsed", ["Abel, A."], "One two", "Oslo", "North Press")]
+
+
 def test_readings_that_differ_are_ambiguous(spark, monkeypatch):
     monkeypatch.setitem(bibliography.GRAMMARS, "report", (rf"^([^()]+) \(({bibliography.YEAR})\)\. (.+)\. ([^.]+)\.$", ("authors", "year", "title", "publisher"), r",? & |(?<=\.), "))
     same, differs = read(spark, "Abel, A. (1990). Of goods. Oslo: North Press.", "Abel, A. (1990). Of goods. A tale. Oslo: North Press.")
