@@ -17,8 +17,7 @@ def word_tokens(text):
 
 def topic_tokens(text):
     """word_tokens without stop words and single characters."""
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(word_tokens(text), lambda w: ~F.array_contains(stop, w) & (F.length(w) > 1))
+    return F.filter(word_tokens(text), lambda w: (F.length(w) > 1) & ~w.isin(STOP_WORDS))
 
 
 def sentences(text):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import alpha_ratio, sentences, topic_tokens, word_tokens
+from ..sources.tables import settle
 
 #: Okapi weights.
 K1, B = 1.5, 0.75
@@ -110,13 +111,17 @@ def document_frequency(docs: DataFrame) -> DataFrame:
 def bm25_top(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(item_id, rank, doc_id, score): the k best documents of each query by Okapi weights; equal scores by id.
 
-    Only tokens of queries leave the scan: they are joined before anything is grouped, each distinct token counts once.
+    Only tokens of queries and lengths leave the scan: they are joined before anything is grouped, each distinct token counts once.
     """
     wanted = queries.select("item_id", F.explode(F.array_distinct(topic_tokens(F.col("text")))).alias("token"))
+    # A document's own row, under a token that no text has, carries its length; so texts are read once.
+    own = F.array(F.lit(""))
     tokens = docs.select("doc_id", topic_tokens(F.col("text")).alias("t"))
-    size = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("mean")).select(F.struct("n", "mean")).scalar()
-    posted = tokens.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("token")).join(wanted.select("token").distinct(), "token", "left_semi")
-    tf = posted.groupBy("token", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf"))
+    posted = tokens.select("doc_id", F.size("t").alias("len"), F.explode(F.coalesce(F.concat("t", own), own)).alias("token"))
+    posted = posted.join(wanted.select("token").union(docs.sparkSession.createDataFrame([("",)], "token string")).distinct(), "token", "left_semi")
+    every = settle(posted.groupBy("token", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf")))
+    whole, tf = every.where("token = ''"), every.where("token <> ''")
+    size = whole.agg(F.sum("tf").alias("n"), (F.sum(F.col("len") * F.col("tf")) / F.sum(F.when(F.col("len").isNotNull(), F.col("tf")))).alias("mean")).select(F.struct("n", "mean")).scalar()
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (size["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / size["mean"]))

@@ -5,9 +5,11 @@ import math
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioscope.operators import retrieval, texts
+from folioscope.plans import catalogue
 
 
 def replay(spans, query, budget, top_k, neighbours):
@@ -91,3 +93,11 @@ def test_passages_and_contiguous(spark):
     chosen = [(1, 7, 5, 9), (1, 7, 0, 5), (2, 7, 0, 5), (2, 7, 6, 9), (3, 7, 0, 5), (3, 7, 4, 9), (4, 7, 0, 5), (4, 8, 5, 9)]
     got = retrieval.contiguous(spark.createDataFrame(chosen, "list_id int, doc_id int, start int, finish int")).orderBy("list_id").collect()
     assert [tuple(x) for x in got] == [(1, 0, 9, None), (2, None, None, "gap"), (3, None, None, "overlap"), (4, None, None, "documents")]
+
+
+@pytest.mark.parametrize(("name", "most"), [("bm25_topk", 0)])
+def test_how_often_texts_are_read(spark, name, most):
+    """Texts are cut into tokens, chunks and spans once, whatever the number of steps that use these."""
+    found = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation [" in line and "n_chars#" in line for line in plan.split("\n")) <= most
