@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import word_tokens
+from ..sources.tables import settle
 from .texts import SPAN_CHARS
 
 #: Okapi's constants, and what stands between two ranges of a context.
@@ -19,15 +20,17 @@ K1, B, GAP = 1.5, 0.75, "\n\n"
 PLACES = 9
 
 
-def span_scores(catalogue: DataFrame, queries: DataFrame) -> DataFrame:
-    """(doc_id, pos, score) of the spans with a term of their document's query (doc_id, query): Okapi weights among the document's spans.
-
-    A span's tokens meet the document's query in its own row, so only terms of the query are counted.
-    """
+def marked(catalogue: DataFrame, queries: DataFrame) -> DataFrame:
+    """The catalogue with `size` in characters, `len` in tokens, and `hits`, those of them that are in its document's query (doc_id, query)."""
     wanted = queries.select("doc_id", F.array_distinct(word_tokens(F.col("query"))).alias("q"))
-    t = catalogue.select("doc_id", "pos", word_tokens(F.col("text")).alias("t"))
-    size = t.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("mean"))
-    hits = t.join(wanted, "doc_id").select("doc_id", "pos", F.size("t").alias("len"), F.explode(F.filter("t", lambda w: F.array_contains("q", w))).alias("w"))
+    t = catalogue.join(wanted, "doc_id").withColumn("t", word_tokens(F.col("text")))
+    return t.select(*catalogue.columns, F.length("text").alias("size"), F.size("t").alias("len"), F.filter("t", lambda w: F.array_contains("q", w)).alias("hits"))
+
+
+def span_scores(spans: DataFrame) -> DataFrame:
+    """(doc_id, pos, score) of the marked spans with a term of their document's query: Okapi weights among the document's spans."""
+    size = spans.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
+    hits = spans.select("doc_id", "pos", "len", F.explode("hits").alias("w"))
     tf = hits.groupBy("doc_id", "pos", "len", "w").agg(F.count(F.lit(1)).alias("tf"))
     tf = tf.withColumn("df", F.count(F.lit(1)).over(W.partitionBy("doc_id", "w"))).join(size, "doc_id")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -41,14 +44,14 @@ def _joined_length(chosen: Column, sizes: Column) -> Column:
     return F.aggregate(chosen, F.lit(0), lambda total, p: total + sizes[p]) + len(GAP) * F.greatest(runs - 1, F.lit(0))
 
 
-def packed_spans(catalogue: DataFrame, queries: DataFrame, budget: int, top_k: int = 6, neighbours: int = 1) -> DataFrame:
-    """(doc_id, pos): the spans chosen. The top_k spans by score (then place) are taken in turn, each with `neighbours` spans on
+def packed_spans(spans: DataFrame, budget: int, top_k: int = 6, neighbours: int = 1) -> DataFrame:
+    """(doc_id, pos): the marked spans chosen. The top_k spans by score (then place) are taken in turn, each with `neighbours` spans on
     either side if the context then fits the budget, else alone if that fits, else not. At most top_k * (2 neighbours + 1) a document.
     """
     rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("score"), "pos"))
-    seeds = span_scores(catalogue, queries).withColumn("rank", rank).where(F.col("rank") <= top_k)
+    seeds = span_scores(spans).withColumn("rank", rank).where(F.col("rank") <= top_k)
     around = seeds.select("doc_id", "rank", F.col("pos").alias("seed"), F.explode(F.sequence(F.col("pos") - neighbours, F.col("pos") + neighbours)).alias("pos"))
-    held = around.join(catalogue.select("doc_id", "pos", F.length("text").alias("size")), ["doc_id", "pos"])
+    held = around.join(spans.select("doc_id", "pos", "size"), ["doc_id", "pos"])
     by_seed = held.groupBy("doc_id", "rank", "seed").agg(F.collect_list("pos").alias("near"), F.collect_list(F.struct("pos", "size")).alias("sizes"))
     by_doc = by_seed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "seed", "near"))).alias("seeds"), F.map_from_entries(F.array_distinct(F.flatten(F.collect_list("sizes")))).alias("sizes"))
 
@@ -69,14 +72,15 @@ def contexts(docs: DataFrame, catalogue: DataFrame, queries: DataFrame, budget:
     """
     asked = queries.select("doc_id", (F.size(word_tokens(F.col("query"))) == 0).alias("empty"))
     texts = docs.where("text <> ''").join(asked, "doc_id").select("doc_id", F.when(F.length("text") <= budget, F.col("text")).alias("text"), F.length("text").alias("whole"), F.sha2("text", 256).alias("source_hash"), "empty")
-    long = catalogue.join(texts.where("text is null").select("doc_id"), "doc_id", "left_semi")
-    spans = packed_spans(long, queries, budget, top_k, neighbours).join(long.select("doc_id", "pos", "start", "finish", "text"), ["doc_id", "pos"])
+    # Spans are cut and read once: five steps need them.
+    long = settle(marked(catalogue.join(texts.where("text is null").select("doc_id"), "doc_id", "left_semi"), queries).select("doc_id", "pos", "start", "finish", "text", "size", "len", "hits"))
+    spans = packed_spans(long, budget, top_k, neighbours).join(long.select("doc_id", "pos", "start", "finish", "text"), ["doc_id", "pos"])
     order = W.partitionBy("doc_id").orderBy("pos")
     spans = spans.withColumn("new", F.coalesce(F.col("start") != F.lag("finish").over(order), F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(order))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "text")))
     ranges = spans.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("finish").alias("finish"), F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("text"))
     found = ranges.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "finish", "text"))).alias("r"))
-    matched = long.join(queries, "doc_id").where(F.arrays_overlap(word_tokens(F.col("text")), word_tokens(F.col("query")))).select("doc_id", F.lit(True).alias("matched")).distinct()
+    matched = long.where(F.size("hits") > 0).select("doc_id", F.lit(True).alias("matched")).distinct()
     out = texts.join(found, "doc_id", "left").join(matched, "doc_id", "left")
     full = F.col("text").isNotNull()
     context = F.when(full, F.col("text")).otherwise(F.array_join(F.transform("r", lambda x: x["text"]), GAP))
@@ -93,8 +97,9 @@ def context_faults(found: DataFrame, docs: DataFrame, budget: int) -> DataFrame:
     ranges = F.col("ranges")
     ordered = F.forall(F.sequence(F.lit(1), F.size(ranges)), lambda i: (ranges[i - 1]["start"] >= F.when(i > 1, F.get(ranges, i - 2)["finish"]).otherwise(0)) & (ranges[i - 1]["finish"] > ranges[i - 1]["start"]) & (ranges[i - 1]["finish"] <= F.length("source")))
     again = F.array_join(F.transform(ranges, lambda r: F.substring(F.col("source"), r["start"] + 1, r["finish"] - r["start"])), GAP)
-    fault = F.when(F.col("source").isNull() | (F.sha2("source", 256) != F.col("source_hash")), "source").when(~ordered, "ranges").when(F.length(again) > budget, "budget").when((F.sha2(again, 256) != F.col("context_hash")) | (again != F.col("context")), "content")
-    return found.where("status = 'ready'").join(t, "doc_id", "left").select("doc_id", fault.alias("fault"))
+    met = found.where("status = 'ready'").join(t, "doc_id", "left").withColumns({"again": again, "ordered": ordered})
+    fault = F.when(F.col("source").isNull() | (F.sha2("source", 256) != F.col("source_hash")), "source").when(~F.col("ordered"), "ranges").when(F.length("again") > budget, "budget").when((F.sha2("again", 256) != F.col("context_hash")) | (F.col("again") != F.col("context")), "content")
+    return met.select("doc_id", fault.alias("fault"))
 
 
 # ---------------------------------------------------------------- looking up spans

@@ -95,7 +95,7 @@ def test_passages_and_contiguous(spark):
     assert [tuple(x) for x in got] == [(1, 0, 9, None), (2, None, None, "gap"), (3, None, None, "overlap"), (4, None, None, "documents")]
 
 
-@pytest.mark.parametrize(("name", "most"), [("bm25_topk", 0), ("ranked_chunks", 2)])
+@pytest.mark.parametrize(("name", "most"), [("bm25_topk", 0), ("ranked_chunks", 2), ("budgeted_contexts", 2), ("context_faults", 3)])
 def test_how_often_texts_are_read(spark, name, most):
     """Texts are cut into tokens, chunks and spans once, whatever the number of steps that use these."""
     found = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
