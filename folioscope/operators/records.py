@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.forms import title_key, title_ordinals
+from ..sources.tables import settle
 
 #: Weights of the evidence, from where a venue counts, fewest tokens of a title that may match in part.
 WEIGHTS = {"title": 0.45, "author": 0.25, "year": 0.15, "venue": 0.15}
@@ -26,7 +27,7 @@ ABOUT = ["comment on", "reply to", "response to", "erratum", "correction", "corr
 
 
 def tokens(title: Column) -> Column:
-    return F.filter(F.array_distinct(F.filter(F.split(title_key(title), " "), lambda w: w != "")), lambda w: ~w.isin(EMPTY_WORDS))
+    return _words(title_key(title))
 
 
 def folded(name: Column) -> Column:
@@ -40,18 +41,26 @@ def candidates(refs: DataFrame, records: DataFrame) -> DataFrame:
 
     n references and m records of one and the same title make n * m pairs, each of which has evidence of its own.
     """
-    t = records.select("rec_id", F.explode(F.col("tokens")).alias("t"))
+    # Tokens go by their hashes: two of one hash only make pairs that are not verified.
+    t = records.select("rec_id", F.size("tokens").alias("m"), F.explode("tokens").alias("t")).withColumn("t", F.xxhash64("t"))
     rarity = t.groupBy("t").agg(F.count(F.lit(1)).alias("c"))
     order = W.partitionBy("rec_id").orderBy("c", "t")
-    ranked = t.join(rarity, "t").withColumn("i", F.row_number().over(order)).withColumn("m", F.count(F.lit(1)).over(W.partitionBy("rec_id")))
+    ranked = t.join(rarity, "t").withColumn("i", F.row_number().over(order))
     prefix = ranked.where(F.col("i") <= F.col("m") - F.ceil(CANDIDATE * F.col("m")) + 1).select("rec_id", "t")
-    by_title = refs.select("ref_id", F.explode("tokens").alias("t")).join(prefix, "t").select("ref_id", "rec_id")
+    by_title = refs.select("ref_id", F.explode("tokens").alias("t")).withColumn("t", F.xxhash64("t")).join(prefix, "t").select("ref_id", "rec_id")
     by_doi = refs.where("doi is not null").select("ref_id", "doi").join(records.where("doi is not null").select("rec_id", "doi"), "doi").select("ref_id", "rec_id")
     return by_title.union(by_doi).distinct()
 
 
-def with_tokens(df: DataFrame) -> DataFrame:
-    return df.withColumns({"tokens": tokens(F.coalesce("title", F.lit(""))), "doi": F.lower("doi")})
+def _words(key: Column) -> Column:
+    """tokens of a title, from its key."""
+    return F.array_except(F.split(F.coalesce(key, F.lit("")), " "), F.array(*[F.lit(w) for w in ["", *EMPTY_WORDS]]))
+
+
+def _forms(df: DataFrame) -> DataFrame:
+    """What pairs are compared by, made once for each row: key and ordinals of the title, whether it is about another work, the folded author, words of the container."""
+    about = F.coalesce(F.lower("title").rlike(rf"^\W*(?:{'|'.join(ABOUT)})\b"), F.lit(False))
+    return df.withColumns({"key": title_key(F.col("title")), "ordinals": title_ordinals(F.col("title")), "about": about, "author": folded(F.col("author")), "venue_words": F.when(F.col("container").isNotNull(), tokens(F.col("container"))), "doi": F.lower("doi")})
 
 
 def profiles(refs: DataFrame, records: DataFrame) -> DataFrame:
@@ -60,33 +69,36 @@ def profiles(refs: DataFrame, records: DataFrame) -> DataFrame:
     refs: ref_id, title, author, year, container, volume, pages, doi; records: rec_id and the same, and kind. A null on either side
     is no evidence and no conflict. Titles of fewer than LEAST_TOKENS tokens count only if equal; ordinals that differ make it 0.
     """
-    refs, records = with_tokens(refs), with_tokens(records)
-    left = refs.select("ref_id", *[F.col(c).alias(f"a_{c}") for c in ("title", "author", "year", "container", "volume", "pages", "doi", "tokens")])
-    right = records.select("rec_id", "kind", *[F.col(c).alias(f"b_{c}") for c in ("title", "author", "year", "container", "volume", "pages", "doi", "tokens")])
-    p = candidates(refs, records).join(left, "ref_id").join(right, "rec_id")
-    shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    p = p.where(F.coalesce(F.col("a_doi") == F.col("b_doi"), F.lit(False)) | (shared >= F.ceil(CANDIDATE * F.size("b_tokens"))))
-    same = title_key(F.col("a_title")) == title_key(F.col("b_title"))
-    short = F.least(F.size("a_tokens"), F.size("b_tokens")) < LEAST_TOKENS
-    number = (F.size(title_ordinals(F.col("a_title"))) + F.size(title_ordinals(F.col("b_title"))) > 0) & (title_ordinals(F.col("a_title")) != title_ordinals(F.col("b_title")))
-    title = F.when(number, 0.0).when(same, 1.0).when(short | (F.size("b_tokens") == 0), 0.0).otherwise(F.round(shared / F.size("b_tokens"), 3))
+    carried = ("key", "ordinals", "about", "author", "year", "venue_words", "volume", "pages", "doi")
+    # Made once: four steps read the records.
+    refs, records = settle(_forms(refs).select("ref_id", *carried)), settle(_forms(records).select("rec_id", "kind", *carried))
+    left = refs.select("ref_id", *[F.col(c).alias(f"a_{c}") for c in carried])
+    right = records.select("rec_id", "kind", *[F.col(c).alias(f"b_{c}") for c in carried])
+    named = lambda df: df.withColumn("tokens", _words(F.col("key")))
+    p = candidates(named(refs), named(records)).join(left, "ref_id").join(right, "rec_id")
+    # Tokens are made of keys again, as they would take more room on the way.
+    p = p.withColumns({"a_tokens": _words(F.col("a_key")), "b_tokens": _words(F.col("b_key"))})
+    p = p.withColumns({"na": F.size("a_tokens"), "nb": F.size("b_tokens"), "shared": F.size(F.array_intersect("a_tokens", "b_tokens")), "same_doi": F.coalesce(F.col("a_doi") == F.col("b_doi"), F.lit(False))})
+    p = p.where(F.col("same_doi") | (F.col("shared") >= F.ceil(CANDIDATE * F.col("nb"))))
+    same = F.col("a_key") == F.col("b_key")
+    short = F.least("na", "nb") < LEAST_TOKENS
+    number = (F.size("a_ordinals") + F.size("b_ordinals") > 0) & (F.col("a_ordinals") != F.col("b_ordinals"))
+    title = F.when(number, 0.0).when(same, 1.0).when(short | (F.col("nb") == 0), 0.0).otherwise(F.round(F.col("shared") / F.col("nb"), 3))
     p = p.withColumn("title", F.coalesce(title, F.lit(0.0)))
-    a, b = folded(F.col("a_author")), folded(F.col("b_author"))
-    container = tokens(F.coalesce("b_container", F.lit("")))
-    venue = F.round(F.size(F.array_intersect(tokens(F.coalesce("a_container", F.lit(""))), container)) / F.nullif(F.size(container), F.lit(0)), 3)
-    p = p.withColumns({"author": F.coalesce((a != "") & F.contains(b, a), F.lit(False)), "year": F.coalesce(F.col("a_year") == F.col("b_year"), F.lit(False)), "venue": F.coalesce(venue, F.lit(0.0)), "same_doi": F.coalesce(F.col("a_doi") == F.col("b_doi"), F.lit(False)), "same": F.coalesce(same, F.lit(False)), "short": short})
+    a, b = (F.coalesce(f"{side}_venue_words", F.array().cast("array<string>")) for side in "ab")
+    venue = F.round(F.size(F.array_intersect(a, b)) / F.nullif(F.size(b), F.lit(0)), 3)
+    p = p.withColumns({"author": F.coalesce((F.col("a_author") != "") & F.contains("b_author", "a_author"), F.lit(False)), "year": F.coalesce(F.col("a_year") == F.col("b_year"), F.lit(False)), "venue": F.coalesce(venue, F.lit(0.0)), "same": F.coalesce(same, F.lit(False)), "short": short})
     p = p.withColumn("score", F.round(WEIGHTS["title"] * F.col("title") + WEIGHTS["author"] * F.col("author").cast("int") + WEIGHTS["year"] * F.col("year").cast("int") + WEIGHTS["venue"] * (F.col("venue") >= VENUE).cast("int"), 3))
-    return p.withColumn("veto", _veto()).select("ref_id", "rec_id", "title", "author", "year", "venue", "score", "same_doi", "veto", F.sha2(title_key(F.col("b_title")), 256).alias("work"))
+    return p.withColumn("veto", _veto()).select("ref_id", "rec_id", "title", "author", "year", "venue", "score", "same_doi", "veto", F.sha2("b_key", 256).alias("work"))
 
 
 def _veto() -> Column:
     """The first rule by which a candidate can't be the cited work."""
     differs = lambda c: F.coalesce(F.col(f"a_{c}") != F.col(f"b_{c}"), F.lit(False))
-    starts = lambda c: F.coalesce(F.lower(F.col(c)).rlike(rf"^\W*(?:{'|'.join(ABOUT)})\b"), F.lit(False))
-    venue = (F.col("venue") < VENUE) & F.col("a_container").isNotNull() & F.col("b_container").isNotNull()
+    venue = (F.col("venue") < VENUE) & F.col("a_venue_words").isNotNull() & F.col("b_venue_words").isNotNull()
     return (
-        F.when(starts("b_title") & ~starts("a_title"), "about_another_work")
-        .when((F.col("kind") == "dataset") & F.col("a_container").isNotNull(), "dataset")
+        F.when(F.col("b_about") & ~F.col("a_about"), "about_another_work")
+        .when((F.col("kind") == "dataset") & F.col("a_venue_words").isNotNull(), "dataset")
         .when(differs("volume") & differs("pages"), "volume_and_pages")
         .when(venue & differs("pages"), "container_and_pages")
         .when(venue & differs("volume"), "container_and_volume")

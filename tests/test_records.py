@@ -5,7 +5,10 @@ import random
 import re
 from itertools import combinations
 
+import pytest
+
 from folioscope.operators import records
+from folioscope.plans import records as RP
 
 REF = "ref_id long, title string, author string, year int, container string, volume string, pages string, doi string"
 REC = "rec_id long, title string, author string, year int, container string, volume string, pages string, doi string, kind string"
@@ -105,3 +108,10 @@ def test_venues(spark):
     ]
     got = spark.createDataFrame(cases, "a string, b string, want string").select("a", "b", "want", venues.venue_relation(F.col("a"), F.col("b")).alias("got"), venues.venue_relation(F.col("b"), F.col("a")).alias("back")).collect()
     assert [(r.a, r.b, r.got, r.back) for r in got] == [(r.a, r.b, r.want, r.want) for r in got]
+
+
+@pytest.mark.parametrize("name", ["record_evidence", "record_decisions", "record_verdicts"])
+def test_records_are_made_once(spark, name):
+    """The steps that find and judge pairs read what was made of references and records, not the tables again."""
+    plan = RP.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation [" in line and "l_orderkey#" in line for line in plan.split("\n")) == 0
