@@ -275,6 +275,40 @@ def test_passages_that_a_document_repeats(spark):
         assert (x.other_id, x.other_start) < (x.doc_id, x.start)
 
 
+def test_passages_with_edits_up_to_the_threshold(spark):
+    r, texts, want = random.Random(34), {}, []
+    for n, edits in [(55, 2), (55, 4), (55, 6), (55, 11), (120, 12), (120, 20), (120, 24)]:
+        for _ in range(12):
+            p = words(r.random(), n, 5000)
+            q = list(p)
+            for i in r.sample(range(n), edits):
+                q[i] = f"changed{r.randrange(10**9)}"
+            d = len(texts)
+            texts |= {d: words(r.random(), 80, 5000) + p + words(r.random(), 60, 5000), d + 1: words(r.random(), 80, 5000) + q + words(r.random(), 60, 5000)}
+            want.append((d + 1, d))
+    got = passages.shared_passages(docs(spark, [(d, " ".join(t), "x", 1) for d, t in texts.items()])).collect()
+    assert set(want) - {(z.doc_id, z.other_id) for z in got} == set()
+    for z in got:
+        a, b = texts[z.doc_id][z.start : z.end], texts[z.other_id][z.other_start : z.other_end]
+        assert plain_distance(a, b) == z.edits <= max(len(a), len(b)) / 5 and min(len(a), len(b)) >= passages.MIN_WORDS
+
+
+def test_passages_between_documents_that_are_neither_first_nor_last(spark):
+    r, p = random.Random(35), words(36, 60, 5000)
+    q = list(p)
+    for i in range(2, 60, 6):
+        q[i] = f"other{i}"
+    # Documents 3 and 4 share q up to three words; all of its seeds are also in the other documents, in parts of 20 words or with more edits.
+    texts = {d: words(r.random(), 70, 5000) for d in range(8)}
+    for d in (0, 1, 6, 7):
+        for lo in (0, 20, 40):
+            texts[d] += q[lo : lo + 20] + words(r.random(), 40, 5000)
+    texts[3] += changed(r, q, 2) + words(r.random(), 40, 5000)
+    texts[4] += q + words(r.random(), 40, 5000)
+    got = passages.shared_passages(docs(spark, [(d, " ".join(t), "x", 1) for d, t in texts.items()])).collect()
+    assert {(z.doc_id, z.other_id) for z in got} == {(4, 3)}
+
+
 def test_exact_passages_against_all_pairs_in_mixed_boilerplate(spark):
     x, y = words(31, 30, 3000), words(32, 30, 3000)
     texts = {d: words(500 + d, 60, 3000) + p + words(600 + d, 60, 3000) for d, p in {0: x, 10: x, 1: y, 9: y, 5: x + y, 6: x + y}.items()}
