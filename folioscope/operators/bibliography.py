@@ -1,18 +1,14 @@
 """Reference entries: recovered from wrapped lines, read by competing grammars, validated against their text.
 
-Lines become entries by windows over a document's lines, in their order: where an entry starts depends on the line before (is
+Lines become entries within their document's row, as arrays in their order: where an entry starts depends on the line before (is
 it open?) and on those after (does a year follow?). Only numbered labels need a fold, as what is accepted depends on the label
-accepted last; label lines alone go through it, streamed in order.
+accepted last.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 #: Greatest first number of a numbered list, greatest step between labels, least length and multiple of the median
 #: beyond which an entry is an outlier, characters kept after its last element.
@@ -41,29 +37,22 @@ def joined_lines(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def _labels(lines: DataFrame) -> DataFrame:
-    """(doc_id, line): labels that continue their list. A step of over STEP needs a line that looks like an entry's first.
+def _labels(found: Column) -> Column:
+    """Places of the labels that continue their list, of all labels (i, number, clear) in order. A step of over STEP needs a line that
+    looks like an entry's first.
 
-    A list counts as numbered if its first label is FIRST_LABEL at most. State: the document, and the label accepted last.
+    A list counts as numbered if its first label is FIRST_LABEL at most. Labels kept go up, so there are 9,999 of them at most.
     """
+    first = F.get(found, F.lit(0))["number"]
+    start = F.struct((first - 1).alias("last"), F.array().cast("array<int>").alias("at"))
+    goes_on = lambda a, x: (x["number"] > a["last"]) & ((x["number"] <= a["last"] + STEP) | x["clear"])
+    kept = F.aggregate(found, start, lambda a, x: F.when(goes_on(a, x), F.struct(x["number"].alias("last"), F.concat(a["at"], F.array(x["i"])).alias("at"))).otherwise(a), lambda a: a["at"])
+    return F.when(first <= FIRST_LABEL, kept).otherwise(F.array().cast("array<int>"))
+
 
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        doc, last = None, None
-        for frame in frames:
-            kept = []
-            for d, line, number, clear in zip(frame["doc_id"], frame["line"], frame["number"], frame["clear"], strict=True):
-                if d != doc:
-                    doc, last = d, 0 if number <= FIRST_LABEL else None
-                    ok = last is not None
-                else:
-                    ok = last is not None and number > last and (number <= last + STEP or bool(clear))
-                if ok:
-                    last = number
-                    kept.append((d, line))
-            yield pd.DataFrame(kept, columns=["doc_id", "line"])
-
-    found = lines.where("number is not null").select("doc_id", "line", "number", "clear")
-    return found.repartition("doc_id").sortWithinPartitions("doc_id", "line").mapInPandas(fold, "doc_id long, line int")
+def _places(array: str, test) -> Column:
+    """Places (from 0) of an array column's elements that pass test(element, place)."""
+    return F.filter(F.transform(array, lambda x, i: F.when(test(x, i), i)), lambda i: i.isNotNull())
 
 
 def entries(docs: DataFrame) -> DataFrame:
@@ -72,50 +61,59 @@ def entries(docs: DataFrame) -> DataFrame:
     mode: `numbered` (labels that go up; n is the label), `dated` (lines that start with authors and have a year near) or `lines` (one
     an entry; an entry that is only an identifier belongs to the one before). Empty lines and page numbers are left out. Entries
     without a year go to the one before. Of three entries or more, one far longer than the middle one is cut after its last strong
-    element if more than half of it follows. Null and empty texts have no entries.
+    element if more than half of it follows. Null and empty texts have no entries. No row leaves its task: a text is one row.
     """
-    order = W.partitionBy("doc_id").orderBy("line")
-    lines = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", r"\r?\n")).alias("line", "t")).withColumn("t", F.trim("t"))
-    lines = lines.where(~F.col("t").rlike(r"^[-–— ]*[0-9]*[-–— ]*$"))
-    label = F.coalesce(*[F.nullif(F.regexp_extract("t", _LABEL, i), F.lit("")) for i in (1, 2, 3)]).cast("int")
-    lines = lines.withColumn("number", label).withColumn("rest", F.when(label.isNotNull(), F.regexp_extract("t", _LABEL, 4)).otherwise(F.col("t")))
-    ahead = F.concat_ws("\n", "rest", *[F.lead("t", i).over(order) for i in (1, 2, 3)])
-    lines = lines.withColumns({"ahead": ahead, "before": F.lag("t").over(order), "i": F.row_number().over(order)})
-    lines = lines.withColumn("clear", F.col("rest").rlike(_HEAD) & F.col("ahead").rlike(rf"\b{YEAR}\b"))
-    lines = lines.withColumn("dated", F.col("t").rlike(_HEAD) & F.col("ahead").rlike(rf"\b{YEAR}") & ~F.coalesce(F.col("before").rlike(_OPEN), F.lit(False)))
-    lines = lines.join(_labels(lines).withColumn("labelled", F.lit(True)), ["doc_id", "line"], "left").withColumn("labelled", F.coalesce("labelled", F.lit(False)))
-
+    lines = docs.where("doc_id is not null and text is not null").select("doc_id", F.filter(F.transform(F.split("text", r"\r?\n"), lambda t: F.trim(t)), lambda t: ~t.rlike(r"^[-–— ]*[0-9]*[-–— ]*$")).alias("t"))
+
+    def labelled(t: Column) -> Column:
+        number = F.coalesce(*[F.nullif(F.regexp_extract(t, _LABEL, i), F.lit("")) for i in (1, 2, 3)]).cast("int")
+        return F.when(t.rlike(_LABEL), F.struct(number.alias("number"), F.regexp_extract(t, _LABEL, 4).alias("rest"))).otherwise(F.struct(F.lit(None).cast("int").alias("number"), t.alias("rest")))
+
+    def marked(x: Column, i: Column) -> Column:
+        t, number, rest = F.get("t", i), x["number"], x["rest"]
+        ahead = F.concat_ws("\n", rest, *[F.get("t", i + k) for k in (1, 2, 3)])
+        clear = F.when(number.isNotNull(), rest.rlike(_HEAD) & ahead.rlike(rf"\b{YEAR}\b")).otherwise(F.lit(False))
+        dated = t.rlike(_HEAD) & ahead.rlike(rf"\b{YEAR}") & ~F.coalesce(F.get("t", i - 1).rlike(_OPEN), F.lit(False))
+        return F.struct(number.alias("number"), rest.alias("rest"), clear.alias("clear"), dated.alias("dated"))
+
+    # Each step's arrays are used more than once after it, so the optimiser keeps it apart.
+    lines = lines.withColumn("x", F.transform("t", labelled)).withColumn("x", F.transform("x", marked))
+    lines = lines.withColumn("labels", F.filter(F.transform("x", lambda x, i: F.struct(i.alias("i"), x["number"].alias("number"), x["clear"].alias("clear"))), lambda x: x["number"].isNotNull()))
+    lines = lines.withColumns({"labels": _labels(F.col("labels")), "dated": _places("x", lambda x, i: x["dated"])})
     # Numbered, unless dated entries come before the first label: then the label is a wrapped place or page.
-    whole = W.partitionBy("doc_id")
-    first = F.min(F.when(F.col("labelled"), F.col("line"))).over(whole)
-    earlier = F.sum((F.col("dated") & (F.col("line") < first)).cast("int")).over(whole)
-    starts = F.sum(F.col("dated").cast("int")).over(whole)
-    lines = lines.withColumn("mode", F.when(first.isNotNull() & (F.coalesce(earlier, F.lit(0)) == 0), "numbered").when(starts > 0, "dated").otherwise("lines"))
-    begins = F.when(F.col("mode") == "numbered", F.col("labelled")).when(F.col("mode") == "dated", F.col("dated") | (F.col("i") == 1)).otherwise(~F.col("t").rlike(_IDENTIFIER) | (F.col("i") == 1))
-    groups = lines.withColumn("g", F.sum(begins.cast("int")).over(order)).where("g > 0")
+    early = F.coalesce(F.get("dated", F.lit(0)) < F.get("labels", F.lit(0)), F.lit(False))
+    lines = lines.withColumn("mode", F.when((F.size("labels") > 0) & ~early, "numbered").when(F.size("dated") > 0, "dated").otherwise("lines"))
+    alone = _places("t", lambda t, i: ~t.rlike(_IDENTIFIER) | (i == 0))
+    lines = lines.withColumn("starts", F.when(F.col("mode") == "numbered", F.col("labels")).when(F.col("mode") == "dated", F.array_union(F.array(F.lit(0)), "dated")).otherwise(alone))
+
+    def rest_of(starts: str, s: Column, j: Column) -> Column:
+        """The lines after the start s, up to the next."""
+        return F.slice("t", s + 2, F.coalesce(F.get(starts, j + 1), F.size("t")) - s - 1)
+
     # A dated entry without a year is the tail of the one before.
-    has = F.max(F.col("t").rlike(rf"\b{YEAR}").cast("int")).over(W.partitionBy("doc_id", "g"))
-    head = (F.row_number().over(W.partitionBy("doc_id", "g").orderBy("line")) == 1) & ((F.col("mode") != "dated") | (has == 1) | (F.col("g") == 1))
-    groups = groups.withColumn("head", head).withColumn("e", F.sum(F.col("head").cast("int")).over(order))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", F.when((F.col("mode") == "numbered") & F.col("labelled"), F.col("rest")).otherwise(F.col("t")).alias("t")))), lambda x: x["t"]), "\n")
-    one = groups.groupBy("doc_id", "mode", "e").agg(F.min_by("number", "line").alias("number"), joined_lines(text).alias("raw")).where("raw <> ''")
-    n = F.when(F.col("mode") == "numbered", F.col("number")).otherwise(F.row_number().over(order_of("e")))
-    return _cut(one.select("doc_id", n.cast("int").alias("n"), "mode", "raw"))
+    has = lambda s, j: F.exists(F.concat(F.array(F.get("t", s)), rest_of("starts", s, j)), lambda t: t.rlike(rf"\b{YEAR}"))
+    lines = lines.withColumn("heads", F.when(F.col("mode") == "dated", F.filter("starts", lambda s, j: (j == 0) | has(s, j))).otherwise(F.col("starts")))
 
+    def entry(s: Column, j: Column) -> Column:
+        head = F.when(F.col("mode") == "numbered", F.get("x", s)["rest"]).otherwise(F.get("t", s))
+        return F.struct(F.get("x", s)["number"].alias("number"), joined_lines(F.array_join(F.concat(F.array(head), rest_of("heads", s, j)), "\n")).alias("raw"))
 
-def order_of(column: str):
-    return W.partitionBy("doc_id").orderBy(column)
+    lines = lines.withColumn("found", F.filter(F.transform("heads", entry), lambda e: e["raw"] != ""))
+    sizes = F.array_sort(F.transform("found", lambda e: F.length(e["raw"])))
+    middle = F.get(sizes, F.floor(F.size("found") / 2).cast("int"))
+    # Outer, as a filter on the list's size would go below the step that makes it, and make it twice.
+    one = lines.select("doc_id", "mode", F.size("found").alias("all"), middle.alias("middle"), F.posexplode_outer("found").alias("at", "e")).where("at is not null")
+    n = F.when(F.col("mode") == "numbered", F.col("e.number")).otherwise(F.col("at") + 1)
+    return _cut(one.select("doc_id", n.cast("int").alias("n"), "mode", F.col("e.raw").alias("raw"), "all", "middle"))
 
 
 def _cut(found: DataFrame) -> DataFrame:
-    """Entries far longer than the document's middle one, without the prose after their last strong element."""
-    sized = found.withColumn("size", F.length("raw"))
-    by_size = W.partitionBy("doc_id").orderBy("size", "n")
-    sized = sized.withColumns({"place": F.row_number().over(by_size), "all": F.count(F.lit(1)).over(W.partitionBy("doc_id"))})
-    middle = F.max(F.when(F.col("place") == F.floor(F.col("all") / 2) + 1, F.col("size"))).over(W.partitionBy("doc_id"))
-    end = F.length(F.regexp_extract("raw", rf"(?s)^.*(?:{_STRONG})", 0))
-    sized = sized.withColumn("outlier", (F.col("all") >= 3) & (F.col("size") > F.greatest(F.lit(LONG), TIMES * middle))).withColumn("end", F.when(F.col("outlier"), end).otherwise(0))
-    cut = F.col("outlier") & (F.col("end") > 0) & (2 * (F.col("size") - F.col("end")) > F.col("size"))
+    """Entries far longer than the document's middle one (all: its entries, middle: that one's length), without the prose after their
+    last strong element."""
+    size = F.length("raw")
+    outlier = (F.col("all") >= 3) & (size > F.greatest(F.lit(LONG), TIMES * F.col("middle")))
+    sized = found.withColumn("end", F.when(outlier, F.length(F.regexp_extract("raw", rf"(?s)^.*(?:{_STRONG})", 0))).otherwise(0))
+    cut = (F.col("end") > 0) & (2 * (size - F.col("end")) > size)
     return sized.select("doc_id", "n", "mode", F.when(cut, F.rtrim(F.left("raw", F.col("end") + AFTER))).otherwise(F.col("raw")).alias("raw"), cut.alias("cut"))
 
 

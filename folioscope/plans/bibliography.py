@@ -19,8 +19,19 @@ _SYLLABLES = ("ba", "ke", "li", "mo", "nu", "pe", "ra", "si", "to", "vu")
 _TAIL = " ".join(["and further words of the section after it"] * 40)
 
 
+#: What Spark evaluates in place of the SQL that spells a number, by that SQL.
+_BY_DIGITS: dict[str, str] = {}
+
+
 def _spell(n: str) -> str:
-    return reduce(lambda e, i: f"replace({e}, '{i}', '{_SYLLABLES[i]}')", range(10), f"CAST({n} AS STRING)")
+    sql = reduce(lambda e, i: f"replace({e}, '{i}', '{_SYLLABLES[i]}')", range(10), f"CAST({n} AS STRING)")
+    _BY_DIGITS[sql] = f"array_join(transform(split(CAST({n} AS STRING), ''), c -> coalesce(get(array{_SYLLABLES}, try_cast(c AS INT)), c)), '')"
+    return sql
+
+
+def for_spark(e: str) -> str:
+    """The expression with numbers spelled digit by digit: so many nested replacements make code too long to be compiled to machine code."""
+    return reduce(lambda e, sql: e.replace(sql, _BY_DIGITS[sql]), _BY_DIGITS, e)
 
 
 def _name(n: str) -> str:
@@ -64,7 +75,7 @@ def made(s: SparkSession, d: str) -> DataFrame:
     """All orders with the columns of STAGES."""
     out = table(s, d, "orders")
     for stage in STAGES:
-        out = out.withColumns({f"__{n}" if n in out.columns else n: F.expr(e) for n, e in stage.items()})
+        out = out.withColumns({f"__{n}" if n in out.columns else n: F.expr(for_spark(e)) for n, e in stage.items()})
     return out
 
 

@@ -30,12 +30,12 @@ _LINE = "CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber,
 
 
 def refs(s: SparkSession, d: str) -> DataFrame:
-    return B.made(s, d).selectExpr(*[f"{e} AS {n}" for n, e in REFS.items()])
+    return B.made(s, d).selectExpr(*[f"{B.for_spark(e)} AS {n}" for n, e in REFS.items()])
 
 
 def records(s: SparkSession, d: str) -> DataFrame:
     lines = table(s, d, "lineitem").selectExpr("l_orderkey", "l_partkey % 10 AS v", f"{_LINE} AS line")
-    made = B.made(s, d).selectExpr("k", "style", "fam1", "fam2", "y", "container", "vol", "p", "q", "doi", f"{_TITLE} AS t")
+    made = B.made(s, d).selectExpr("k", "style", "fam1", "fam2", "y", "container", "vol", "p", "q", "doi", f"{B.for_spark(_TITLE)} AS t")
     return lines.join(made, lines.l_orderkey == made.k).selectExpr(*[f"{e} AS {n}" for n, e in RECORDS.items()])
 
 

@@ -135,3 +135,22 @@ def test_citations_of_a_sentence(spark):
     text = "Von Neumann and Abel (1990) and Cole et al. (1991b) differ (see fig. 2; Dole, Mill, and Rice, 1992; de Boer & Li, 1993a) in (1994) and (12)."
     got = authoryear.citations(spark.createDataFrame([(1, 1, text)], "doc_id long, claim_id long, sentence string")).orderBy("place").collect()
     assert [(r.surname, r.others, r.et_al, r.year, r.suffix) for r in got] == [("Neumann", ["Abel"], False, 1990, ""), ("Cole", [], True, 1991, "b"), ("Dole", ["Mill", "Rice"], False, 1992, ""), ("de Boer", ["Li"], False, 1993, "a")]
+
+
+def test_lines_of_a_text_stay_in_its_row(spark):
+    """Entries are cut within the row of their text: no line is sorted, joined or sent anywhere."""
+    text = "\n".join(f"[{i}] Abel, A. (1990). Number {i}." for i in range(1, 3001)) + "\n[3900] Not an entry's start\n\r\n [3001] Baker, B. (1991). Last."
+    found = bibliography.entries(spark.createDataFrame([(1, text), (None, "Abel, A. (1990). One.")], "doc_id long, text string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any(step in plan for step in ("Exchange", "Window", "Join", "Sort "))
+    got = {r.n: r.raw for r in found.collect()}
+    assert sorted(got) == list(range(1, 3002)) and got[3000] == "Abel, A. (1990). Number 3000. [3900] Not an entry's start" and got[3001] == "Baker, B. (1991). Last."
+
+
+def test_numbers_are_spelled_digit_by_digit(spark):
+    from folioscope.plans import bibliography as plans
+
+    sql = plans._spell("k")
+    assert plans.for_spark(sql) != sql and all("replace(replace(" not in plans.for_spark(e) for stage in plans.STAGES for e in stage.values())
+    rows = spark.createDataFrame([(k,) for k in (0, 7, 10, 1234567890, -25, 9223372036854775807, None)], "k long")
+    assert all(r.a == r.b for r in rows.selectExpr(f"{sql} AS a", f"{plans.for_spark(sql)} AS b").collect())
