@@ -115,3 +115,8 @@ def test_records_are_made_once(spark, name):
     """The steps that find and judge pairs read what was made of references and records, not the tables again."""
     plan = RP.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert sum("Relation [" in line and "l_orderkey#" in line for line in plan.split("\n")) == 0
+
+
+def test_works_read_their_records_once(spark):
+    plan = RP.QUERIES["merged_works"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey#" not in plan and "o_orderkey#" not in plan
