@@ -26,10 +26,10 @@ def constructed(orders: DataFrame, lineitem: DataFrame, part: DataFrame, supplie
     return claims, refs.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ref_number"), entry.alias("entry"), F.col("x.p_name").alias("title"), F.col("s_name").alias("surname"), F.year("o_orderdate").alias("year"))
 
 
-def markers(claims: DataFrame) -> DataFrame:
-    """(doc_id, claim_id, ref_number): each number in square brackets of a claim's sentence."""
+def markers(claims: DataFrame, *kept: str) -> DataFrame:
+    """(doc_id, claim_id, ref_number): each number in square brackets of a claim's sentence; `kept` columns of the claim stay."""
     found = F.regexp_extract_all("sentence", F.lit(r"\[(\d+)\]"), F.lit(1))
-    return claims.select("doc_id", "claim_id", F.explode(found.cast("array<int>")).alias("ref_number"))
+    return claims.select("doc_id", "claim_id", *kept, F.explode(found.cast("array<int>")).alias("ref_number"))
 
 
 def numeric_links(claims: DataFrame, refs: DataFrame) -> DataFrame:
@@ -53,9 +53,10 @@ def coverage(claims: DataFrame, refs: DataFrame) -> DataFrame:
 
 def title_overlap(pairs: DataFrame, title: str, entry: str) -> DataFrame:
     """pairs with `overlap`, the share of the title's distinct topic tokens that the entry has (3 places), and `flag`."""
-    t = F.array_distinct(topic_tokens(F.col(title)))
-    share = F.when(F.size(t) > 0, F.round(F.size(F.array_intersect(t, topic_tokens(F.col(entry)))) / F.size(t), 3))
-    return pairs.withColumn("overlap", share).withColumn("flag", F.when(share < 0.2, "mismatch").when(share < 0.5, "warn"))
+    t, share = F.col("__t"), F.col("overlap")
+    pairs = pairs.withColumn("__t", F.array_distinct(topic_tokens(F.col(title))))
+    pairs = pairs.withColumn("overlap", F.when(F.size(t) > 0, F.round(F.size(F.array_intersect(t, topic_tokens(F.col(entry)))) / F.size(t), 3))).drop("__t")
+    return pairs.withColumn("flag", F.when(share < 0.2, "mismatch").when(share < 0.5, "warn"))
 
 
 def edit_one_pairs(names: DataFrame, key: str, name: str) -> DataFrame:
@@ -73,6 +74,11 @@ def edit_one_pairs(names: DataFrame, key: str, name: str) -> DataFrame:
 
 def author_year_status(mentions: DataFrame, refs: DataFrame) -> DataFrame:
     """(doc_id, surname, year, matches, status): unique, ambiguous or orphan mentions by surname and year within a document."""
-    hits = refs.groupBy("doc_id", "surname", "year").agg(F.count(F.lit(1)).alias("n"))
-    x = mentions.join(hits, ["doc_id", "surname", "year"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    key = ["doc_id", "surname", "year"]
+    # Counted together, so nothing is sorted or held for a join; an entry or mention without one of these matches nothing.
+    known = F.col("doc_id").isNotNull() & F.col("surname").isNotNull() & F.col("year").isNotNull()
+    both = mentions.select(*key, F.lit(1).alias("m"), F.lit(0).alias("n")).unionByName(refs.where(known).select(*key, F.lit(0).alias("m"), F.lit(1).alias("n")))
+    x = both.groupBy(*key).agg(F.sum("m").alias("m"), F.sum("n").alias("n")).where("m > 0")
+    # A mention that repeats has a row each time.
+    x = x.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
     return x.select("doc_id", "surname", "year", F.col("n").alias("matches"), F.when(F.col("n") == 0, "orphan").when(F.col("n") == 1, "unique").otherwise("ambiguous").alias("status"))

@@ -13,7 +13,7 @@ from ..operators import documents as D
 from ..operators import ledger as L
 from ..operators import pages as P
 from ..operators import relational as R
-from ..sources.tables import table
+from ..sources.tables import settle, table
 from . import bibliography, links, records, relational, runs, texts
 
 KINDS = ["click", "error", "purchase", "signup", "view"]
@@ -31,8 +31,12 @@ def _made(spark, d):
     return C.constructed(*(table(spark, d, t) for t in ("orders", "lineitem", "part", "supplier")))
 
 
-def _mentions(claims_refs):
-    claims, refs = claims_refs
+def _statuses(spark, d):
+    refs = settle(_made(spark, d)[1].select("doc_id", "ref_number", "surname", "year"))
+    return C.author_year_status(_mentions(refs), refs)
+
+
+def _mentions(refs):
     year = F.when(F.col("ref_number") % 2 == 0, F.col("year")).otherwise(F.col("year") + 1)
     return refs.select("doc_id", "surname", year.alias("year")).distinct()
 
@@ -44,7 +48,7 @@ def _rated(spark, d):
 
 def _overlaps(spark, d):
     claims, refs = _made(spark, d)
-    m = C.markers(claims).join(claims, ["doc_id", "claim_id"]).join(refs, ["doc_id", "ref_number"])
+    m = C.markers(claims, "sentence").join(refs, ["doc_id", "ref_number"])
     return C.title_overlap(m, "title", "sentence").select("doc_id", "claim_id", "ref_number", "overlap", "flag").distinct()
 
 
@@ -78,7 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "numeric_links": lambda s, d: C.numeric_links(*_made(s, d)),
     "uncited_refs": lambda s, d: C.uncited(*_made(s, d)),
     "coverage_ratio": lambda s, d: C.coverage(*_made(s, d)),
-    "author_year_status": lambda s, d: C.author_year_status(_mentions(_made(s, d)), _made(s, d)[1]),
+    "author_year_status": _statuses,
     "title_overlap_scores": _overlaps,
     "edit_one_alias_pairs": lambda s, d: C.edit_one_pairs(table(s, d, "supplier"), "s_suppkey", "s_name"),
     "identifier_forms": _codes,
