@@ -123,10 +123,16 @@ def inline_identifiers(sentence: Column) -> Column:
 def inline_links(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(references, edges) of identifiers that sentences print: each document's distinct ones, numbered by first use (by claim id
     and place), and (doc_id, claim_id, ref_number) for every use."""
-    uses = claims.select("doc_id", "claim_id", F.posexplode(inline_identifiers(F.col("sentence"))).alias("at", "identifier"))
-    first = uses.groupBy("doc_id", "identifier").agg(F.min(F.struct("claim_id", "at")).alias("first"))
-    references = first.withColumn("ref_number", F.row_number().over(W.partitionBy("doc_id").orderBy("first", "identifier"))).select("doc_id", "identifier", "ref_number")
-    return references, uses.select("doc_id", "claim_id", "identifier").distinct().join(references, ["doc_id", "identifier"]).select("doc_id", "claim_id", "ref_number")
+    # Dealt out by document once, before sentences are read: all that follows stays where it is. Claims that repeat change nothing.
+    uses = claims.select("doc_id", "claim_id", "sentence").repartition("doc_id").select("doc_id", "claim_id", F.posexplode(inline_identifiers(F.col("sentence"))).alias("at", "identifier"))
+    by_use = W.partitionBy("doc_id", "identifier").orderBy("claim_id", "at")
+    uses = uses.withColumn("use", F.row_number().over(by_use))
+    references = uses.where("use = 1").withColumn("ref_number", F.row_number().over(W.partitionBy("doc_id").orderBy("claim_id", "at", "identifier"))).select("doc_id", "identifier", "ref_number")
+    # The first use goes with each, in the same order; of a claim's uses of one identifier the first stays.
+    again = W.partitionBy("doc_id", "identifier", "claim_id").orderBy("at")
+    edges = uses.where("doc_id is not null").withColumn("first", F.first(F.struct("claim_id", "at")).over(by_use)).withColumn("k", F.row_number().over(again)).where("k = 1")
+    edges = edges.withColumn("ref_number", F.dense_rank().over(W.partitionBy("doc_id").orderBy("first", "identifier")))
+    return references, edges.select("doc_id", "claim_id", "ref_number")
 
 
 def reference_identity(entry: Column, surname: Column, year: Column, title: Column, doi: Column) -> Column:
@@ -139,9 +145,8 @@ def reference_identity(entry: Column, surname: Column, year: Column, title: Colu
 def pair_keys(rows: DataFrame, manuscript: Column) -> DataFrame:
     """rows with `key`: S and the first 24 digits of a SHA-256 over manuscript, reference identity, marker, sentence and marker
     context; rows that share a key are told apart by `@n`, in order of `ordinal`. rows: (identity, marker, sentence, ordinal)."""
-    sentence = collapsed(F.col("sentence"))
-    digest = F.sha2(F.concat_ws("\x1f", manuscript, F.col("identity"), collapsed(F.col("marker")), sentence, marker_context(sentence, F.col("marker"))), 256)
-    keyed = rows.withColumn("base", F.concat(F.lit("S"), F.substring(digest, 1, 24)))
+    digest = F.sha2(F.concat_ws("\x1f", manuscript, F.col("identity"), collapsed(F.col("marker")), F.col("__s"), marker_context(F.col("__s"), F.col("marker"))), 256)
+    keyed = rows.withColumn("__s", collapsed(F.col("sentence"))).withColumn("base", F.concat(F.lit("S"), F.substring(digest, 1, 24))).drop("__s")
     same = W.partitionBy("base")
     numbered = keyed.withColumn("n", F.row_number().over(same.orderBy("ordinal"))).withColumn("all", F.count(F.lit(1)).over(same))
     return numbered.withColumn("key", F.when(F.col("all") > 1, F.concat_ws("@", "base", F.col("n").cast("string"))).otherwise(F.col("base"))).drop("base", "n", "all")

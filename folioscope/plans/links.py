@@ -35,7 +35,7 @@ def uncited(s, d):
 
 
 def _inline(s, d):
-    li = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
+    li = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     doi = F.concat(F.lit("10.1234/Ab."), F.col("l_partkey") % 50)
     text = F.concat(F.lit("As was shown (see "), doi, F.when(F.col("l_suppkey") % 2 == 0, "; arXiv: 2101.00001)").otherwise("), not 10.9999/outside"), F.lit("."))
     return K.inline_links(li.select(F.col("l_orderkey").alias("doc_id"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("claim_id"), text.alias("sentence")))
