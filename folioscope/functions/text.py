@@ -40,8 +40,8 @@ def doi_key(value):
 def issn(value):
     """The eight-character serial number if its check digit (modulo 11) holds, else null."""
     bare = F.upper(F.regexp_replace(value, r"[\s-]", ""))
-    digits = F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: F.substring(bare, i, F.lit(1)).try_cast("int") * (9 - i))
-    rest = F.pmod(-F.aggregate(digits, F.lit(0), lambda a, x: a + x), F.lit(11))
+    total = sum((F.substring(bare, i, 1).try_cast("int") * (9 - i) for i in range(1, 8)), F.lit(0))
+    rest = F.pmod(-total, F.lit(11))
     check = F.when(rest == 10, F.lit("X")).otherwise(rest.cast("string"))
     return F.when(bare.rlike("^[0-9]{7}[0-9X]$") & (F.substring(bare, 8, 1) == check), bare)
 
@@ -58,7 +58,7 @@ def page_range_end(value):
 
 def expand_numbers(value):
     """`1,3,5-8` as an array of ints; reversed ranges and those of 200 or more go."""
-    def part(p):
-        lo, hi = F.substring_index(p, "-", 1).cast("int"), F.substring_index(p, "-", -1).cast("int")
-        return F.when((lo <= hi) & (hi - lo < 200), F.sequence(lo, F.greatest(lo, hi))).otherwise(F.array().cast("array<int>"))
-    return F.flatten(F.transform(F.filter(F.split(F.regexp_replace(value, r"\s", ""), ","), lambda p: p.rlike(r"^\d{1,6}(-\d{1,6})?$")), part))
+    bounds = lambda p: F.struct(F.substring_index(p, "-", 1).cast("int").alias("lo"), F.substring_index(p, "-", -1).cast("int").alias("hi"))
+    good = F.transform(F.filter(F.split(F.regexp_replace(value, r"\s", ""), ","), lambda p: p.rlike(r"^\d{1,6}(-\d{1,6})?$")), bounds)
+    near = F.filter(good, lambda b: (b["lo"] <= b["hi"]) & (b["hi"] - b["lo"] < 200))
+    return F.flatten(F.transform(near, lambda b: F.sequence(b["lo"], b["hi"])))
