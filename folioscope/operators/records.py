@@ -36,6 +36,11 @@ def folded(name: Column) -> Column:
     return F.regexp_replace(low, r"[^\p{L}]", "")
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the tables: small on disk, it would be sent out whole, and the driver holds it many times as large."""
+    return df.hint("merge")
+
+
 def candidates(refs: DataFrame, records: DataFrame) -> DataFrame:
     """(ref_id, rec_id) pairs that share an identifier or a prefix token; those of the second kind are still to be verified.
 
@@ -45,10 +50,10 @@ def candidates(refs: DataFrame, records: DataFrame) -> DataFrame:
     t = records.select("rec_id", F.size("tokens").alias("m"), F.explode("tokens").alias("t")).withColumn("t", F.xxhash64("t"))
     rarity = t.groupBy("t").agg(F.count(F.lit(1)).alias("c"))
     order = W.partitionBy("rec_id").orderBy("c", "t")
-    ranked = t.join(rarity, "t").withColumn("i", F.row_number().over(order))
+    ranked = t.join(_dealt(rarity), "t").withColumn("i", F.row_number().over(order))
     prefix = ranked.where(F.col("i") <= F.col("m") - F.ceil(CANDIDATE * F.col("m")) + 1).select("rec_id", "t")
-    by_title = refs.select("ref_id", F.explode("tokens").alias("t")).withColumn("t", F.xxhash64("t")).join(prefix, "t").select("ref_id", "rec_id")
-    by_doi = refs.where("doi is not null").select("ref_id", "doi").join(records.where("doi is not null").select("rec_id", "doi"), "doi").select("ref_id", "rec_id")
+    by_title = refs.select("ref_id", F.explode("tokens").alias("t")).withColumn("t", F.xxhash64("t")).join(_dealt(prefix), "t").select("ref_id", "rec_id")
+    by_doi = refs.where("doi is not null").select("ref_id", "doi").join(_dealt(records.where("doi is not null").select("rec_id", "doi")), "doi").select("ref_id", "rec_id")
     return by_title.union(by_doi).distinct()
 
 
@@ -75,7 +80,7 @@ def profiles(refs: DataFrame, records: DataFrame) -> DataFrame:
     left = refs.select("ref_id", *[F.col(c).alias(f"a_{c}") for c in carried])
     right = records.select("rec_id", "kind", *[F.col(c).alias(f"b_{c}") for c in carried])
     named = lambda df: df.withColumn("tokens", _words(F.col("key")))
-    p = candidates(named(refs), named(records)).join(left, "ref_id").join(right, "rec_id")
+    p = candidates(named(refs), named(records)).join(_dealt(left), "ref_id").join(_dealt(right), "rec_id")
     # Tokens are made of keys again, as they would take more room on the way.
     p = p.withColumns({"a_tokens": _words(F.col("a_key")), "b_tokens": _words(F.col("b_key"))})
     p = p.withColumns({"na": F.size("a_tokens"), "nb": F.size("b_tokens"), "shared": F.size(F.array_intersect("a_tokens", "b_tokens")), "same_doi": F.coalesce(F.col("a_doi") == F.col("b_doi"), F.lit(False))})
@@ -127,7 +132,7 @@ def decisions(refs: DataFrame, records: DataFrame) -> DataFrame:
         F.count("veto").alias("vetoed"),
         F.array_sort(F.collect_set("veto")).alias("reasons"),
     )
-    out = refs.select("ref_id", "doi").join(by, "ref_id", "left")
+    out = refs.select("ref_id", "doi").join(_dealt(by), "ref_id", "left")
     lead = F.round(F.col("best.score") - F.coalesce("next", F.lit(0.0)), 3)
     mismatch = F.coalesce(F.col("known") & (F.col("own_title") < OTHER_WORK), F.lit(False))
     taken = (F.col("best.score") >= TAKEN) & (lead >= LEAD)

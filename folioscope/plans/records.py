@@ -36,7 +36,8 @@ def refs(s: SparkSession, d: str) -> DataFrame:
 def records(s: SparkSession, d: str) -> DataFrame:
     lines = table(s, d, "lineitem").selectExpr("l_orderkey", "l_partkey % 10 AS v", f"{_LINE} AS line")
     made = B.made(s, d).selectExpr("k", "style", "fam1", "fam2", "y", "container", "vol", "p", "q", "doi", f"{B.for_spark(_TITLE)} AS t")
-    return lines.join(made, lines.l_orderkey == made.k).selectExpr(*[f"{e} AS {n}" for n, e in RECORDS.items()])
+    # Merged, as orders that are small on disk would pass the driver whole.
+    return lines.join(made.hint("merge"), lines.l_orderkey == made.k).selectExpr(*[f"{e} AS {n}" for n, e in RECORDS.items()])
 
 
 def _evidence(s: SparkSession, d: str) -> DataFrame:

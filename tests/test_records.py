@@ -120,3 +120,11 @@ def test_records_are_made_once(spark, name):
 def test_works_read_their_records_once(spark):
     plan = RP.QUERIES["merged_works"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey#" not in plan and "o_orderkey#" not in plan
+
+
+@pytest.mark.parametrize("step", [records.profiles, records.decisions])
+def test_no_table_passes_the_driver_whole(spark, step):
+    """Tables that are small on disk are many times as large when the driver builds them for sending out."""
+    out = step(spark.createDataFrame([ref(doi="10.1/x")], REF), spark.createDataFrame([rec(5), rec(6, doi="10.1/x")], REC))
+    out.collect()
+    assert "SortMergeJoin" in (plan := out._jdf.queryExecution().executedPlan().toString()) and "BroadcastExchange" not in plan
