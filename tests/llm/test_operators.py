@@ -678,3 +678,32 @@ def test_passages_do_not_depend_on_how_chains_are_dealt(spark, monkeypatch):
     want = set(map(tuple, passages.shared_passages(docs(spark, rows)).collect()))
     monkeypatch.setattr(passages, "CHAINS_AT_ONCE", 2)
     assert set(map(tuple, passages.shared_passages(docs(spark, rows)).collect())) == want != set()
+
+
+def test_passages_of_common_seeds_are_linked_wherever_they_occur(spark):
+    """All seeds of the shared passage occur some twenty times, in other documents in parts of ten words and in another order."""
+    r, p = random.Random(41), words(42, 60, 5000)
+    texts = {d: words(r.random(), 60, 5000) for d in range(24)}
+    for d in range(24):
+        if d not in (9, 14):
+            for lo in r.sample(range(0, 60, 6), 10):
+                texts[d] += p[lo : lo + 10] + words(r.random(), 15, 5000)
+    q = list(p)
+    for i in range(3, 60, 6):
+        q[i] = f"other{i}"
+    texts[9] += q + words(r.random(), 30, 5000)
+    texts[14] += p + words(r.random(), 30, 5000)
+    got = passages.shared_passages(docs(spark, [(d, " ".join(t), "x", 1) for d, t in texts.items()])).collect()
+    assert (14, 9) in {(z.doc_id, z.other_id) for z in got}
+
+
+def test_matches_come_whole_however_they_are_cut(monkeypatch):
+    rng, seen = np.random.default_rng(5), []
+    d, p, code = np.repeat(np.arange(30), 40), np.tile(np.arange(40) * 2, 30), rng.integers(0, 9, 1200)
+    side, rare = passages._by_run(d, p, code), tuple(np.array([x], np.int64) for x in (3, 4, 1, 1))
+    for most in (10**6, 50, 1):
+        monkeypatch.setattr(passages, "MATCHES", most)
+        monkeypatch.setattr(passages, "SPAN", 4)
+        seen.append({x for part in passages._matches(side, side, rare, True) for x in zip(*(c.tolist() for c in part), strict=True)})
+    want = {(d[i], d[j], p[i], p[j]) for i in range(1200) for j in range(i + 1, 1200) if code[i] == code[j]} | {(3, 4, 1, 1)}
+    assert seen == [want] * 3
