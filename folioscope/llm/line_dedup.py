@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import bloom_filter, bloom_test, bloom_words, possible, settle
+from .common import bloom_filter, bloom_test, bloom_words, parted, possible, settle
 
 WORDS = 5
 #: Rarity is counted in so many hash buckets, whatever the size of the corpus; the order decides cost only, not results.
 BUCKETS = 1 << 13
 #: So many common tokens of a line before each are looked at, lest a pair be made again (cost only, not results).
 BEFORE = 3
+#: Words of 64 parities of a set by which pairs are ruled out before their sets are brought together (cost only); a power of two.
+PARITIES = 8
 
 
 def _words(line):
@@ -79,6 +81,13 @@ def _parity(tokens):
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t)))
 
 
+def _parities(tokens: str) -> list:
+    """PARITIES columns of 64 parities, by other bits of the hash: each token is in one of them."""
+    word = lambda t: F.shiftright(F.hash(t), 6).bitwiseAND(F.lit(PARITIES - 1))
+    of = lambda i: F.filter(tokens, lambda t: word(t) == i)
+    return [_parity(of(i)).alias(f"m{i}") for i in range(PARITIES)]
+
+
 def _prefix_size(n):
     return n - F.floor((4 * n + 4) / 5).cast("int") + 1
 
@@ -93,12 +102,14 @@ def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     lines = _lines(docs, doc_id, text)
     rarity = _rarity(lines)
     # Lines that occur again, by hash: (h1, h2, first place). Lines of their own are not shuffled with what belongs to them.
-    places = settle(_hashed(lines).drop("line"))
-    again = settle(places.groupBy("h1", "h2").agg(F.min(F.struct("d", "p")).alias("at"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
+    again = settle(_hashed(lines).drop("line").groupBy("h1", "h2").agg(F.min(F.struct("d", "p")).alias("at"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
     n_words = bloom_words(again.count())
     repeated = bloom_test(bloom_filter(again.select(F.xxhash64("h1").alias("k")), "k", n_words), F.xxhash64("h1"), n_words)
     tokens = _hashed(lines).select("d", "p", "h1", "h2", _words(F.col("line")).alias("w")).select("d", "p", "h1", "h2", _tokens(rarity, F.col("w")).alias("t"))
-    heads = settle(tokens.select(F.struct("d", "p").alias("at"), "h1", "h2", repeated.alias("r"), F.size("t").alias("n"), _parity("t").alias("m"), F.slice("t", 1, _prefix_size(F.size("t"))).alias("head")))
+    # Hashes of lines of their own are of no use from here on.
+    tokens = tokens.withColumn("r", repeated)
+    hashes = [F.when(F.col("r"), F.col(h)).alias(h) for h in ("h1", "h2")]
+    heads = settle(tokens.select(F.struct("d", "p").alias("at"), *hashes, "r", F.size("t").alias("n"), _parity("t").alias("m"), F.slice("t", 1, _prefix_size(F.size("t"))).alias("head")))
     kept = ["at", "n", "m", "head"]
     first = settle(heads.where("r").join(again.withColumnRenamed("at", "at1"), ["h1", "h2"], "left").where("at1 is null or at = at1").select(kept)).union(heads.where("not r").select(kept))
     entries = first.select("at", "n", "m", F.posexplode("head").alias("i", "t"))
@@ -123,7 +134,7 @@ def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     more = settle(met.select("at0", "at").distinct().join(pairs, ["at0", "at"], "left_anti"))
     near = settle(removed.union(_verified(docs, doc_id, text, more, rarity)).distinct())
     # Later copies go in any case; a line of its own goes by its place, as `near` has it.
-    copies = places.where(repeated).join(again, ["h1", "h2"]).select(F.struct("d", "p").alias("here"), "at").where("here <> at").select(F.col("here").alias("at"))
+    copies = heads.where("r").select(F.col("at").alias("here"), "h1", "h2").join(again, ["h1", "h2"]).where("here <> at").select(F.col("here").alias("at"))
     return copies, near
 
 
@@ -133,8 +144,13 @@ def _verified(docs: DataFrame, doc_id: str, text: str, pairs: DataFrame, rarity)
     keys = concerned.select(F.col("l.d").alias(doc_id)).distinct()
     near = possible(docs.select(doc_id, text), doc_id, keys, concerned.count())
     lines = _lines(near, doc_id, text).select(F.struct("d", "p").alias("l"), "line").join(concerned, "l", "left_semi")
-    sets = settle(lines.select("l", _words(F.col("line")).alias("w")).select("l", _tokens(rarity, F.col("w")).alias("s")).dropDuplicates(["l"]))
-    both = pairs.join(sets.withColumnRenamed("l", "at").withColumnRenamed("s", "x"), "at").join(sets.withColumnRenamed("l", "at0").withColumnRenamed("s", "y"), "at0")
+    sets = settle(lines.select("l", _words(F.col("line")).alias("w")).select("l", _tokens(rarity, F.col("w")).alias("s")).dropDuplicates(["l"]).select("l", "s", F.size("s").alias("n"), *_parities("s")))
+    # Pairs are many and sets long: most pairs go by their parities, so that few carry sets from one shuffle to the next.
+    bits = [f"m{i}" for i in range(PARITIES)]
+    short = lambda end: sets.select(F.col("l").alias(f"at{end}"), F.col("n").alias(f"n{end}"), *[F.col(m).alias(f"{m}_{end}") for m in bits])
+    differ = " + ".join(f"bit_count({m}_ ^ {m}_0)" for m in bits)
+    pairs = settle(pairs.join(short(""), "at").join(short("0"), "at0").where(f"9 * ({differ}) <= n + n0").select("at0", "at"))
+    both = pairs.join(sets.select(F.col("l").alias("at"), F.col("s").alias("x")), "at").join(sets.select(F.col("l").alias("at0"), F.col("s").alias("y")), "at0")
     return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("at").distinct()
 
 
@@ -156,6 +172,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     A document that loses every line keeps an empty text. Null ids and texts pass unchanged.
     """
     gone = settle(superfluous_lines(docs, doc_id, text).withColumnRenamed("lines", "__gone"))
-    joined = docs.join(gone, doc_id, "left")
+    # Only documents that may lose a line are dealt out.
+    concerned, rest = parted(docs, doc_id, gone, gone.count())
+    joined = concerned.join(gone, doc_id, "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("__gone", i)), "\n")
-    return joined.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept)).select(docs.columns)
+    return joined.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept)).select(docs.columns).union(rest.select(docs.columns))

@@ -707,3 +707,21 @@ def test_matches_come_whole_however_they_are_cut(monkeypatch):
         seen.append({x for part in passages._matches(side, side, rare, True) for x in zip(*(c.tolist() for c in part), strict=True)})
     want = {(d[i], d[j], p[i], p[j]) for i in range(1200) for j in range(i + 1, 1200) if code[i] == code[j]} | {(3, 4, 1, 1)}
     assert seen == [want] * 3
+
+
+def test_pairs_of_lines_carry_no_token_sets_unless_they_may_be_similar(spark):
+    """Lines that share most of a passage but are not similar are ruled out by parities, which similar ones pass."""
+    r = random.Random(51)
+    p = words(52, 100, 5000)
+    lines = [" ".join(p[:60] + words(r.random(), 60, 5000)) for _ in range(12)] + [" ".join(p), " ".join(changed(r, p, 1))]
+    table_ = docs(spark, [(i, t, "x", 1) for i, t in enumerate(lines)])
+    pairs = spark.createDataFrame([((i, 0), (j, 0)) for j in range(14) for i in range(j)], "at0 struct<d: long, p: int>, at struct<d: long, p: int>")
+    rarity = line_dedup._rarity(line_dedup._lines(table_, "doc_id", "text"))
+    kept, settle = [], line_dedup.settle
+    line_dedup.settle = lambda df: kept.append(out := settle(df)) or out
+    try:
+        found = line_dedup._verified(table_, "doc_id", "text", pairs, rarity).collect()
+    finally:
+        line_dedup.settle = settle
+    assert [tuple(x["at"]) for x in found] == [(13, 0)]
+    assert [[(x["at0"]["d"], x["at"]["d"]) for x in k.collect()] for k in kept if k.columns == ["at0", "at"]] == [[(12, 13)]]
