@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from folioscope.llm import bpe, decontaminate, langid, line_dedup, media, near_dup, passages, pii, queries, secrets, urlfilter
+from folioscope.llm import bpe, common, decontaminate, langid, line_dedup, media, near_dup, passages, pii, queries, secrets, urlfilter
 from folioscope.llm.common import components, shingle_hashes
 
 SF = "/root/testdata/sf0.001"
@@ -725,3 +725,11 @@ def test_pairs_of_lines_carry_no_token_sets_unless_they_may_be_similar(spark):
         line_dedup.settle = settle
     assert [tuple(x["at"]) for x in found] == [(13, 0)]
     assert [[(x["at0"]["d"], x["at"]["d"]) for x in k.collect()] for k in kept if k.columns == ["at0", "at"]] == [[(12, 13)]]
+
+
+def test_rows_that_may_be_among_keys_are_parted_from_the_others(spark):
+    df = spark.range(2000).selectExpr("if(id % 100 = 7, null, id) AS k", "id AS v")
+    may, rest = common.parted(df, "k", spark.range(0, 2000, 10).toDF("k"), 200)
+    a, b = ({(x.k, x.v) for x in part.collect()} for part in (may, rest))
+    assert a | b == {(x.k, x.v) for x in df.collect()} and not a & b
+    assert {k for k in range(0, 2000, 10)} <= {k for k, _ in a} and len(a) < 400 and (None, 7) in b
