@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import authoryear as A
 from ..operators import bibliography as B
 from ..operators import styles as Y
-from ..sources.tables import table
+from ..sources.tables import settle, table
 
 _SYLLABLES = ("ba", "ke", "li", "mo", "nu", "pe", "ra", "si", "to", "vu")
 _TAIL = " ".join(["and further words of the section after it"] * 40)
@@ -118,8 +118,10 @@ def _resolved(s: SparkSession, d: str) -> DataFrame:
 
 def _coverage(s: SparkSession, d: str) -> DataFrame:
     """(doc_id, entries, cited, orphans): what a document's citations reach of its entries."""
-    m = _matched(s, d).groupBy("doc_id").agg(F.countDistinct(F.when(F.col("status") == "unique", F.col("n"))).alias("cited"), F.count_if(F.col("status") == "orphan").alias("orphans"))
-    return B.entries(bibliographies(s, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("entries")).join(m, "doc_id", "left").select("doc_id", "entries", F.coalesce("cited", F.lit(0)).alias("cited"), F.coalesce("orphans", F.lit(0)).alias("orphans"))
+    # Made once: entries are matched and counted.
+    read = settle(_read(s, d).select("doc_id", "n", "raw", "authors", "year"))
+    m = A.match(_cites(s, d), A.index(read)).groupBy("doc_id").agg(F.countDistinct(F.when(F.col("status") == "unique", F.col("n"))).alias("cited"), F.count_if(F.col("status") == "orphan").alias("orphans"))
+    return read.groupBy("doc_id").agg(F.count(F.lit(1)).alias("entries")).join(m, "doc_id", "left").select("doc_id", "entries", F.coalesce("cited", F.lit(0)).alias("cited"), F.coalesce("orphans", F.lit(0)).alias("orphans"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -154,3 +154,12 @@ def test_numbers_are_spelled_digit_by_digit(spark):
     assert plans.for_spark(sql) != sql and all("replace(replace(" not in plans.for_spark(e) for stage in plans.STAGES for e in stage.values())
     rows = spark.createDataFrame([(k,) for k in (0, 7, 10, 1234567890, -25, 9223372036854775807, None)], "k long")
     assert all(r.a == r.b for r in rows.selectExpr(f"{sql} AS a", f"{plans.for_spark(sql)} AS b").collect())
+
+
+def test_coverage_makes_its_entries_once(spark, monkeypatch):
+    from folioscope.plans import bibliography as plans
+
+    made, entries = [], plans.B.entries
+    monkeypatch.setattr(plans.B, "entries", lambda docs: made.append(docs) or entries(docs))
+    plans.QUERIES["authoryear_coverage"](spark, "/root/testdata/sf0.001")
+    assert len(made) == 1
